@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media
+from . import langid, linededup, media, mixing, quality, toxicity
 
-MODULES = (media,)
+MODULES = (langid, quality, mixing, toxicity, media, linededup)
 
 
 def queries():
