@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -70,3 +72,69 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.add.reduceat(np.append(values, values.dtype.type(0)), offsets[:-1])
     out[offsets[1:] == offsets[:-1]] = 0
     return out
+
+
+def worker_cache(name: str, make):
+    """What make() gives, once for each Python worker: tasks that follow on the same worker find it again."""
+    store = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_P = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of an odd number and of its inverse, modulo 2**64."""
+    have = worker_cache("powers", lambda: [np.ones(1, np.uint64)] * 2)
+    if len(have[0]) <= n:
+        size = 1 << int(n).bit_length()
+        for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
+            steps = np.full(size, p, np.uint64)
+            steps[0] = 1
+            have[i] = np.multiply.accumulate(steps)
+    return have[0], have[1]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit finaliser; a bijection."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """S with S[j] - S[i] = P**i * (polynomial hash of data[i:j]), modulo 2**64."""
+    p, _ = _powers(len(data))
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=out[1:])
+    return out
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans; equal bytes give equal hashes anywhere."""
+    _, q = _powers(len(sums))
+    return mixed((sums[ends] - sums[starts]) * q[starts] ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, offsets of each text's words). Words are runs without ASCII white space, A-Z lower-cased."""
+    at, data = buffers(texts)
+    data = _LOWER[data]
+    solid = ~_SPACE[data]
+    before = np.append(False, solid[:-1]) if len(solid) else solid
+    first = solid & ~before
+    inner = at[1:-1][at[1:-1] < len(data)]
+    first[inner] = solid[inner]
+    starts = np.flatnonzero(first)
+    after = np.append(solid[1:], False) if len(solid) else solid
+    last = solid & ~after
+    ends_at = inner[inner > 0] - 1
+    last[ends_at] = solid[ends_at]
+    ends = np.flatnonzero(last) + 1
+    return span_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, at)
