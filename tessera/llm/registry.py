@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, media, mixing, packing, quality, toxicity
+from . import langid, linededup, lm, media, mixing, packing, quality, toxicity
 
-MODULES = (langid, quality, packing, mixing, toxicity, media, linededup)
+MODULES = (lm, langid, quality, packing, mixing, toxicity, media, linededup)
 
 
 def queries():
