@@ -37,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends there, and a lost executor costs no rerun."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: the lineage ends there, a lost executor costs no rerun, and the shuffle files are freed."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[slice, pa.Array]]:

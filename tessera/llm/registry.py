@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, lm, media, mixing, neardup, packing, quality, toxicity
+from . import langid, linededup, lm, media, mixing, neardup, packing, quality, substrings, toxicity
 
-MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup)
+MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup, substrings)
 
 
 def queries():
