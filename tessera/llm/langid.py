@@ -178,6 +178,18 @@ def identify(df: DataFrame, model: Model) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tag, "doc_id long, lang_pred string, family string, score double")
 
 
+def known_language(df: DataFrame, model: Model) -> DataFrame:
+    """The rows of df, all columns, whose text is in a language that the model knows; the others are `und`."""
+
+    def keep(batches):
+        for batch in batches:
+            for rows, texts in text_steps(batch, "text"):
+                fine = pa.array([x != UNKNOWN for x in model.predict(texts)[0]])
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(fine)
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def op2_langid(spark, sf_dir):
     """The language of every document, learned from those outside the held-out third.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import langid, linededup, lm, media, mixing, neardup, packing, quality, substrings, toxicity
 
 MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup, substrings)
 
 
 def queries():
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {k: s for m in MODULES for k, s in getattr(m, "ORACLE", {}).items()}
+    own = {k: s for m in MODULES for k, s in getattr(m, "ORACLE", {}).items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
