@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+MODULES: tuple = (text_queries,)
 
 
 def queries() -> dict[str, Query]:
