@@ -38,12 +38,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = BLO
             if not own:
                 continue
             x = np.array([batch.column("embedding")[i].as_py() for i in own], np.float64)
-            x /= np.sqrt((x * x).sum(1, keepdims=True)) + 1e-9
             asked = batch.column("_q")[0].as_py() if batch.num_rows else []
             names = pa.array([q["query_id"] for q in asked])
             q = np.array([q["embedding"] for q in asked], np.float64)
-            q /= np.sqrt((q * q).sum(1, keepdims=True)) + 1e-9
-            scores = q @ x.T
+            lengths = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+            scores = (q @ x.T) / (lengths + 1e-9)
             n = min(k, scores.shape[1])
             edge = -np.sort(-scores, axis=1)[:, n - 1 : n]
             at, which = np.nonzero(scores >= edge - 1e-9)  # all that tie with the k-th stay for the final cut
