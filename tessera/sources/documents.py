@@ -16,7 +16,7 @@ MIN_CHARS = 10
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each text or markdown file as a document; bytes that aren't UTF-8 are dropped."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.replace(F.decode(F.col("content"), "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.col("path").alias("document_id"), text.alias("text"), name.alias("source"), F.lit(1).alias("page_count"), described(name, F.col("length")).alias("metadata"))
 
