@@ -23,7 +23,7 @@ from .neardup import _edges, _groups
 LENGTH = 100
 GRAM = 32
 GROUP_LIMIT = 50_000
-HELD = 2_000_000
+HELD = 400_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
