@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step inside a task works on.
@@ -48,15 +48,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, by: str, n: int, key: str = "doc_id") -> DataFrame:
+    """Of each value of `by` the n rows with the smallest hash of `key`. Only a share of a large value's rows, about 2 n, is sorted."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))
+    rank = F.xxhash64(key)
+    share = F.pmod(rank, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = rows.join(sizes, by).filter(share * F.col("_size") <= 2 * n + 100)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(rank, F.lit(1 << 40)), key))
+    return some.withColumn("_place", place).filter(F.col("_place") <= n).drop("_size", "_place")
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[slice, pa.Array]]:
     """(rows, their texts as a string array without nulls), in steps of about `size` bytes; one long text is a step of its own."""
-    texts = pc.fill_null(batch.column(column), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
     at = 0
     while at < len(texts):
         to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
         to = max(at + 1, to)
-        yield slice(at, to), texts.slice(at, to - at)
+        yield slice(at, to), pc.fill_null(texts.slice(at, to - at), "")
         at = to
 
 

@@ -23,14 +23,15 @@ from .common import cut, documents, mixed, remainder, segment_sums, text_steps,
 
 WORD, PAIR, FOLLOW = 0, 1, 2
 #: Log bases of the levels by kind.
-BASES = (1.2, 2.0, 1.2)
-BITS = 12
-PROBES = 4
+BASES = (1.3, 2.0, 1.3)
+BITS = 10
+PROBES = 3
 END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 BROADCAST_BYTES = 256 << 20
+PIECE_BYTES = 24 << 20
 DOCS_A_SHARD = 4000
-HELD = 4_000_000
+HELD = 1_500_000
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -104,13 +105,15 @@ def probe(keys: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarr
     return out
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((mixed(keys ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+def shard_of(keys: np.ndarray, shards: int, kind: int) -> np.ndarray:
+    """Words are dealt by ranges of their hashes, so that sorted shards in a row are sorted; the others by another hash, as pairs of one left word share their upper half."""
+    spread = keys if kind == WORD else mixed(keys ^ np.uint64(0x2545F4914F6CDD1D))
+    return (((spread >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
     """One row for each shard that has keys."""
-    own = shard_of(keys, shards)
+    own = shard_of(keys, shards, kind)
     order = np.argsort(own, kind="stable")
     edges = np.searchsorted(own[order], np.arange(shards + 1))
     rows = [(s, keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
@@ -148,7 +151,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         def flush():
             for kind, (keys, counts) in held.items():
                 if keys:
-                    k, c = merged([x.tobytes() for x in keys], [x.astype(np.uint32).tobytes() for x in counts])
+                    k, c = merged([x.tobytes() for x in keys], [x.tobytes() for x in counts])
                     yield _runs(kind, k, c, shards)
                     keys.clear()
                     counts.clear()
@@ -159,7 +162,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
                 for kind, own in ((WORD, words), (PAIR, pair_keys(before, words))):
                     k, c = np.unique(own, return_counts=True)
                     held[kind][0].append(k)
-                    held[kind][1].append(c)
+                    held[kind][1].append(c.astype(np.uint32))
                 if sum(map(len, held[PAIR][0])) > HELD:
                     yield from flush()
         yield from flush()
@@ -194,25 +197,64 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     return Model(table.drop("n", "n1", "n2"), shards, int(word["n"]) if word else 0, int(word["v"]) if word else 0, n1 / (n1 + 2 * n2) if n1 else 0.5, int(size))
 
 
+@dataclass
+class Piece:
+    """Shards first..last of a kind in a row: the words of each filter, the filters, and a word's key and count."""
+
+    kind: int
+    first: int
+    sizes: np.ndarray
+    filters: bytes
+    keys: bytes
+    counts: bytes
+
+
+def pieces(table: DataFrame, shards: int, size: int = PIECE_BYTES):
+    """The table in pieces of about `size` bytes, so that the driver holds one at a time."""
+    own = F.length("filter") + F.length("keys") + F.length("counts")
+    sizes = {(r[0], r[1]): r[2] for r in table.select("kind", "shard", own).collect()}
+    for kind in (WORD, PAIR, FOLLOW):
+        first = 0
+        while first < shards:
+            last, total = first, sizes.get((kind, first), 0)
+            while last + 1 < shards and total + sizes.get((kind, last + 1), 0) <= size:
+                last += 1
+                total += sizes.get((kind, last), 0)
+            rows = {r["shard"]: r for r in table.filter((F.col("kind") == kind) & F.col("shard").between(first, last)).collect()}
+            held = [rows[s] for s in range(first, last + 1) if s in rows]
+            # a shard without keys has one word of zeros
+            filters = [bytes(rows[s]["filter"]) if s in rows else bytes(8) for s in range(first, last + 1)]
+            yield Piece(kind, first, np.array([len(x) // 8 for x in filters]), b"".join(filters), b"".join(bytes(r["keys"]) for r in held), b"".join(bytes(r["counts"]) for r in held))
+            first = last + 1
+
+
 class Tables:
-    """All shards in memory: look-ups by key."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes, bytes, bytes]], shards: int):
-        self.shards, self.start, self.size, self.words = shards, {}, {}, {}
-        for kind in (WORD, PAIR, FOLLOW):
-            own = {s: f for k, s, _, _, f in rows if k == kind}
-            sizes = np.array([len(own.get(s, b"")) // 8 or 1 for s in range(shards)], np.int64)
-            self.size[kind], self.start[kind] = sizes.astype(np.uint64), np.cumsum(sizes) - sizes
-            self.words[kind] = np.frombuffer(b"".join(own.get(s) or b"\0" * 8 for s in range(shards)), np.uint64)
-        words = [(k, c) for kind, _, k, c, _ in rows if kind == WORD]
-        self.keys, self.counts = merged([k for k, _ in words], [c for _, c in words])
+    """Look-ups by key in pieces that are held without a copy."""
+
+    def __init__(self, own: list[Piece], shards: int):
+        self.shards, self.own = shards, own
+
+    def _each(self, keys: np.ndarray, kind: int):
+        """(piece, places of its keys, their shards within it)."""
+        s = shard_of(keys, self.shards, kind)
+        for piece in self.own:
+            if piece.kind == kind:
+                rows = np.flatnonzero((s >= piece.first) & (s < piece.first + len(piece.sizes)))
+                if len(rows):
+                    yield piece, rows, s[rows] - piece.first
 
     def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        s = shard_of(keys, self.shards)
-        return probe(keys, self.start[kind][s], self.size[kind][s], self.words[kind], kind)
+        out = np.zeros(len(keys), np.int64)
+        for piece, rows, s in self._each(keys, kind):
+            starts = np.cumsum(piece.sizes) - piece.sizes
+            out[rows] = probe(keys[rows], starts[s], piece.sizes[s].astype(np.uint64), np.frombuffer(piece.filters, np.uint64), kind)
+        return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        return find(self.keys, self.counts, keys)
+        out = np.zeros(len(keys), np.int64)
+        for piece, rows, _ in self._each(keys, WORD):
+            out[rows] = find(np.frombuffer(piece.keys, np.uint64), np.frombuffer(piece.counts, np.uint32), keys[rows])
+        return out
 
 
 def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -220,7 +262,7 @@ def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.int64)
 
 
 def _scores(texts: pa.Array, tables, stats: tuple[int, int, float]) -> tuple[np.ndarray, ...]:
@@ -267,15 +309,14 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model.size > broadcast_bytes:
         return _score_by_shards(docs, model, stats)
-    rows = [tuple(r) for r in model.table.select("kind", "shard", "keys", "counts", "filter").toLocalIterator()]
-    sent = docs.sparkSession.sparkContext.broadcast([(k, s, bytes(a), bytes(b), bytes(c)) for k, s, a, b, c in rows])
     shards = model.shards
-    del rows
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(piece) for piece in pieces(model.table, shards)]
 
     def run(batches):
-        tables = Tables(sent.value, shards)
+        tables = Tables([x.value for x in sent], shards)
         for batch in batches:
-            for part, texts in text_steps(batch, "text", 2 << 20):
+            for part, texts in text_steps(batch, "text", 1 << 20):
                 yield _result(batch.column("doc_id")[part], _scores(texts, tables, stats))
 
     return docs.mapInArrow(run, OUT)
@@ -317,7 +358,7 @@ def _score_by_shards(docs: DataFrame, model: Model, stats, docs_a_block: int = 4
         rows = []
         for kind, keys in noted.need.items():
             keys = np.unique(np.concatenate(keys))
-            s = shard_of(keys, shards)
+            s = shard_of(keys, shards, max(kind, WORD))
             rows += [(max(kind, WORD), int(x), int(group["block"].iloc[0]), kind < 0, keys[s == x].tobytes()) for x in np.unique(s)]
         return pd.DataFrame(rows, columns=["kind", "shard", "block", "exact", "keys"])
 
