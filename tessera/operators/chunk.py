@@ -34,10 +34,28 @@ def _pieces(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\S+\s*"), F.lit(0))
 
 
-def fixed(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 50, pieces: Callable[[Column], Column] = _pieces) -> DataFrame:
-    """Windows of `size` tokens, `size - overlap` apart; the last one ends with the text. `pieces` splits a text into tokens that join to it."""
-    own = df.withColumn("_p", pieces(F.col(text))).withColumn("_n", F.size("_p"))
+def fixed(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 50, pieces: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Windows of `size` tokens, `size - overlap` apart; the last one ends with the text. `pieces` splits a text into tokens that join to it, words by default.
+
+    Words are matched in blocks of one stride, and a window is a block and the head of the next one, so a text is gone through once whatever its length.
+    """
     step = size - overlap
+    if pieces is not None or overlap > step:
+        return _sliced(df, text, size, overlap, pieces or _pieces)
+    own = df.withColumn("_b", F.regexp_extract_all(F.col(text), F.lit(rf"(?:\S++\s*+){{1,{step}}}+"), F.lit(0)))
+    count = (F.size("_b") - 1) * step + F.size(F.regexp_extract_all(F.element_at("_b", -1), F.lit(r"\S+"), F.lit(0)))
+    own = own.withColumn("_k", F.when(F.size("_b") > 0, 1 + F.ceil(F.greatest(count - size, F.lit(0)) / step)).otherwise(0).cast("int"))
+    head = lambda i: F.coalesce(F.regexp_extract(F.get("_b", i + 1), rf"^(?:\S++\s*+){{0,{overlap}}}+", 0), F.lit(""))
+    cut = F.transform(F.slice("_b", F.lit(1), F.col("_k")), lambda b, i: F.struct(
+        F.regexp_replace(F.concat(b, head(i)), r"\s+$", "").alias("content"),
+        F.length(F.array_join(F.slice("_b", F.lit(1), i), "")).alias("start_char"),
+    ))
+    return finish(own.withColumn("chunks", cut))
+
+
+def _sliced(df: DataFrame, text: str, size: int, overlap: int, pieces: Callable[[Column], Column]) -> DataFrame:
+    step = size - overlap
+    own = df.withColumn("_p", pieces(F.col(text))).withColumn("_n", F.size("_p"))
     count = F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / step).cast("int")
     starts = F.sequence(F.lit(0), count * step, F.lit(step))
     cut = F.transform(starts, lambda s: F.struct(
@@ -47,7 +65,7 @@ def fixed(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 50,
     return finish(own.withColumn("chunks", F.when(F.col("_n") > 0, cut).otherwise(F.array())))
 
 
-def semantic(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 50, model_max_tokens: int = 256, pieces: Callable[[Column], Column] = _pieces) -> DataFrame:
+def semantic(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 50, model_max_tokens: int = 256, pieces: Callable[[Column], Column] | None = None) -> DataFrame:
     """Windows in the embedding model's own tokens, at most as many as it takes."""
     return fixed(df, text, min(size, model_max_tokens), overlap, pieces)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,14 @@ from tessera.operators import evaluate as E
 from tessera.operators.embed import Embedder, embed
 from tessera.sources import documents as D
 
+Hold = Callable[[DataFrame], DataFrame]
+
 
-def ingest(docs: DataFrame, embedder: Embedder, size: int = 128, overlap: int = 16, unicode_form: str | None = "NFKC") -> tuple[DataFrame, DataFrame]:
+def ingest(docs: DataFrame, embedder: Embedder, size: int = 128, overlap: int = 16, unicode_form: str | None = "NFKC", hold: Hold = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """docs (document_id, text, source_file) -> (status rows, index rows (id, embedding, metadata))."""
     checked = D.ingest_status(docs, D.reject_reason(F.col("source_file"), F.octet_length("text"), F.col("text")))
     fine = checked.filter("status = 'queued'").withColumn("text", T.clean(F.col("text"), unicode_form))
-    chunks = chunk.fixed(fine.select("document_id", "text"), size=size, overlap=overlap)
+    chunks = hold(chunk.fixed(fine.select("document_id", "text"), size=size, overlap=overlap))
     embedded, _ = embed(chunks, embedder)
     named = embedded.join(docs.select("document_id", "source_file"), "document_id")
     meta = F.create_map(F.lit("content"), F.col("content"), F.lit("document_id"), F.col("document_id").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("source_file"), F.col("source_file"))
@@ -30,30 +34,32 @@ def with_embedding(df: DataFrame, embedder: Embedder, content: str) -> DataFrame
     return embed(df, embedder, content)[0].drop("from_cache")
 
 
-def answers(queries: DataFrame, chunks: DataFrame, embedder: Embedder, responses: DataFrame | None = None, k: int = 10, now: Column | None = None) -> DataFrame:
+def answers(queries: DataFrame, chunks: DataFrame, embedder: Embedder, responses: DataFrame | None = None, k: int = 10, now: Column | None = None, hold: Hold = lambda df: df) -> DataFrame:
     """(query_id, text) -> one row a query: class, tier, cache layer, and for cache misses the prompt and its sources.
 
     chunks: (chunk_id, document_id, content, embedding). Every stage works on the whole query table; candidates carry ids and scores until the last cut.
+    `hold` is put on what several stages read: DataFrame.persist, a checkpoint, or nothing.
     """
-    routed = route.route(classify.classify(queries))
-    asked = with_embedding(routed, embedder, "text")
+    routed = hold(route.route(classify.classify(queries)))
+    asked = hold(with_embedding(routed, embedder, "text"))
+    chunks = hold(chunks)
     if responses is not None:
-        cached = cache.respond(asked.select("query_id", "text", "embedding"), responses)
+        cached = hold(cache.respond(asked.select("query_id", "text", "embedding"), hold(responses)))
         open_ = asked.join(cached.filter("NOT hit").select("query_id"), "query_id", "left_semi")
     else:
         cached, open_ = None, asked
     forms = expand.all_queries(open_.select("query_id", "text"))
     # a form of a query searches under an id of its own
     form_id = F.concat(F.col("query_id").cast("string"), F.lit("/"), F.col("variation_no").cast("string"))
-    forms = with_embedding(forms.withColumn("form_id", form_id), embedder, "text")
+    forms = hold(with_embedding(forms.withColumn("form_id", form_id), embedder, "text"))
     hits = fusion.hybrid_search(forms.select(F.col("form_id").alias("query_id"), "text", "embedding"), chunks, now=now)
     named = hits.withColumnRenamed("query_id", "form_id").join(forms.select("form_id", "query_id", "variation_no"), "form_id")
-    merged = expand.merge_candidates(named.select("query_id", "variation_no", "chunk_id", "combined_score", "rank"))
+    merged = hold(expand.merge_candidates(named.select("query_id", "variation_no", "chunk_id", "combined_score", "rank")))
     texts = merged.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id").join(open_.select("query_id", F.col("text").alias("query")), "query_id")
     ranked = rerank.rerank(texts, k=2 * k, score="combined_score").withColumnRenamed("new_rank", "rank")
     kept = relevance.filter_hits(ranked.drop("original_rank", "original_score", "rank_change"), score="rerank_score")
     limits = open_.select("query_id", context.budget(context.query_type(F.col("category"))).alias("limit"))
-    built = context.build(kept.withColumn("rank", F.col("rank") + 1).join(limits, "query_id"), F.col("limit"))
+    built = hold(context.build(kept.withColumn("rank", F.col("rank") + 1).join(limits, "query_id"), F.col("limit")))
     body = context.joined(built, "\n---\n")
     used = built.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "document_id"))).alias("_s")).select("query_id", F.transform("_s", lambda s: s["document_id"]).alias("sources"))
     out = routed.join(body, "query_id", "left").join(used, "query_id", "left")
@@ -66,14 +72,15 @@ def answers(queries: DataFrame, chunks: DataFrame, embedder: Embedder, responses
     return out.withColumn("prompt", prompt).select("query_id", "category", "tier", "layer", "response", "prompt", "sources")
 
 
-def evaluated(queries: DataFrame, chunks: DataFrame, qrels: DataFrame, k: int = 10, full: bool = True) -> DataFrame:
+def evaluated(queries: DataFrame, chunks: DataFrame, qrels: DataFrame, k: int = 10, full: bool = True, hold: Hold = lambda df: df) -> DataFrame:
     """Per-query metrics of the pipeline over (query_id, text, embedding): hybrid search and rerank, or with full=False vector search alone."""
+    queries, chunks = hold(queries), hold(chunks)
     if full:
         hits = fusion.hybrid_search(queries, chunks, weights=(5.0, 3.0, 0.0))
         texts = hits.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
         found = rerank.rerank(texts, k=k, score="combined_score").select("query_id", F.col("chunk_id").alias("doc_id"), F.col("new_rank").alias("rank"))
     else:
         found = vectors.top_k(queries, chunks.select(F.col("chunk_id").alias("id"), "embedding"), k).select("query_id", F.col("id").alias("doc_id"), "rank")
-    return E.per_query(found, qrels)
+    return E.per_query(hold(found), hold(qrels))
 
 

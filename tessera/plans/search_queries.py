@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
@@ -396,5 +397,5 @@ def _embedded(s, d):
     return P.with_embedding(Z.searches(s, d), e, "text"), P.with_embedding(Z.chunks(s, d), e, "content")
 
 
-put("evl_09_pipeline", lambda s, d: P.evaluated(*_embedded(s, d), Z.qrels(s, d)))
+put("evl_09_pipeline", lambda s, d: P.evaluated(*_embedded(s, d), Z.qrels(s, d), hold=DataFrame.persist))
 put("fus_06_hybrid_search", lambda s, d: U.hybrid_search(*_embedded(s, d), k=10, now=Z.now()).select("query_id", "chunk_id", r6("combined_score"), "rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -290,7 +291,7 @@ def _doc_05(spark, sf_dir):
     from .pipelines import ingest
 
     docs = Z.documents(spark, sf_dir).select("document_id", "text", F.concat(F.col("source"), F.lit(".txt")).alias("source_file"))
-    status, rows = ingest(docs, E.hashing_embedder())
+    status, rows = ingest(docs, E.hashing_embedder(), hold=DataFrame.persist)
     return status.join(rows.groupBy(F.col("metadata")["document_id"].alias("document_id")).agg(F.count("*").alias("indexed")), "document_id", "left")
 
 

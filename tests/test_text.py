@@ -50,3 +50,12 @@ def test_pages_and_whole(spark):
     docs = spark.createDataFrame([("d", "one\fTwo words\f \fthree")], "document_id string, text string")
     assert [(r.page_number, r.content) for r in C.pages(docs).orderBy("page_number").collect()] == [(1, "one"), (2, "Two words"), (4, "three")]
     assert C.whole(docs).count() == 1
+
+
+def test_own_tokenizer_and_large_overlap(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([("d", text)], "document_id string, text string")
+    by_char = C.fixed(docs, size=10, overlap=2, pieces=lambda c: F.split(c, "")).orderBy("chunk_index").collect()
+    assert by_char[0].content == text[:10].rstrip() and all(len(r.content) <= 10 for r in by_char)
+    rows = C.fixed(docs, size=10, overlap=8).orderBy("chunk_index").collect()
+    assert [r.content.split()[0] for r in rows] == [f"w{i}" for i in range(0, 91, 2)] and rows[-1].content.endswith("w99")
