@@ -21,7 +21,9 @@ def chunk_id(document_id: Column, start: Column, content: Column) -> Column:
 def finish(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     """(document_id, chunks array<struct<content, start_char>>) -> one row a chunk, blank chunks dropped before they are numbered."""
     solid = F.filter("chunks", lambda x: T.strip(x["content"]) != "")
-    out = df.withColumn("_solid", solid).select("document_id", *keep, F.size("_solid").cast("long").alias("total_chunks"), F.posexplode("_solid").alias("chunk_index", "c"))
+    out = df.withColumn("_solid", solid).select("document_id", *keep, F.size("_solid").cast("long").alias("total_chunks"), F.posexplode_outer("_solid").alias("chunk_index", "c"))
+    # an inner explode would have its input worked out once more, in a filter below it
+    out = out.filter("c IS NOT NULL")
     content, start = F.col("c.content"), F.col("c.start_char").cast("long")
     return out.select(
         chunk_id(F.col("document_id").cast("string"), start, content).alias("chunk_id"), "document_id", *keep, content.alias("content"), start.alias("start_char"),

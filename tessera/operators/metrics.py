@@ -74,7 +74,7 @@ def rate_limit(requests: DataFrame, most: int = 100, window: int = 60) -> DataFr
         'out', concat(s.out, array(named_struct('ts', cast(r.ts AS double), 'request_id', cast(r.request_id AS bigint), 'allowed', size(k) < {most},
           'retry_after', IF(size(k) < {most}, 0L, cast(greatest(0, floor({window} - (r.ts - array_min(k)))) AS bigint)))))))[0],
       s -> s.out)"""
-    return runs.select("client", F.explode(F.expr(fold)).alias("r")).select("client", "r.*")
+    return runs.select("client", F.explode_outer(F.expr(fold)).alias("r")).select("client", "r.*")
 
 
 def sliding_counts(requests: DataFrame, window: int = 60) -> DataFrame:
