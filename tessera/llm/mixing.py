@@ -64,9 +64,9 @@ def schedule(runs: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame, source: str, key: str, rows: int) -> DataFrame:
-    """Adds _source and _i, a number from 0 within the source, in an order mixed by hash of `key`. A source is numbered in buckets of about
-    10,000 rows whose offsets are summed up first, so that no task gets a whole source."""
-    buckets = max(1, rows // (BUCKET_ROWS // 2))
+    """Adds _source and _i, a number from 0 within the source, in an order mixed by hash of `key`. A source is numbered in buckets of at most
+    about BUCKET_ROWS rows whose offsets are summed up first, so that no task gets a whole source."""
+    buckets = max(64, rows // BUCKET_ROWS)
     site = F.coalesce(F.col(source).cast("string"), F.lit(""))
     bucket = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(buckets))
     own = docs.withColumn("_source", site).withColumn("_bucket", bucket)
