@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents
 
 RATIO = 0.05
 MIN_PAGES = 5
+BROADCAST_MARKS = 200_000
 
 
 def _mark(line: Column) -> Column:
@@ -39,7 +40,10 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     Null hosts form one site; a null text stays null and has no lines.
     """
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    marks = boilerplate(pages, host, text, ratio, min_pages).withColumnRenamed("host", "_site").withColumnRenamed("marks", "_marks")
+    marks = cut(boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("_site"), F.col("marks").alias("_marks")))
+    n, hosts = marks.agg(F.coalesce(F.sum(F.size("_marks")), F.lit(0)), F.count("*")).first()
+    if n + hosts <= BROADCAST_MARKS:  # then no text is shuffled
+        marks = F.broadcast(marks)
     out = pages.withColumn("_site", site).join(marks, "_site", "left").withColumn("_lines", F.split(F.col(text), "\n"))
     fine = F.filter("_lines", lambda x: ~F.array_contains(F.col("_marks"), _mark(x)))
     out = out.withColumn("_fine", F.when(F.col("_marks").isNull(), F.col("_lines")).otherwise(fine))
