@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans import registry
@@ -23,7 +24,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or (isinstance(v, float) and np.isnan(v)) else v.item() if isinstance(v, np.generic) else v
+    clean = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else v.item() if isinstance(v, np.generic) else v
     return sorted(([clean(v) for v in r] for r in df.astype(object).itertuples(index=False)), key=str)
 
 
