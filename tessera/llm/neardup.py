@@ -251,10 +251,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, node_limit:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text): the class of texts linked by
     100 * |A & B| >= percent * |A | B| over k-word shingles, named by its smallest doc_id, which alone is kept.
 
-    A text without words has an empty set and is its own class. Repeated rows are in one class.
+    A text without words has an empty set and is its own class. Repeated rows are in one class. Rows without a doc_id are linked with nothing and kept.
     """
     all_ = cut(sketches(docs, k))
-    some = all_.filter("n_shingles > 0")
+    some = all_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = some.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "mins")).alias("m"))
     first = cut(first.select("key1", "key2", "n_shingles", "m.doc_id", "m.mins"))
     # one row a member even if its doc_id is repeated with another text
@@ -263,8 +263,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, node_limit:
     named = first.select("key1", "key2", "n_shingles", F.col("doc_id").alias("node")).join(roots, "node", "left")
     named = named.select("key1", "key2", F.col("n_shingles").alias("_n"), F.coalesce("root", "node").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "key1", "key2").join(named.withColumnRenamed("key1", "k1").withColumnRenamed("key2", "k2"), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n_shingles") == F.col("_n")), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_neardup(spark, sf_dir):

@@ -210,6 +210,14 @@ def test_neardup(docs, corpus, empty, k, limit, depth):
         assert neardup.near_duplicates(empty, k).count() == 0
 
 
+def test_neardup_without_ids(spark, corpus):
+    rows = [(d, t) for d, t, *_ in corpus[60:70]] + [(None, corpus[60][1]), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    want = classes([x for x in rows if x[0] is not None], 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+
+
 def test_linked_spans_classes():
     r = random.Random(7)
     base = list(range(100))
