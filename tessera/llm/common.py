@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step inside a task works on.
 STEP_BYTES = 8 << 20
+#: Distinct values up to which their counts are broadcast.
+BROADCAST_VALUES = 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
 def bounded_sample(rows: DataFrame, by: str, n: int, key: str = "doc_id") -> DataFrame:
     """Of each value of `by` the n rows with the smallest hash of `key`. Only a share of a large value's rows, about 2 n, is sorted."""
     sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))
+    if sizes.count() <= BROADCAST_VALUES:  # else a value with most rows would be shuffled to one task before the cut
+        sizes = F.broadcast(sizes)
     rank = F.xxhash64(key)
     share = F.pmod(rank, F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = rows.join(sizes, by).filter(share * F.col("_size") <= 2 * n + 100)

@@ -11,10 +11,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, documents, remainder, segment_sums, text_steps
+from .common import bounded_sample, buffers, documents, remainder, segment_sums, text_steps
 
 DIM = 4096
 UNKNOWN = "und"
@@ -100,9 +100,10 @@ class Model:
         own = np.array(langs)
         fam = np.array([family_of(k) for k in langs])
         scale = 1 / np.sqrt(x.mean(0) + 1e-4) if len(x) else np.ones(DIM)
-        x = x * scale
-        norm = np.sqrt((x * x).sum(1).mean()) if len(x) else 1.0
-        x, scale = x / norm, scale / norm
+        x = x * scale.astype(np.float32)
+        norm = np.float32(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else np.float32(1)
+        x /= norm
+        scale = scale / norm
         self.pairs = [p for f in self.families for p in combinations([k for k in self.langs if family_of(k) == f], 2)]
         fits = [svm(x, np.where(fam == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
         for p, q in self.pairs:
@@ -137,13 +138,12 @@ class Model:
         return lang.tolist(), [UNKNOWN if x == UNKNOWN else family_of(x) for x in lang], np.clip(score, 0, 1)
 
 
-def fit(labelled: DataFrame, max_rows: int = 1600, lines: int = 3) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 800, lines: int = 2) -> Model:
     """Learn from (doc_id, text, lang). At most `max_rows` documents are read, an equal number for each language, those with the
     smallest hash of doc_id; each gives its whole text and up to `lines` of its lines as rows, so that short texts are learned too."""
     keys = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("doc_id", "lang")
     n = keys.agg(F.approx_count_distinct("lang")).first()[0]
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= max(20, max_rows // max(1, n))).select("doc_id").distinct()
+    chosen = bounded_sample(keys, "lang", max(20, max_rows // max(1, n))).select("doc_id").distinct()
 
     def rows(batches):
         for batch in batches:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, text_steps
+from .common import bounded_sample, documents, remainder, text_steps
 
 STRIP = ".,;:!?\"'()[]{}|*_-#…«»“”‘’"
 
@@ -105,8 +105,7 @@ def train(toxic: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray
 def fit(labelled: DataFrame, max_rows: int = 6000) -> Model:
     """Learn from (doc_id, text, toxic): at most `max_rows` documents, half of each label, those with the smallest hash of doc_id."""
     keys = labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
-    own = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= max_rows // 2).select("doc_id").distinct()
+    chosen = bounded_sample(keys, "toxic", max_rows // 2).select("doc_id").distinct()
     sample = labelled.select("doc_id", "text", "toxic").join(chosen, "doc_id", "left_semi")
     got = sample.select("text", F.col("toxic").cast("int")).mapInArrow(_bags, "toxic int, words binary, sentences binary").toPandas()
     got = got.sort_values(["toxic", "words"])
