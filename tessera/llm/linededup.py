@@ -13,6 +13,9 @@ from .common import cut, documents
 RATIO = 0.05
 MIN_PAGES = 5
 BROADCAST_MARKS = 200_000
+#: A host with over 1 / HOT_SHARE of all pages is dealt over SALTS tasks.
+HOT_SHARE = 1000
+SALTS = 64
 
 
 def _mark(line: Column) -> Column:
@@ -34,6 +37,19 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     return found.groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 
+def _with_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """`pages` joined to `marks` by shuffle on _site. Fewer than HOT_SHARE hosts can be hot; their marks are repeated for each salt."""
+    sizes = pages.groupBy("_site").agg(F.count("*").alias("_n"))
+    total = pages.agg(F.count("*").alias("_total"))
+    hot = sizes.join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total")).select("_site", F.lit(SALTS).alias("_salts"))
+    hot = F.broadcast(cut(hot))
+    # the number of the scan's partition, so that a task that is run again deals its rows alike
+    dealt = pages.withColumn("_part", F.spark_partition_id()).join(hot, "_site", "left")
+    dealt = dealt.withColumn("_salt", F.col("_part") % F.coalesce("_salts", F.lit(1))).drop("_part", "_salts")
+    spread = marks.join(hot, "_site", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return dealt.join(spread.drop("_salts"), ["_site", "_salt"], "left").drop("_salt")
+
+
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """`pages` with the boilerplate lines cut from `text`; adds n_lines and n_removed. Other columns and the order of lines stay.
 
@@ -42,9 +58,10 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
     marks = cut(boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("_site"), F.col("marks").alias("_marks")))
     n, hosts = marks.agg(F.coalesce(F.sum(F.size("_marks")), F.lit(0)), F.count("*")).first()
-    if n + hosts <= BROADCAST_MARKS:  # then no text is shuffled
-        marks = F.broadcast(marks)
-    out = pages.withColumn("_site", site).join(marks, "_site", "left").withColumn("_lines", F.split(F.col(text), "\n"))
+    own = pages.withColumn("_site", site)
+    # with few marks no text is shuffled
+    out = own.join(F.broadcast(marks), "_site", "left") if n + hosts <= BROADCAST_MARKS else _with_marks(own, marks)
+    out = out.withColumn("_lines", F.split(F.col(text), "\n"))
     fine = F.filter("_lines", lambda x: ~F.array_contains(F.col("_marks"), _mark(x)))
     out = out.withColumn("_fine", F.when(F.col("_marks").isNull(), F.col("_lines")).otherwise(fine))
     out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))

@@ -370,6 +370,16 @@ def test_line_dedup(spark, docs, corpus, empty):
     assert linededup.drop_boilerplate(docs).count() == len(corpus) and linededup.drop_boilerplate(empty).count() == 0
 
 
+def test_linededup_by_shuffle(spark, docs, empty, monkeypatch):
+    rows = lambda: sorted(map(str, linededup.drop_boilerplate(docs.select("doc_id", "source", "text").repartition(8, "doc_id")).collect()))
+    one = rows()
+    monkeypatch.setattr(linededup, "BROADCAST_MARKS", -1)
+    assert rows() == one
+    # by default every host of so few is hot; with a share of two only one with over half of the pages
+    monkeypatch.setattr(linededup, "HOT_SHARE", 2)
+    assert rows() == one and linededup.drop_boilerplate(empty).count() == 0
+
+
 # --- 10
 
 
