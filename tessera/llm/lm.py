@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, documents, mixed, remainder, segment_sums, text_steps, words_of
 
 WORD, PAIR, FOLLOW = 0, 1, 2
+#: Look-ups of a word's exact count, told apart from those of its level.
+EXACT = -1
 #: Log bases of the levels by kind.
 BASES = (1.3, 2.0, 1.3)
 BITS = 10
@@ -30,6 +32,8 @@ END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 BROADCAST_BYTES = 256 << 20
 PIECE_BYTES = 24 << 20
+#: Bytes of text that are scored at once; one long text is scored alone.
+STEP = 1 << 20
 DOCS_A_SHARD = 4000
 HELD = 1_500_000
 
@@ -316,7 +320,7 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES)
     def run(batches):
         tables = Tables([x.value for x in sent], shards)
         for batch in batches:
-            for part, texts in text_steps(batch, "text", 1 << 20):
+            for part, texts in text_steps(batch, "text", STEP):
                 yield _result(batch.column("doc_id")[part], _scores(texts, tables, stats))
 
     return docs.mapInArrow(run, OUT)
@@ -335,36 +339,48 @@ class _Asked:
         return find(*self.got[kind], keys) if kind in self.got else np.zeros(len(keys), np.int64)
 
     def count(self, keys):
-        if self.got is None:
-            self.need.setdefault(-1, []).append(np.unique(keys))
-            return np.zeros(len(keys), np.int64)
-        return find(*self.got[-1], keys) if -1 in self.got else np.zeros(len(keys), np.int64)
+        return self.level(keys, EXACT)
 
 
-def _score_by_shards(docs: DataFrame, model: Model, stats, docs_a_block: int = 4000) -> DataFrame:
-    """The same by two shuffles: a block's distinct keys go to their shards, and levels and counts come back to the block."""
-    shards = model.shards
-    blocks = max(1, docs.count() // docs_a_block)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+def _texts(group: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(group["doc_id"], pa.int64(), from_pandas=True), pa.array(group["text"], pa.string(), from_pandas=True)], names=["doc_id", "text"])
 
-    def ask(group: pd.DataFrame) -> pd.DataFrame:
-        texts, noted = pa.array(group["text"].fillna(""), pa.string()), _Asked()
+
+def _needs(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+    """The distinct keys, sorted, that scoring the texts looks up, by kind."""
+    noted = _Asked()
+    for _, texts in text_steps(batch, "text", STEP):
         words, before, _ = tokens_of(texts)
         own = np.unique(words)
         noted.count(own)
         noted.level(np.append(own, END), WORD)
         noted.level(np.append(own, START) & np.uint64(0xFFFFFFFF00000000), FOLLOW)
         noted.level(pair_keys(before, words), PAIR)
+    return {kind: np.unique(np.concatenate(keys)) for kind, keys in noted.need.items()}
+
+
+def _score_by_shards(docs: DataFrame, model: Model, stats, docs_a_block: int = 4000) -> DataFrame:
+    """The same by two shuffles: a block's distinct keys go to their shards, and levels and counts come back to the block.
+
+    Replies are values alone, in the order of the keys, which the block works out again: a byte for a level.
+    """
+    shards = model.shards
+    blocks = max(1, docs.count() // docs_a_block)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+
+    def ask(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for kind, keys in noted.need.items():
-            keys = np.unique(np.concatenate(keys))
+        for kind, keys in _needs(_texts(group)).items():
             s = shard_of(keys, shards, max(kind, WORD))
-            rows += [(max(kind, WORD), int(x), int(group["block"].iloc[0]), kind < 0, keys[s == x].tobytes()) for x in np.unique(s)]
+            order = np.argsort(s, kind="stable")
+            own, first = np.unique(s[order], return_index=True)
+            for x, part in zip(own.tolist(), np.split(keys[order], first[1:]), strict=True):
+                rows.append((max(kind, WORD), x, int(group["block"].iloc[0]), kind == EXACT, part.tobytes()))
         return pd.DataFrame(rows, columns=["kind", "shard", "block", "exact", "keys"])
 
     def answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for kind, block, exact, keys in zip(asked["kind"], asked["block"], asked["exact"], asked["keys"], strict=True):
+        for kind, shard, block, exact, keys in zip(asked["kind"], asked["shard"], asked["block"], asked["exact"], asked["keys"], strict=True):
             k = np.frombuffer(keys, np.uint64)
             if not len(table):
                 values = np.zeros(len(k), np.int64)
@@ -373,22 +389,25 @@ def _score_by_shards(docs: DataFrame, model: Model, stats, docs_a_block: int = 4
             else:
                 words = np.frombuffer(table["filter"].iloc[0], np.uint64)
                 values = probe(k, np.zeros(len(k), np.int64), np.full(len(k), len(words), np.uint64), words, int(kind))
-            rows.append((int(block), -1 if exact else int(kind), keys, values.astype(np.uint32).tobytes()))
-        return pd.DataFrame(rows, columns=["block", "kind", "keys", "values"])
+            rows.append((int(block), EXACT if exact else int(kind), int(shard), values.astype(np.uint32 if exact else np.uint8).tobytes()))
+        return pd.DataFrame(rows, columns=["block", "kind", "shard", "values"])
 
     def finish(group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
             return pd.DataFrame(columns=[x.split()[0] for x in OUT.split(", ")])
-        got = {}
-        for kind, own in replies.groupby("kind"):
-            k, v = np.frombuffer(b"".join(own["keys"]), np.uint64), np.frombuffer(b"".join(own["values"]), np.uint32).astype(np.int64)
-            order = np.argsort(k)
-            got[int(kind)] = (k[order], v[order])
-        found = _scores(pa.array(group["text"].fillna(""), pa.string()), _Asked(got), stats)
-        return _result(pa.array(group["doc_id"], pa.int64(), from_pandas=True), found).to_pandas()
+        batch, got = _texts(group), {}
+        needs = _needs(batch)
+        for kind, own in replies.sort_values("shard").groupby("kind"):
+            keys, raw = needs[int(kind)], np.frombuffer(b"".join(own["values"]), np.uint32 if kind == EXACT else np.uint8)
+            values = np.empty(len(keys), np.int64)
+            values[np.argsort(shard_of(keys, shards, max(int(kind), WORD)), kind="stable")] = raw
+            got[int(kind)] = (keys, values)
+        asked = _Asked(got)
+        done = [_result(batch.column("doc_id")[part], _scores(texts, asked, stats)) for part, texts in text_steps(batch, "text", STEP)]
+        return pa.Table.from_batches(done).to_pandas()
 
     asks = dealt.groupBy("block").applyInPandas(ask, "kind int, shard int, block int, exact boolean, keys binary")
-    replies = asks.groupBy("kind", "shard").cogroup(model.table.groupBy("kind", "shard")).applyInPandas(answer, "block int, kind int, keys binary, values binary")
+    replies = asks.groupBy("kind", "shard").cogroup(model.table.groupBy("kind", "shard")).applyInPandas(answer, "block int, kind int, shard int, values binary")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(finish, OUT)
 
 
