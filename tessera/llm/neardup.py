@@ -5,7 +5,9 @@ minimum of its set under the hash functions that the node selects, so similar se
 compared exhaustively by sketch; larger ones branch again, and what a path of MAX_DEPTH steps can't part is compared in tiles. The clusters that the
 sketches leave are confirmed on full sets, a cluster found in many nodes once. Only links that join two classes of a cluster leave a task, so a group of n copies gives n - 1.
 
-A pair of similarity J goes along a tree with probability q = 1 - (1 - J q)**BRANCHES, so it is missed by all TREES trees with (1 - q)**TREES: below 2e-5 at J = 0.8.
+A pair of similarity J goes along a tree with probability q = 1 - (1 - J q)**BRANCHES, so it would be missed by all TREES
+trees with (1 - q)**TREES, 2.6e-6 at one level and 1.5e-5 at six for J = 0.8, if no two levels shared a function. As all draw on the same HASHES functions, simulated pairs
+at 0.8 were missed in 5 of 800,000 cases at one level, 42 of 600,000 at four and 41 of 400,000 at six.
 """
 
 from __future__ import annotations
@@ -26,6 +28,30 @@ MAX_DEPTH = 6
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)
+_BRANCHES = np.arange(1, BRANCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def branches(node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(path, hash function) of each of a node's BRANCHES branches: no two paths coincide, and a node's branches have different functions."""
+    node = mixed(node)
+    first, step = mixed(node), mixed(~node) | np.uint64(1)
+    return [(mixed(node ^ _BRANCHES[j]), ((first + np.uint64(j) * step) % np.uint64(HASHES)).astype(np.int64)) for j in range(BRANCHES)]
+
+
+def _roots() -> list[int]:
+    """Nodes of the TREES trees, far apart, whose first branches all have different functions."""
+    roots, used, at = [], set(), 0
+    while len(roots) < TREES:
+        at += 1
+        root = mixed(np.array([at], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        own = {int(which[0]) for _, which in branches(root)}
+        if not own & used:
+            roots.append(int(root.astype(np.int64)[0]))
+            used |= own
+    return roots
+
+
+ROOTS = _roots()
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -79,9 +105,7 @@ def branch(members: DataFrame) -> DataFrame:
             mins = _matrix(batch.column("mins"), HASHES, np.uint32)
             node = batch.column("node").to_numpy().astype(np.uint64)
             sketch = pa.array([x.tobytes() for x in (mins & 255).astype(np.uint8)], pa.binary())
-            for j in range(BRANCHES):
-                path = mixed(node + np.uint64(j + 1))
-                which = (path % np.uint64(HASHES)).astype(np.int64)
+            for path, which in branches(node):
                 child = mixed(path ^ mixed(mins[np.arange(len(mins)), which].astype(np.uint64) + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column("doc_id"), sketch], names=["node", "doc_id", "sketch"])
 
@@ -143,13 +167,16 @@ def clusters(nodes: DataFrame, least: int) -> DataFrame:
             table = table.combine_chunks()
             node, doc = table["node"].to_numpy(), table["doc_id"].to_numpy()
             sketch = _matrix(table["sketch"].combine_chunks(), HASHES, np.uint8)
-            marks = mixed(doc.astype(np.uint64))
             number, member = [], []
             for a, b in _edges(node):
-                n = b - a
+                own, ids = sketch[a:b], doc[a:b]
+                if len(np.unique(ids)) < len(ids):  # a doc_id repeated with another text meets itself in the joins
+                    once = np.unique(np.column_stack([ids.view(np.uint8).reshape(-1, 8), own]), axis=0, return_index=True)[1]
+                    own, ids = own[once], ids[once]
+                n = len(ids)
                 if n < 2:
                     continue
-                own, sets = sketch[a:b], _Sets(n)
+                sets = _Sets(n)
                 for i in range(n - 1):
                     for j in np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= least).tolist():
                         sets.join(i, i + 1 + j)
@@ -157,10 +184,10 @@ def clusters(nodes: DataFrame, least: int) -> DataFrame:
                     continue
                 root = np.array([sets.find(i) for i in range(n)])
                 size, total = np.bincount(root, minlength=n), np.zeros(n, np.uint64)
-                np.add.at(total, root, marks[a:b])
+                np.add.at(total, root, mixed(ids.astype(np.uint64)))
                 keep = size[root] > 1
                 number.append(mixed(total[root] + size[root].astype(np.uint64))[keep])
-                member.append(doc[a:b][keep])
+                member.append(ids[keep])
             if number:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(number).astype(np.int64)), pa.array(np.concatenate(member))], names=["cluster", "doc_id"])
 
@@ -219,7 +246,7 @@ def confirm(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int, node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(a, b) between members (doc_id, mins) of different sets; `docs` has their texts."""
-    roots = members.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"), "doc_id", "mins")
+    roots = members.select(F.explode(F.array(*(F.lit(x).cast("long") for x in ROOTS))).alias("node"), "doc_id", "mins")
     level, leaves = branch(roots), []
     for depth in range(max_depth):
         large = level.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > node_limit)

@@ -218,6 +218,29 @@ def test_neardup_without_ids(spark, corpus):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
 
 
+def test_neardup_trees_are_independent():
+    r = np.random.default_rng(4)
+    roots = np.array(neardup.ROOTS).astype(np.uint64)
+    paths = [p for root in roots for p in neardup.branches(root[None])]
+    assert len({int(p[0]) for p, _ in paths}) == len({int(w[0]) for _, w in paths}) == neardup.TREES * neardup.BRANCHES
+    # pairs of 180 shingles that share 160, J = 0.8: the sets' minima lead them into a common node of the first level but for 0.2 ** 8
+    n, missed = 20_000, 0
+    for _ in range(n):
+        own = r.integers(0, 1 << 63, 200, np.uint64)
+        a, b = neardup.minima(own[:180]), neardup.minima(np.append(own[:160], own[180:]))
+        missed += not any(a[w[0]] == b[w[0]] for _, w in paths)
+    assert missed <= 2
+
+
+def test_neardup_finds_planted_pairs(spark):
+    r, rows = random.Random(8), []
+    for i in range(3000):  # 89 of 111 two-word shingles are shared, J = 0.802
+        own = [f"w{r.randrange(10**6)}" for _ in range(101)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-11], *(f"y{i}_{j}" for j in range(11))]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, node_limit=64, max_depth=3)
+    assert got.filter("kept").count() == 3000
+
+
 def test_linked_spans_classes():
     r = random.Random(7)
     base = list(range(100))
