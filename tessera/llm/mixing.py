@@ -1,66 +1,100 @@
-"""Mixing sources to target weights by Pfair scheduling: blocks get releases and deadlines from their source's weight, and
-earliest-deadline-first deals the slots. DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling: blocks get releases and deadlines from their source's exact weight, and
+earliest-deadline-first deals the slots.
 
-With whole-number weights u_s the schedule repeats after sum(u_s) slots, so only one period is scheduled slot by slot; a block's
-place in the whole sequence then follows from its number within its source. When a source ends, the periods after it are those
-of the sources that are left; a period in which a source ends has the blocks that are left of it as its weight.
+Ideally each source that has rows left flows at its weight's share, so after a time x the sources have given G(x) = sum of min(u x, n) blocks. The i-th block of a source
+(from 0) is released at floor(G(i / u)) and due at ceil(G((i + 1) / u)); all is reckoned in whole numbers, so nothing is rounded to a period. The flow itself keeps all
+windows, hence earliest-deadline-first does, and every prefix holds each source's share to less than one block, also where sources end.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from fractions import Fraction
+from heapq import heapify, heappop, heappush, heapreplace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents
 
-UNITS = 200
+UNITS = 1 << 20
 BUCKET_ROWS = 20_000
-BROADCAST_ROWS = 200_000
+BATCH_ROWS = 50_000
 
 
 def source_units(docs: DataFrame, source: str = "source", power: float = 0.5, units: int = UNITS) -> DataFrame:
-    """(source, n, u): rows and weight of each source, u near `units` times its share of n ** power, 1 at least."""
+    """(source, n, u): rows and weight of each source, u = n ** power in steps of 1 / units: with a power of 0.5 that moves no source by a block up to 10^12 rows."""
     site = F.coalesce(F.col(source).cast("string"), F.lit(""))
     sizes = docs.groupBy(site.alias("source")).agg(F.count("*").alias("n"))
-    share = F.pow("n", F.lit(power)) / F.sum(F.pow("n", F.lit(power))).over(Window.partitionBy(F.lit(1)))
-    return sizes.withColumn("u", F.greatest(F.lit(1), F.round(share * units).cast("int")))
-
-
-def periods(units: DataFrame) -> DataFrame:
-    """(first, last, before, parts): runs of equal periods, the first slot of each run, and what a period of it holds:
-    parts, a source-ordered array of (source, u). There are at most two runs for each source."""
-    cuts = units.select(F.explode(F.array(F.floor(F.col("n") / F.col("u")), F.ceil(F.col("n") / F.col("u")))).alias("first"))
-    # the run that begins at `first` ends before the next cut; the last cut is the end of all
-    runs = cuts.union(units.sparkSession.sql("SELECT 0L")).distinct()
-    runs = runs.withColumn("last", F.lead("first").over(Window.partitionBy(F.lit(1)).orderBy("first")) - 1).filter("last IS NOT NULL")
-    parts = runs.join(units, F.col("n") > F.col("first") * F.col("u"))
-    own = F.least(F.col("u"), F.col("n") - F.col("first") * F.col("u")).cast("int")
-    parts = parts.groupBy("first", "last").agg(F.array_sort(F.collect_list(F.struct("source", own.alias("u")))).alias("parts"))
-    total = F.aggregate("parts", F.lit(0), lambda s, p: s + p["u"])
-    parts = parts.withColumn("total", total)
-    slots = F.col("total") * (F.col("last") - F.col("first") + 1)
-    before = F.sum(slots).over(Window.partitionBy(F.lit(1)).orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("before", F.coalesce(before, F.lit(0)))
-
-
-def schedule(runs: DataFrame) -> DataFrame:
-    """(first, last, before, total, source, u, j, slot, release, deadline): the slots of one period of each run.
-
-    The j-th of u blocks (from 0) in a period of T slots is released at floor(j T / u) and due at ceil((j + 1) T / u). Each slot takes,
-    of the released blocks, the one that is due first; ties go to the first source.
-    """
-    expr = """
-    aggregate(sequence(0, total - 1),
-      named_struct('given', transform(parts, p -> 0), 'dealt', cast(array() AS array<struct<k: int, j: int>>)),
-      (s, t) -> transform(array(array_min(filter(
-          transform(parts, (p, k) -> IF(s.given[k] < p.u AND floor(s.given[k] * total / p.u) <= t,
-            named_struct('due', cast(ceil((s.given[k] + 1) * total / p.u) AS long), 'k', k, 'j', s.given[k]), NULL)), x -> x IS NOT NULL))),
-        b -> named_struct('given', transform(s.given, (g, k) -> g + IF(k = b.k, 1, 0)), 'dealt', concat(s.dealt, array(named_struct('k', b.k, 'j', b.j)))))[0],
-      s -> s.dealt)"""
-    dealt = runs.select("first", "last", "before", "total", "parts", F.posexplode(F.expr(expr)).alias("slot", "b"))
-    part = F.get("parts", F.col("b.k"))
-    out = dealt.select("first", "last", "before", "total", "slot", part["source"].alias("source"), part["u"].alias("u"), F.col("b.j").alias("j"))
-    return out.withColumn("release", F.floor(F.col("j") * F.col("total") / F.col("u"))).withColumn("deadline", F.ceil((F.col("j") + 1) * F.col("total") / F.col("u")))
+    return sizes.withColumn("u", F.greatest(F.lit(1), F.round(F.pow("n", F.lit(power)) * units).cast("long")))
+
+
+def windows(n: int, u: int, ends: list[tuple[int, int]], given: list[int], flow: list[int], times: list[float]):
+    """(release, deadline) of the n blocks of a source of weight u. `ends` has (n, u) of all sources by n / u; `given` and `flow` are, by the
+    number of sources that have ended, their rows and the weight of the others."""
+    k, release = 0, 0
+    for i in range(1, n + 1):
+        if i * ends[k][1] > ends[k][0] * u:
+            k = max(k + 1, bisect_left(times, i / u * (1 - 1e-12)) - 1)
+            while i * ends[k][1] > ends[k][0] * u:
+                k += 1
+        whole, part = divmod(flow[k] * i, u)
+        yield release, given[k] + whole + (part > 0)
+        release = given[k] + whole
+
+
+def deal(sources: list[tuple[str, int, int]]):
+    """(source's place in the list, block, position, release, deadline) of every slot in turn: of the released blocks the one that is due first, ties to the first source.
+    Only one block of each source is held."""
+    ends = sorted(((n, u) for _, n, u in sources), key=lambda x: Fraction(*x))
+    given, flow = [0], [sum(u for _, u in ends)]
+    for n, u in ends:
+        given.append(given[-1] + n)
+        flow.append(flow[-1] - u)
+    times = [n / u for n, u in ends]
+    runs = [windows(n, u, ends, given, flow, times) for _, n, u in sources]
+    later = [(*next(x), k, 0) for k, x in enumerate(runs)]
+    heapify(later)
+    ready: list[tuple[int, int, int, int]] = []
+    for slot in range(given[-1]):
+        while later and later[0][0] <= slot:
+            release, due, k, i = heappop(later)
+            heappush(ready, (due, k, i, release))
+        due, k, i, release = ready[0]
+        yield k, i, slot, release, due
+        more = next(runs[k], None)
+        if more and more[0] <= slot + 1:
+            heapreplace(ready, (more[1], k, i + 1, more[0]))
+        else:
+            heappop(ready)
+            if more:
+                heappush(later, (*more, k, i + 1))
+
+
+def schedule(units: DataFrame) -> DataFrame:
+    """(source, block, position, release, deadline) of all slots. One task goes through the slots in turn, as each depends on those before; it reads a row for
+    each source and holds a block of each, and no document passes through it."""
+
+    def run(batches):
+        sources = sorted((r["source"], r["n"], r["u"]) for batch in batches for r in batch.to_pylist() if r["n"])
+        names = pa.array([x[0] for x in sources], pa.string())
+        out = []
+
+        def batch():
+            k, *rest = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([names.take(pa.array(k, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], names=["source", "block", "position", "release", "deadline"])
+
+        for x in deal(sources):
+            out.append(x)
+            if len(out) == BATCH_ROWS:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    own = units.select("source", F.col("n").cast("long"), F.col("u").cast("long")).coalesce(1)
+    return own.mapInArrow(run, "source string, block long, position long, release long, deadline long")
 
 
 def numbered(docs: DataFrame, source: str, key: str, rows: int) -> DataFrame:
@@ -79,31 +113,12 @@ def numbered(docs: DataFrame, source: str, key: str, rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", units: DataFrame | None = None) -> DataFrame:
-    """`docs` with block, release, deadline and position: a permutation 0..n-1 in which, within a run of periods, every prefix holds each
-    source's share to less than one block. No row is dropped or repeated. `units`: (source, n, u), else source_units(docs).
-
-    The schedule's table has at most 2 * sources * sum(u) rows; it is broadcast when that is at most BROADCAST_ROWS, else joined by shuffle.
-    """
+    """`docs` with block, release, deadline and position: a permutation 0..n-1 in which every prefix holds each source's share, by the weights of
+    the sources that have rows left, to less than one block. No row is dropped or repeated. `units`: (source, n, u), else source_units(docs)."""
     units = cut(source_units(docs, source) if units is None else units)
-    n_sources, per_period = units.agg(F.count("*"), F.coalesce(F.sum("u"), F.lit(0))).first()
-    small = F.broadcast if 2 * n_sources * per_period <= BROADCAST_ROWS else lambda x: x  # a longer list is joined by shuffle
-    plan = schedule(periods(units)).select(
-        F.col("source").alias("_source"), F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("before").alias("_from"),
-        F.col("total").alias("_total"), F.col("j").alias("_j"), F.col("slot").alias("_slot"), "release", "deadline",
-    )
-    rows = docs.count()
-    sizes = units.select(F.col("source").alias("_source"), F.col("u").alias("_u"))
-    own = numbered(docs, source, key, rows).join(small(sizes), "_source")
-    own = own.withColumn("_period", F.floor(F.col("_i") / F.col("_u"))).withColumn("_j", (F.col("_i") % F.col("_u")).cast("int"))
-    out = own.join(small(plan), ["_source", "_j"]).filter("_period BETWEEN _first AND _last")
-    start = F.col("_from") + (F.col("_period") - F.col("_first")) * F.col("_total")
-    return (
-        out.withColumn("block", F.col("_i").cast("long"))
-        .withColumn("position", (start + F.col("_slot")).cast("long"))
-        .withColumn("release", (start + F.col("release")).cast("long"))
-        .withColumn("deadline", (start + F.col("deadline")).cast("long"))
-        .drop("_source", "_i", "_u", "_period", "_j", "_first", "_last", "_from", "_total", "_slot")
-    )
+    dealt = cut(schedule(units)).withColumnsRenamed({"source": "_source", "block": "_i"})
+    out = numbered(docs, source, key, docs.count()).join(dealt, ["_source", "_i"])
+    return out.withColumn("block", F.col("_i").cast("long")).select(*docs.columns, "block", "position", "release", "deadline")
 
 
 def op6_mixing(spark, sf_dir):

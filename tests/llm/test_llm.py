@@ -320,6 +320,23 @@ def test_mixing(spark, docs, corpus, empty):
         assert all(abs(given[k] - i * w) < 1 for k, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
 
 
+def test_mixing_keeps_exact_weights_of_many_sources(spark):
+    sizes = {"hot": 2000, **{f"s{k:03}": 3 + k % 3 for k in range(999)}}
+    rows = [(f"{s}:{i}", s) for s, n in sizes.items() for i in range(n)]
+    order = mixing.mix(spark.createDataFrame(rows, "doc_id string, source string")).orderBy("position").toPandas()
+    assert (order["release"] <= order["position"]).all() and (order["position"] < order["deadline"]).all()
+    # the ideal flow, slot by slot, from the unrounded weights
+    n = np.array(list(sizes.values()), float)
+    w, place = np.sqrt(n), {s: k for k, s in enumerate(sizes)}
+    ends = np.unique(n / w)
+    given = np.append(0, [np.minimum(w * x, n).sum() for x in ends])
+    have = np.zeros(len(n))
+    for slot, s in enumerate(order["source"], 1):
+        have[place[s]] += 1
+        x = np.interp(slot, given, np.append(0, ends))
+        assert np.abs(have - np.minimum(w * x, n)).max() < 1 + 1e-3
+
+
 # --- 7
 
 
