@@ -5,6 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).orderBy("position").select(*docs.columns)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Adds _place: by the number of a row's file and its place in the file, which tell the order that the rows were written in however they are read again.
+    Rows that don't come from files have the order of the DataFrame."""
+    name = F.col("_metadata.file_name")
+    number = [F.coalesce(F.when(name.rlike(p), F.regexp_extract(name, p, 1).cast("long")), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\.")]
+    place = F.shiftleft(number[0], 42) + F.shiftleft(number[1], 32) + F.col("_metadata.row_index")
+    try:
+        return docs.select("*", place.alias("_place"))
+    except AnalysisException:
+        return docs.withColumn("_place", F.monotonically_increasing_id())
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    """The pieces of all documents with their places in sequences of at most 2048 tokens, numbered in the order of the documents."""
+    return packing.pack(in_written_order(docs), place="_place")
 
 
 STAGES = [

@@ -71,26 +71,32 @@ class Encoder:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def pieces(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's tokens and the end token, cut into pieces of `capacity` if longer; the first may be shorter."""
+def pieces(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False, place: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, _order]): each text's tokens and the end token, cut into pieces of `capacity` if longer; the first may be shorter.
+    `place` names a column of whole numbers that goes along as _order."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
         encode = worker_cache(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             for rows, texts in text_steps(batch, "text"):
-                out = []
-                for key, text in zip(batch.column("doc_id")[rows].to_pylist(), texts.to_pylist(), strict=True):
+                out, whose = [], []
+                for at, (key, text) in enumerate(zip(batch.column("doc_id")[rows].to_pylist(), texts.to_pylist(), strict=True)):
                     ids = encode(text) + END.to_bytes(4, "little")
                     n = len(ids) // 4
                     edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                         own = ids[4 * a : 4 * b]
                         out.append((key, k, a, b - a, zlib.crc32(own), *([own] if with_ids else [])))
+                        whose.append(at)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)]
+                if place:
+                    cols.append(batch.column("_order")[rows].take(pa.array(whose, pa.int64())))
+                yield pa.RecordBatch.from_arrays(cols, names=names + ["_order"] * bool(place))
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    own = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(place).cast("long").alias("_order")] if place else []))
+    return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", _order long" * bool(place))
 
 
 def plan(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -133,7 +139,7 @@ def plan(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int
 def ranked(cut_pieces: DataFrame) -> DataFrame:
     """Adds `rank`, from 0 among the pieces of equal length, by a range sort; only a count for each partition and length is gathered."""
     spark = cut_pieces.sparkSession
-    order = [F.col("length").desc(), "doc_id", "piece"]
+    order = [F.col("length").desc(), *(["_order"] if "_order" in cut_pieces.columns else []), "doc_id", "piece"]
     own = cut_pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     own = cut(own)
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
@@ -149,16 +155,34 @@ def ranked(cut_pieces: DataFrame) -> DataFrame:
     return out.join(F.broadcast(small), ["_p", "length"]).withColumn("rank", F.col("_place") + F.col("_add")).drop("_p", "_place", "_add", "_at")
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of (doc_id, text); a null text counts as empty and has the end token alone."""
+def in_order(placed: DataFrame) -> DataFrame:
+    """Numbers the sequences of (sequence_id, _order, ...) anew by the first _order among their pieces; by a range sort, of which a count for each partition is gathered."""
+    first = placed.groupBy("sequence_id").agg(F.min("_order").alias("_first"))
+    own = first.repartitionByRange("_first", "sequence_id").sortWithinPartitions("_first", "sequence_id")
+    own = cut(own.select("sequence_id", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33)
+    counts = sorted(own.groupBy(part.alias("p")).count().collect())
+    before = [(p, sum(n for q, n in counts if q < p)) for p, _ in counts]
+    small = placed.sparkSession.createDataFrame(before, "_p long, _before long")
+    new = own.withColumn("_p", part).join(F.broadcast(small), "_p").select("sequence_id", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("_new"))
+    return placed.join(new, "sequence_id").withColumn("sequence_id", F.col("_new")).drop("_new")
+
+
+def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, place: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of (doc_id, text); a null text counts as empty and has the end token alone.
+
+    `place` names a column with the documents' order: pieces of one length are taken in it, and sequences are numbered by the first of their pieces in it."""
     spark = df.sparkSession
-    own = cut(pieces(df, capacity, tokenizer))
+    own = cut(pieces(df, capacity, tokenizer, place=place))
     sizes = {r[0]: r[1] for r in own.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan(sizes, capacity), "length long, _rank long, _n long, _bin long, offset long")
-    place = (F.broadcast if len(sizes) and runs.count() <= BROADCAST_ROWS else lambda x: x)(runs.withColumnRenamed("length", "_length"))
+    small = (F.broadcast if len(sizes) and runs.count() <= BROADCAST_ROWS else lambda x: x)(runs.withColumnRenamed("length", "_length"))
     at = ranked(own)
-    out = at.join(place, (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_rank")) & (F.col("rank") < F.col("_rank") + F.col("_n")))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_bin") + F.col("rank") - F.col("_rank")).alias("sequence_id"), "offset")
+    out = at.join(small, (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_rank")) & (F.col("rank") < F.col("_rank") + F.col("_n")))
+    out = out.withColumn("sequence_id", F.col("_bin") + F.col("rank") - F.col("_rank"))
+    if place:
+        out = in_order(out)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_packing(spark, sf_dir):

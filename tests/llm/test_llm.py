@@ -501,6 +501,25 @@ def test_pipeline(spark, tmp_path, docs, corpus):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_mixture_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, prose(r, r.randint(50, 300)), "en", "a" if i % 4 else "b", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    source = {x[0]: x[3] for x in rows}
+    found = []
+    for weight in (1, 1000):
+        units = spark.createDataFrame([("a", 150, 1), ("b", 50, weight)], "source string, n long, u long")
+        monkeypatch.setattr(mixing, "source_units", lambda *_, units=units: units)
+        mixed = common.cut(corpus_pipeline.mix_sources(spark, docs, ""))
+        got = corpus_pipeline.pack(spark, mixed, "").toPandas().sort_values(["sequence_id", "offset"])
+        assert sorted(set(got["sequence_id"])) == list(range(got["sequence_id"].nunique())) and set(got["doc_id"]) == set(source)
+        assert (got.groupby("sequence_id")["length"].sum() <= packing.CAPACITY).all()
+        place = {d: i for i, d in enumerate(x.doc_id for x in mixing.mix(docs).orderBy("position").collect())}
+        assert got["doc_id"].map(place).groupby(got["sequence_id"]).min().is_monotonic_increasing
+        found.append(got[["doc_id", "piece", "sequence_id", "offset"]].values.tolist())
+    assert found[0] != found[1]
+
+
 def test_pipeline_on_empty_table(spark, tmp_path, empty):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
