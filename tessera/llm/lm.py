@@ -25,9 +25,9 @@ WORD, PAIR, FOLLOW = 0, 1, 2
 #: Look-ups of a word's exact count, told apart from those of its level.
 EXACT = -1
 #: Log bases of the levels by kind.
-BASES = (1.3, 2.0, 1.3)
-BITS = 10
-PROBES = 3
+BASES = (1.2, 2.0, 1.2)
+BITS = 12
+PROBES = 4
 END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 BROADCAST_BYTES = 256 << 20

@@ -119,6 +119,14 @@ def test_log_frequency_filter():
     assert lm.means(2.0)[:5].tolist() == [0, 1, 2.5, 5.5, 11.5]
 
 
+def test_filter_seldom_sees_absent_keys():
+    r = np.random.default_rng(6)
+    keys, absent = (np.unique(r.integers(0, 1 << 62, 100_000).astype(np.uint64)) for _ in range(2))
+    words = lm.build(keys, np.ones(len(keys), np.int64), lm.PAIR)
+    assert (lm.probe(absent, np.zeros(len(absent), np.int64), np.full(len(absent), len(words), np.uint64), words, lm.PAIR) > 0).mean() < 0.015
+    assert np.array_equal(lm.levels(np.array([5, 6]), lm.BASES[lm.WORD]), lm.levels(np.array([5, 6]), 1.2))
+
+
 # --- 2
 
 
