@@ -14,8 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step inside a task works on.
-STEP_BYTES = 8 << 20
+#: Bytes of text that one vectorised step inside a task works on; a step's arrays take some forty times as much.
+STEP_BYTES = 1 << 20
+#: Powers that a worker keeps from step to step; a longer text gets its own, which go with it.
+KEPT_POWERS = (1 << 20) + (1 << 16)
 #: Distinct values up to which their counts are broadcast.
 BROADCAST_VALUES = 10_000
 
@@ -30,9 +32,12 @@ def remainder(key: Column, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a local session, as in tests, gets a new folder; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -111,13 +116,16 @@ _P = 0x9E3779B97F4A7C15 | 1
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of an odd number and of its inverse, modulo 2**64."""
     have = worker_cache("powers", lambda: [np.ones(1, np.uint64)] * 2)
-    if len(have[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            steps = np.full(size, p, np.uint64)
-            steps[0] = 1
-            have[i] = np.multiply.accumulate(steps)
-    return have[0], have[1]
+    if len(have[0]) > n:
+        return have[0], have[1]
+    size, out = max(n + 1, min(2 * n, KEPT_POWERS)), []
+    for p in (_P, pow(_P, -1, 1 << 64)):
+        steps = np.full(size, p, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps, out=steps))
+    if size <= KEPT_POWERS:
+        have[:] = out
+    return out[0], out[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

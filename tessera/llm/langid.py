@@ -74,21 +74,23 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return found
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25) -> np.ndarray:
-    """Weights of a linear SVM (squared hinge), the last one the bias, by dual coordinate descent; classes are balanced."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25) -> np.ndarray:
+    """Weights of a linear SVM (squared hinge) over x[rows], the last one the bias, by dual coordinate descent; classes are balanced."""
     upper = np.where(y > 0, c / max(1, (y > 0).sum()), c / max(1, (y < 0).sum())) * len(y) / 2
     diag = 1 / (2 * upper)
-    norm = np.einsum("ij,ij->i", x, x) + diag
-    a, w, order = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(7)
+    norm = np.array([x[r] @ x[r] for r in rows]) + 1 + diag
+    a, w, bias, order = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0, np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            g = y[i] * (x[i] @ w) - 1 + a[i] * diag[i]
+            own = x[rows[i]]
+            g = y[i] * (own @ w + bias) - 1 + a[i] * diag[i]
             new = max(a[i] - g / norm[i], 0)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = (new - a[i]) * y[i]
+                w += np.float32(step) * own
+                bias += step
                 a[i] = new
-    return w
+    return np.append(w.astype(np.float64), bias)
 
 
 class Model:
@@ -100,30 +102,48 @@ class Model:
         own = np.array(langs)
         fam = np.array([family_of(k) for k in langs])
         scale = 1 / np.sqrt(x.mean(0) + 1e-4) if len(x) else np.ones(DIM)
-        x = x * scale.astype(np.float32)
+        x *= scale.astype(np.float32)
         norm = np.float32(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else np.float32(1)
         x /= norm
         scale = scale / norm
         self.pairs = [p for f in self.families for p in combinations([k for k in self.langs if family_of(k) == f], 2)]
-        fits = [svm(x, np.where(fam == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
+        fits = [svm(x, np.arange(len(x)), np.where(fam == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
         for p, q in self.pairs:
-            rows = (own == p) | (own == q)
-            fits.append(svm(x[rows], np.where(own[rows] == p, 1.0, -1.0)))
+            rows = np.flatnonzero((own == p) | (own == q))
+            fits.append(svm(x, rows, np.where(own[rows] == p, 1.0, -1.0)))
         self.weights = np.array([w[:-1] * scale for w in fits], np.float32).reshape(len(fits), DIM)
         self.bias = np.array([w[-1] for w in fits])
+        # x is scaled, and so are the weights: the margins of the training rows
+        raw = np.array([w[:-1] for w in fits], np.float32).reshape(len(fits), DIM)
+        scores = self._decide(x @ raw.T + self.bias)[1] if len(x) else np.ones(1)
+        #: Half the lowest score of a labelled text: a text below it is like none of the languages learned.
+        self.bar = float(scores.min()) / 2
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[str], np.ndarray]:
         """(languages, families, scores)."""
         known = has_letter(texts)
         if not self.langs:
             return [UNKNOWN] * len(texts), [UNKNOWN] * len(texts), np.zeros(len(texts))
-        margins = linear(texts, self.weights) + self.bias
+        lang, score = self._decide(linear(texts, self.weights) + self.bias)
+        lang[~known], score[~known] = UNKNOWN, 0
+        return lang.tolist(), [UNKNOWN if x == UNKNOWN else family_of(x) for x in lang], score
+
+    def fine(self, texts: pa.Array) -> np.ndarray:
+        """True for texts with a letter whose score reaches the bar; if no language was learned, for all texts with a letter."""
+        if not self.langs:
+            return has_letter(texts)
+        lang, _, score = self.predict(texts)
+        return (np.array(lang, object) != UNKNOWN) & (score >= self.bar)
+
+    def _decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, score) by the margins of the families and pairs."""
+        n = len(margins)
         odds = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -30, 30)))
         nf = len(self.families) if len(self.families) > 1 else 0
-        share = np.exp(np.clip(3 * margins[:, :nf], -30, 30)) if nf else np.ones((len(texts), 1))
+        share = np.exp(np.clip(3 * margins[:, :nf], -30, 30)) if nf else np.ones((n, 1))
         share = share / share.sum(1, keepdims=True)
         best = share.argmax(1)
-        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
         for k, f in enumerate(self.families):
             rows, own = best == k, [x for x in self.langs if family_of(x) == f]
             votes = np.ones((int(rows.sum()), len(own))) if len(own) == 1 else np.zeros((int(rows.sum()), len(own)))
@@ -134,11 +154,10 @@ class Model:
                     votes[:, own.index(q)] += (1 - v) / (len(own) - 1)
             lang[rows] = np.array(own, object)[votes.argmax(1)]
             score[rows] = share[rows, k] * votes.max(1)
-        lang[~known], score[~known] = UNKNOWN, 0
-        return lang.tolist(), [UNKNOWN if x == UNKNOWN else family_of(x) for x in lang], np.clip(score, 0, 1)
+        return lang, np.clip(score, 0, 1)
 
 
-def fit(labelled: DataFrame, max_rows: int = 800, lines: int = 2) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 1600, lines: int = 3) -> Model:
     """Learn from (doc_id, text, lang). At most `max_rows` documents are read, an equal number for each language, those with the
     smallest hash of doc_id; each gives its whole text and up to `lines` of its lines as rows, so that short texts are learned too."""
     keys = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("doc_id", "lang")
@@ -161,9 +180,17 @@ def fit(labelled: DataFrame, max_rows: int = 800, lines: int = 2) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(whose, pa.string()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
     sample = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL").join(chosen, "doc_id", "left_semi")
-    found = (sample.select("text", "lang").mapInArrow(rows, "lang string, x binary")).toPandas().sort_values(["lang", "x"])
-    x = np.frombuffer(b"".join(found["x"]), np.float16).reshape(-1, DIM).astype(np.float32)
-    return Model(x, found["lang"].tolist())
+    found = sample.select("text", "lang").mapInArrow(rows, "lang string, x binary").toArrow().combine_chunks()
+    langs, x = found["lang"].to_pylist(), _matrix(found["x"])
+    del found
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
+    return Model(x[order].astype(np.float32), [langs[i] for i in order])
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A row of DIM half floats for each value, without a copy where the column is in one piece."""
+    parts = [np.frombuffer(buffers(c)[1], np.float16).reshape(-1, DIM) for c in column.chunks if len(c)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, DIM), np.float16), *parts])
 
 
 def identify(df: DataFrame, model: Model) -> DataFrame:
@@ -179,13 +206,13 @@ def identify(df: DataFrame, model: Model) -> DataFrame:
 
 
 def known_language(df: DataFrame, model: Model) -> DataFrame:
-    """The rows of df, all columns, whose text is in a language that the model knows; the others are `und`."""
+    """The rows of df, all columns, whose text is in a language that the model knows: it has a letter and scores no lower than half of what any labelled text did.
+    Without labelled rows every text with a letter stays. Null and empty texts go; a text of many steps is judged whole."""
 
     def keep(batches):
         for batch in batches:
             for rows, texts in text_steps(batch, "text"):
-                fine = pa.array([x != UNKNOWN for x in model.predict(texts)[0]])
-                yield batch.slice(rows.start, rows.stop - rows.start).filter(fine)
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(model.fine(texts)))
 
     return df.mapInArrow(keep, df.schema)
 
@@ -193,7 +220,8 @@ def known_language(df: DataFrame, model: Model) -> DataFrame:
 def op2_langid(spark, sf_dir):
     """The language of every document, learned from those outside the held-out third.
 
-    Null texts and texts without a letter are `und`; repeated rows are tagged each; without labelled rows all are `und`.
+    Null texts and texts without a letter are `und`; repeated rows are tagged each; without labelled rows all are `und`. A very long text is tagged whole;
+    languages that tie go to the first by name.
     """
     docs = documents(spark, sf_dir)
     held = remainder(F.col("doc_id"), 3) == 1

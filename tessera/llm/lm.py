@@ -32,10 +32,8 @@ END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 BROADCAST_BYTES = 256 << 20
 PIECE_BYTES = 24 << 20
-#: Bytes of text that are scored at once; one long text is scored alone.
-STEP = 1 << 20
 DOCS_A_SHARD = 4000
-HELD = 1_500_000
+HELD = 1_000_000
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -126,7 +124,12 @@ def _runs(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Re
 
 def merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
-    k, c = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+    return summed(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32))
+
+
+def summed(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    c = c.astype(np.int64)
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
@@ -155,10 +158,10 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         def flush():
             for kind, (keys, counts) in held.items():
                 if keys:
-                    k, c = merged([x.tobytes() for x in keys], [x.tobytes() for x in counts])
-                    yield _runs(kind, k, c, shards)
+                    both = np.concatenate(keys), np.concatenate(counts)
                     keys.clear()
                     counts.clear()
+                    yield _runs(kind, *summed(*both), shards)
 
         for batch in batches:
             for _, texts in text_steps(batch, "text"):
@@ -320,7 +323,7 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES)
     def run(batches):
         tables = Tables([x.value for x in sent], shards)
         for batch in batches:
-            for part, texts in text_steps(batch, "text", STEP):
+            for part, texts in text_steps(batch, "text"):
                 yield _result(batch.column("doc_id")[part], _scores(texts, tables, stats))
 
     return docs.mapInArrow(run, OUT)
@@ -349,7 +352,7 @@ def _texts(group: pd.DataFrame) -> pa.RecordBatch:
 def _needs(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
     """The distinct keys, sorted, that scoring the texts looks up, by kind."""
     noted = _Asked()
-    for _, texts in text_steps(batch, "text", STEP):
+    for _, texts in text_steps(batch, "text"):
         words, before, _ = tokens_of(texts)
         own = np.unique(words)
         noted.count(own)
@@ -403,7 +406,7 @@ def _score_by_shards(docs: DataFrame, model: Model, stats, docs_a_block: int = 4
             values[np.argsort(shard_of(keys, shards, max(int(kind), WORD)), kind="stable")] = raw
             got[int(kind)] = (keys, values)
         asked = _Asked(got)
-        done = [_result(batch.column("doc_id")[part], _scores(texts, asked, stats)) for part, texts in text_steps(batch, "text", STEP)]
+        done = [_result(batch.column("doc_id")[part], _scores(texts, asked, stats)) for part, texts in text_steps(batch, "text")]
         return pa.Table.from_batches(done).to_pandas()
 
     asks = dealt.groupBy("block").applyInPandas(ask, "kind int, shard int, block int, exact boolean, keys binary")

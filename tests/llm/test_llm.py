@@ -144,7 +144,13 @@ def test_langid(spark):
     assert tags[1] == tags[2] == tags[3] == ("und", 0.0) and tags[4][0] == "en" and tags[5][0] != "und" and all(0 <= s <= 1 for _, s in tags.values())
     none = langid.fit(df.limit(0))
     assert {x.lang_pred for x in langid.identify(df, none).collect()} == {"und"}
-    assert langid.known_language(odd.withColumn("more", F.lit("x")), model).count() == 2
+    # the stage rejects what scores below half of any labelled text; where nothing was learned, a letter is enough
+    more = odd.withColumn("more", F.lit("x"))
+    assert {x.doc_id for x in langid.known_language(more, model).collect()} == {i for i, (_, s) in tags.items() if i > 3 and s >= model.bar}
+    assert {x.doc_id for x in langid.known_language(more, none).collect()} == {4, 5}
+    assert langid.known_language(df, model).count() == df.count() and 0 < model.bar < 0.5
+    clash = df.withColumns({"lang_pred": F.lit("x"), "family": F.lit("y"), "score": F.lit(-1.0)})
+    assert langid.known_language(clash, model).columns == clash.columns and langid.identify(clash, model).filter("score < 0").count() == 0
     x = langid.features(pa.array(["der und keit", "the and"]))
     w = np.random.default_rng(0).normal(size=(2, langid.DIM)).astype(np.float32)
     assert np.allclose(x @ w.T, langid.linear(pa.array(["der und keit", "the and"]), w), atol=1e-5)
