@@ -1,7 +1,7 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A text's set is its distinct word shingles. Texts of equal sets are one member. Independent trees branch the members: a member follows, at each node, the
-minimum of its set under the hash functions that the node selects, so similar sets follow a path together. Nodes of at most `node_limit` members are
+minimum of its set under the hash functions that the node selects, so similar sets follow a path together. Nodes of two to `node_limit` members are
 compared exhaustively by sketch; larger ones branch again, and what a path of MAX_DEPTH steps can't part is compared in tiles. The clusters that the
 sketches leave are confirmed on full sets, a cluster found in many nodes once. Only links that join two classes of a cluster leave a task, so a group of n copies gives n - 1.
 
@@ -74,21 +74,23 @@ def minima(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, mins): size, 128-bit key and minima of each text's set; mins is null for an empty one."""
+    """(doc_id, n_shingles, key1, key2, mins, sketch): size, 128-bit key, minima and a byte of each minimum of each text's set; the last two are null for an empty one."""
 
     def run(batches):
         for batch in batches:
-            for rows, texts in text_steps(batch, "text", 2 << 20):
+            for rows, texts in text_steps(batch, "text"):
                 words, at = words_of(texts)
                 out = []
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     own = shingles(words[a:b], k)
-                    out.append((len(own), int(mixed(own).sum().astype(np.int64)), int(mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)), minima(own).tobytes() if len(own) else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_shingles", "key1", "key2", "mins"])
+                    low = minima(own) if len(own) else None
+                    both = (low.tobytes(), (low & 255).astype(np.uint8).tobytes()) if len(own) else (None, None)
+                    out.append((len(own), int(mixed(own).sum().astype(np.int64)), int(mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)), *both))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_shingles", "key1", "key2", "mins", "sketch"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, mins binary")
+    return own.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, mins binary, sketch binary")
 
 
 def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
@@ -96,7 +98,7 @@ def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
 
 
 def branch(members: DataFrame) -> DataFrame:
-    """(node, doc_id, mins) -> the children that the members choose: BRANCHES rows each, (node, doc_id, sketch); sketch is a byte of each minimum."""
+    """(node, doc_id, mins) -> the children that the members choose: BRANCHES rows each, (node, doc_id)."""
 
     def run(batches):
         for batch in batches:
@@ -104,12 +106,11 @@ def branch(members: DataFrame) -> DataFrame:
                 continue
             mins = _matrix(batch.column("mins"), HASHES, np.uint32)
             node = batch.column("node").to_numpy().astype(np.uint64)
-            sketch = pa.array([x.tobytes() for x in (mins & 255).astype(np.uint8)], pa.binary())
             for path, which in branches(node):
                 child = mixed(path ^ mixed(mins[np.arange(len(mins)), which].astype(np.uint64) + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column("doc_id"), sketch], names=["node", "doc_id", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), batch.column("doc_id")], names=["node", "doc_id"])
 
-    return members.select("node", "doc_id", "mins").mapInArrow(run, "node long, doc_id long, sketch binary")
+    return members.select("node", "doc_id", "mins").mapInArrow(run, "node long, doc_id long")
 
 
 def _groups(batches, key: str):
@@ -245,29 +246,31 @@ def confirm(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int, node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(a, b) between members (doc_id, mins) of different sets; `docs` has their texts."""
+    """(a, b) between members (doc_id, mins, sketch) of different sets; `docs` has their texts.
+
+    Levels carry ids alone. A member that is alone in a node has met all that it can meet there and goes; sketches are joined to the members of the leaves."""
     roots = members.select(F.explode(F.array(*(F.lit(x).cast("long") for x in ROOTS))).alias("node"), "doc_id", "mins")
-    level, leaves = branch(roots), []
+    level, leaves = cut(branch(roots)), []
     for depth in range(max_depth):
-        large = level.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > node_limit)
-        large = cut(large)
+        sizes = cut(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+        leaves.append(level.join(sizes.filter(F.col("n") <= node_limit).select("node"), "node"))
+        large = sizes.filter(F.col("n") > node_limit)
         if large.isEmpty():
-            leaves.append(level)
             break
-        leaves.append(level.join(large.select("node"), "node", "left_anti"))
-        rest = level.join(large, "node").select("node", "doc_id", "n", "sketch")
+        rest = level.join(large, "node")
         if depth == max_depth - 1:
             tiles = F.ceil(2 * F.col("n") / node_limit).cast("int")
             own = rest.withColumn("tiles", tiles).withColumn("x", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
             own = own.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
-            leaves.append(own.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "doc_id", "sketch"))
+            leaves.append(own.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "doc_id"))
         else:
-            level = cut(branch(rest.select("node", "doc_id").join(members.select("doc_id", "mins"), "doc_id")))
+            level = cut(branch(rest.join(members.select("doc_id", "mins"), "doc_id")))
     j = percent / 100
     least = max(1, int(HASHES * j - 5 * (HASHES * j * (1 - j)) ** 0.5))  # five standard errors below the threshold
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
+    nodes = nodes.join(members.select("doc_id", "sketch"), "doc_id")
     found = clusters(nodes.repartition(F.col("node")).sortWithinPartitions("node"), least).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = cut(found).join(texts, "doc_id").repartition(F.col("cluster")).sortWithinPartitions("cluster")
@@ -278,14 +281,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, node_limit:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text): the class of texts linked by
     100 * |A & B| >= percent * |A | B| over k-word shingles, named by its smallest doc_id, which alone is kept.
 
-    A text without words has an empty set and is its own class. Repeated rows are in one class. Rows without a doc_id are linked with nothing and kept.
+    A text without words has an empty set and is its own class. Repeated rows are in one class; where a doc_id is repeated with another text, either text's
+    links join its classes. Ties go to the smallest doc_id. Rows without a doc_id are linked with nothing and kept. An empty table gives no rows; other
+    columns are neither read nor returned.
     """
     all_ = cut(sketches(docs, k))
     some = all_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = some.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "mins")).alias("m"))
-    first = cut(first.select("key1", "key2", "n_shingles", "m.doc_id", "m.mins"))
+    first = some.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "mins", "sketch")).alias("m"))
+    first = cut(first.select("key1", "key2", "n_shingles", "m.doc_id", "m.mins", "m.sketch"))
     # one row a member even if its doc_id is repeated with another text
-    pairs = links(docs, first.select("doc_id", "mins"), k, percent, node_limit, max_depth)
+    pairs = links(docs, first.select("doc_id", "mins", "sketch"), k, percent, node_limit, max_depth)
     roots = components(pairs)
     named = first.select("key1", "key2", "n_shingles", F.col("doc_id").alias("node")).join(roots, "node", "left")
     named = named.select("key1", "key2", F.col("n_shingles").alias("_n"), F.coalesce("root", "node").alias("component_id"))

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -351,6 +352,43 @@ def test_mixing_keeps_exact_weights_of_many_sources(spark):
         assert np.abs(have - np.minimum(w * x, n)).max() < 1 + 1e-3
 
 
+def edf(sources):
+    """Earliest deadline first over the exact windows, slot by slot: (source, block, position, release, deadline)."""
+    flow = lambda x: sum(min(u * x, n) for _, n, u in sources)
+    left = {}
+    for s, n, u in sources:
+        ends = [flow(Fraction(i, u)) for i in range(n + 1)]
+        left[s] = [(math.floor(a), math.ceil(b), i) for i, (a, b) in enumerate(zip(ends, ends[1:]))][::-1]
+    for slot in range(sum(n for _, n, _ in sources)):
+        due, s = min((own[-1][1], s) for s, own in left.items() if own and own[-1][0] <= slot)
+        release, _, i = left[s].pop()
+        yield s, i, slot, release, due
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_is_earliest_deadline_first(spark, seed):
+    r = random.Random(seed)
+    sources = [(f"s{k}", r.choice([1, 2, 5, 20, 60, 200]), r.choice([1, 3, 7, 10, 40])) for k in range(r.randint(2, 9))]
+    sources.append(("tie", *sources[0][1:]))
+    units = spark.createDataFrame(sources, "source string, n long, u long")
+    got = sorted(map(tuple, mixing.schedule(units, slots=1).collect()), key=lambda x: x[2])
+    assert got == list(edf(sources))
+
+
+def test_mixing_by_steps(spark):
+    """Sources of which one is far larger: more chunks than one, and blocks that unfold in several runs."""
+    units = spark.createDataFrame([("a", 30_000, 173), ("b", 100, 10), ("c", 1, 1)], "source string, n long, u long")
+    got = mixing.schedule(units).toPandas().sort_values("position")
+    assert got["position"].tolist() == list(range(30_101)) and ((got["release"] <= got["position"]) & (got["position"] < got["deadline"])).all()
+    assert got.groupby("source")["block"].apply(lambda x: x.tolist() == list(range(len(x)))).all()
+
+
+def test_mixing_replaces_columns_of_its_names(spark):
+    own = spark.createDataFrame([(None, None, -1, "x"), (1, "a", -1, "y"), (1, "a", -1, "y")], "doc_id long, source string, position int, block string")
+    got = mixing.mix(own).toPandas()
+    assert sorted(got["position"]) == [0, 1, 2] and sorted(got["block"]) == [0, 0, 1] and list(got.columns)[:2] == ["doc_id", "source"]
+
+
 # --- 7
 
 
