@@ -6,7 +6,7 @@ words are known. The pair's probability is interpolated with the word's by absol
 
 Counting: each task makes its own keys distinct first and ships sorted runs by shard of the key; a shard's runs are merged in one group, whose
 size is kept even by adding shards as the corpus grows. Scoring: filter and word counts are broadcast when their measured size is at most `broadcast_bytes`;
-otherwise each block of documents sends its distinct keys to the shards and gets the counts back.
+otherwise each block of documents sends its distinct keys to the shards and gets the counts back. A worker reads the broadcast piece by piece.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ PROBES = 4
 END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 BROADCAST_BYTES = 256 << 20
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 8 << 20
+#: Bytes of text that are scored at once by the broadcast filter, whose pieces are read anew for each.
+SCORED = 2 << 20
 DOCS_A_SHARD = 4000
 HELD = 1_000_000
 
@@ -206,18 +208,24 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
 
 @dataclass
 class Piece:
-    """Shards first..last of a kind in a row: the words of each filter, the filters, and a word's key and count."""
+    """Shards first..last of a kind in a row: the number of words of each filter, and a broadcast of (filters, a word's keys, their counts)."""
 
     kind: int
     first: int
     sizes: np.ndarray
-    filters: bytes
-    keys: bytes
-    counts: bytes
+    sent: object
+
+    def load(self) -> tuple[np.ndarray, ...]:
+        """What the broadcast holds. The worker reads it from the executor's file and keeps no copy, so it has one piece at a time."""
+        value = self.sent.value
+        vars(self.sent).pop("_value", None)
+        return tuple(np.frombuffer(x, kind) for x, kind in zip(value, (np.uint64, np.uint64, np.uint32), strict=True))
 
 
 def pieces(table: DataFrame, shards: int, size: int = PIECE_BYTES):
-    """The table in pieces of about `size` bytes, so that the driver holds one at a time."""
+    """The table in broadcast pieces of about `size` bytes; the driver holds one at a time."""
+    table = cut(table.repartitionByRange("kind", "shard").sortWithinPartitions("kind", "shard"))  # so that a piece is read from few files
+    send = table.sparkSession.sparkContext.broadcast
     own = F.length("filter") + F.length("keys") + F.length("counts")
     sizes = {(r[0], r[1]): r[2] for r in table.select("kind", "shard", own).collect()}
     for kind in (WORD, PAIR, FOLLOW):
@@ -228,15 +236,17 @@ def pieces(table: DataFrame, shards: int, size: int = PIECE_BYTES):
                 last += 1
                 total += sizes.get((kind, last), 0)
             rows = {r["shard"]: r for r in table.filter((F.col("kind") == kind) & F.col("shard").between(first, last)).collect()}
-            held = [rows[s] for s in range(first, last + 1) if s in rows]
             # a shard without keys has one word of zeros
-            filters = [bytes(rows[s]["filter"]) if s in rows else bytes(8) for s in range(first, last + 1)]
-            yield Piece(kind, first, np.array([len(x) // 8 for x in filters]), b"".join(filters), b"".join(bytes(r["keys"]) for r in held), b"".join(bytes(r["counts"]) for r in held))
+            filters = [rows[s]["filter"] if s in rows else bytes(8) for s in range(first, last + 1)]
+            held = [rows[s] for s in sorted(rows)]
+            value = tuple(b"".join(x) for x in (filters, [r["keys"] for r in held], [r["counts"] for r in held]))
+            yield Piece(kind, first, np.array([len(x) // 8 for x in filters]), send(value))
+            del rows, held, filters, value
             first = last + 1
 
 
 class Tables:
-    """Look-ups by key in pieces that are held without a copy."""
+    """Look-ups by key in pieces."""
 
     def __init__(self, own: list[Piece], shards: int):
         self.shards, self.own = shards, own
@@ -254,13 +264,13 @@ class Tables:
         out = np.zeros(len(keys), np.int64)
         for piece, rows, s in self._each(keys, kind):
             starts = np.cumsum(piece.sizes) - piece.sizes
-            out[rows] = probe(keys[rows], starts[s], piece.sizes[s].astype(np.uint64), np.frombuffer(piece.filters, np.uint64), kind)
+            out[rows] = probe(keys[rows], starts[s], piece.sizes[s].astype(np.uint64), piece.load()[0], kind)
         return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for piece, rows, _ in self._each(keys, WORD):
-            out[rows] = find(np.frombuffer(piece.keys, np.uint64), np.frombuffer(piece.counts, np.uint32), keys[rows])
+            out[rows] = find(*piece.load()[1:], keys[rows])
         return out
 
 
@@ -281,12 +291,10 @@ def _scores(texts: pa.Array, tables, stats: tuple[int, int, float]) -> tuple[np.
     floor = 0.1 * (vocabulary + 1)
     base = np.log10((exact + 0.1) / (total + floor))[inverse]
     mean = [means(b) for b in BASES]
-    quantised = mean[WORD][tables.level(own, WORD)]
-    follow = mean[FOLLOW][tables.level(own & np.uint64(0xFFFFFFFF00000000), FOLLOW)]
-    start = np.array([START])
-    start_follow = mean[FOLLOW][tables.level(start & np.uint64(0xFFFFFFFF00000000), FOLLOW)][0]
     # the start stands before the first token of each text, as often as the end after the last
-    ends = mean[WORD][tables.level(np.array([END]), WORD)][0]
+    quantised = mean[WORD][tables.level(np.append(own, END), WORD)]
+    follow = mean[FOLLOW][tables.level(np.append(own, START) & np.uint64(0xFFFFFFFF00000000), FOLLOW)]
+    (quantised, ends), (follow, start_follow) = ((x[:-1], x[-1]) for x in (quantised, follow))
     c_left, d_left = np.empty(len(words)), np.empty(len(words))
     c_left[1:], d_left[1:] = quantised[inverse][:-1], follow[inverse][:-1]
     c_left[at[:-1]], d_left[at[:-1]] = ends, start_follow
@@ -317,13 +325,12 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES)
     if model.size > broadcast_bytes:
         return _score_by_shards(docs, model, stats)
     shards = model.shards
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(piece) for piece in pieces(model.table, shards)]
+    sent = list(pieces(model.table, shards))
 
     def run(batches):
-        tables = Tables([x.value for x in sent], shards)
+        tables = Tables(sent, shards)
         for batch in batches:
-            for part, texts in text_steps(batch, "text"):
+            for part, texts in text_steps(batch, "text", SCORED):
                 yield _result(batch.column("doc_id")[part], _scores(texts, tables, stats))
 
     return docs.mapInArrow(run, OUT)
@@ -417,7 +424,9 @@ def _score_by_shards(docs: DataFrame, model: Model, stats, docs_a_block: int = 4
 def op1_lm(spark, sf_dir):
     """Every document scored by a model of the documents outside the held-out tenth.
 
-    Null and empty texts have the end token alone; repeated rows score each. Words are told apart by 64-bit hash.
+    Null and empty texts have the end token alone; repeated rows score each; a very long text is scored whole, in a step of its own. An empty table gives no rows;
+    where nothing is learned every token has the floor's probability. Columns other than doc_id and text are not read. Words and pairs are told apart by 64-bit hash, the
+    words that follow counts by its upper half.
     """
     docs = documents(spark, sf_dir)
     held = remainder(F.col("doc_id"), 10) == 0
