@@ -248,32 +248,32 @@ def confirm(members: DataFrame, k: int, percent: int) -> DataFrame:
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int, node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(a, b) between members (doc_id, mins, sketch) of different sets; `docs` has their texts.
 
-    Levels carry ids alone. A member that is alone in a node has met all that it can meet there and goes; sketches are joined to the members of the leaves."""
+    Joins are by merge at every size, as all sides grow with the documents. Levels carry ids alone. A member that is alone in a node has met all that it can meet there and goes; sketches are joined to the members of the leaves."""
     roots = members.select(F.explode(F.array(*(F.lit(x).cast("long") for x in ROOTS))).alias("node"), "doc_id", "mins")
     level, leaves = cut(branch(roots)), []
     for depth in range(max_depth):
         sizes = cut(level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
-        leaves.append(level.join(sizes.filter(F.col("n") <= node_limit).select("node"), "node"))
+        leaves.append(level.join(sizes.filter(F.col("n") <= node_limit).select("node").hint("merge"), "node"))
         large = sizes.filter(F.col("n") > node_limit)
         if large.isEmpty():
             break
-        rest = level.join(large, "node")
+        rest = level.join(large.hint("merge"), "node")
         if depth == max_depth - 1:
             tiles = F.ceil(2 * F.col("n") / node_limit).cast("int")
             own = rest.withColumn("tiles", tiles).withColumn("x", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
             own = own.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
             leaves.append(own.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "doc_id"))
         else:
-            level = cut(branch(rest.join(members.select("doc_id", "mins"), "doc_id")))
+            level = cut(branch(rest.join(members.select("doc_id", "mins").hint("merge"), "doc_id")))
     j = percent / 100
     least = max(1, int(HASHES * j - 5 * (HASHES * j * (1 - j)) ** 0.5))  # five standard errors below the threshold
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
-    nodes = nodes.join(members.select("doc_id", "sketch"), "doc_id")
+    nodes = nodes.join(members.select("doc_id", "sketch").hint("merge"), "doc_id")
     found = clusters(nodes.repartition(F.col("node")).sortWithinPartitions("node"), least).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = cut(found).join(texts, "doc_id").repartition(F.col("cluster")).sortWithinPartitions("cluster")
+    own = cut(found).join(texts.hint("merge"), "doc_id").repartition(F.col("cluster")).sortWithinPartitions("cluster")
     return confirm(own, k, percent)
 
 
