@@ -14,6 +14,7 @@ URL = r"(?i)https?://(?:[-\w.]|(?:%[\da-f]{2}))+[^\s]*"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"
 #: White space of all kinds, also what `\s` leaves out.
+WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WHITE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 
 
@@ -24,7 +25,8 @@ def normalize_unicode(c: Column, form: str = "NFKC") -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), run(c)).otherwise(c)
+    # a Python step gets every row, so rows of ASCII alone go as nulls
+    return F.coalesce(run(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def strip_control(c: Column) -> Column:
@@ -57,12 +59,13 @@ def remove_phones(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r" *\n *", "\n")
+    one = F.when(c.contains("  ") | c.contains("\t"), F.regexp_replace(c, r"[ \t]+", " ")).otherwise(c)
+    return F.when(one.contains(" \n") | one.contains("\n "), F.regexp_replace(one, r" *\n *", "\n")).otherwise(one)
 
 
 def collapse_newlines(c: Column, most: int = 2) -> Column:
     """Three or more newlines become `most`."""
-    return F.regexp_replace(c, r"\n{3,}", "\n" * most)
+    return F.when(c.contains("\n\n\n"), F.regexp_replace(c, r"\n{3,}", "\n" * most)).otherwise(c)
 
 
 def remove_patterns(c: Column, patterns: list[str]) -> Column:
@@ -72,7 +75,7 @@ def remove_patterns(c: Column, patterns: list[str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def clean(
@@ -86,8 +89,10 @@ def clean(
 ) -> Column:
     """The full cleaning chain, in its fixed order; blank text becomes ''."""
     out = normalize_unicode(c, unicode_form) if unicode_form else c
-    for step in (strip_control, strip_zero_width, normalize_quotes, normalize_dashes):
-        out = step(out)
+    # the four steps change control characters and a part of what isn't ASCII; quotes, dashes and zero-width characters are one pass
+    dirty = out.rlike(r"[^\x20-\x7E\n\t\r]")
+    chars = "".join(QUOTES) + DASHES + ZERO_WIDTH
+    out = F.when(dirty, F.translate(strip_control(out), chars, "".join(QUOTES.values()) + "-" * len(DASHES))).otherwise(out)
     for wanted, step in ((urls, remove_urls), (emails, remove_emails), (phones, remove_phones)):
         out = step(out) if wanted else out
     out = collapse_newlines(normalize_whitespace(out), max_newlines)

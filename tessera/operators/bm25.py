@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import topk
+from .common import small, topk
 
 K1, B, DELTA, EPSILON = 1.5, 0.75, 1.0, 0.25
 
@@ -55,13 +55,31 @@ def scores(queries: DataFrame, posted: DataFrame, docs: DataFrame, variant: str
     weights = term_stats(posted, corpus, variant)
     own = asked.join(weights, "term")
     hits = posted.join(own, "term").join(docs, "chunk_id").crossJoin(F.broadcast(corpus))
+    return _summed(hits, own, variant, k1, b)
+
+
+def scan_scores(queries: DataFrame, chunks: DataFrame, variant: str = "okapi", text: str = "text", content: str = "content", tokenizer=tokens, k1: float = K1, b: float = B) -> DataFrame:
+    """`scores` of a corpus without postings: document frequencies are counted map-side over all terms, but occurrences leave a task only where a query asks for the term."""
+    own = chunks.select("chunk_id", tokenizer(F.col(content)).alias("_t"))
+    held = own.select("chunk_id", F.explode(F.array_distinct("_t")).alias("term"))
+    docs = own.select("chunk_id", F.size("_t").cast("long").alias("dl"))
+    corpus = corpus_stats(docs)
+    asked = queries.select("query_id", F.explode(tokenizer(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    weights = asked.join(term_stats(held, corpus, variant), "term")
+    terms = small(asked.select("term").distinct())
+    met = own.select("chunk_id", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).join(terms, "term", "left_semi")
+    hits = met.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).join(small(weights), "term").crossJoin(F.broadcast(corpus))
+    return _summed(hits, weights, variant, k1, b)
+
+
+def _summed(hits: DataFrame, weights: DataFrame, variant: str, k1: float, b: float) -> DataFrame:
     length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)
     found = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     if variant != "plus":
         return found
     # the lower bound of every term goes to every chunk: one number a query
-    bound = own.groupBy("query_id").agg(F.sum(F.col("qf") * F.col("idf") * DELTA).alias("_bound"))
+    bound = weights.groupBy("query_id").agg(F.sum(F.col("qf") * F.col("idf") * DELTA).alias("_bound"))
     return found.join(bound, "query_id").select("query_id", "chunk_id", (F.col("score") + F.col("_bound")).alias("score"))
 
 
@@ -94,4 +112,4 @@ def response_totals(queries: DataFrame, found: DataFrame, docs: DataFrame, text:
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 100, threshold: float = 0.0, variant: str = "okapi", text: str = "text", content: str = "content") -> DataFrame:
-    return top_k(scores(queries, postings(chunks, content), doc_stats(chunks, content), variant, text), k, threshold)
+    return top_k(scan_scores(queries, chunks, variant, text, content), k, threshold)

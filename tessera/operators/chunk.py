@@ -48,9 +48,12 @@ def fixed(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 50,
     count = (F.size("_b") - 1) * step + F.size(F.regexp_extract_all(F.element_at("_b", -1), F.lit(r"\S+"), F.lit(0)))
     own = own.withColumn("_k", F.when(F.size("_b") > 0, 1 + F.ceil(F.greatest(count - size, F.lit(0)) / step)).otherwise(0).cast("int"))
     head = lambda i: F.coalesce(F.regexp_extract(F.get("_b", i + 1), rf"^(?:\S++\s*+){{0,{overlap}}}+", 0), F.lit(""))
+    # where each block starts: lengths are summed up in turn
+    starts = F.aggregate("_b", F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.length(b))))
+    own = own.withColumn("_at", starts)
     cut = F.transform(F.slice("_b", F.lit(1), F.col("_k")), lambda b, i: F.struct(
         F.regexp_replace(F.concat(b, head(i)), r"\s+$", "").alias("content"),
-        F.length(F.array_join(F.slice("_b", F.lit(1), i), "")).alias("start_char"),
+        F.get("_at", i).alias("start_char"),
     ))
     return finish(own.withColumn("chunks", cut))
 
@@ -59,10 +62,12 @@ def _sliced(df: DataFrame, text: str, size: int, overlap: int, pieces: Callable[
     step = size - overlap
     own = df.withColumn("_p", pieces(F.col(text))).withColumn("_n", F.size("_p"))
     count = F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / step).cast("int")
-    starts = F.sequence(F.lit(0), count * step, F.lit(step))
-    cut = F.transform(starts, lambda s: F.struct(
-        F.regexp_replace(F.array_join(F.slice("_p", s + 1, F.lit(size)), ""), r"\s+$", "").alias("content"),
-        F.length(F.array_join(F.slice("_p", F.lit(1), s), "")).alias("start_char"),
+    # the steps' texts, so that a start is a sum of few lengths
+    strides = F.transform(F.sequence(F.lit(0), count), lambda i: F.length(F.array_join(F.slice("_p", i * step + 1, F.lit(step)), "")))
+    own = own.withColumn("_at", F.when(F.col("_n") > 0, F.aggregate(strides, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))))
+    cut = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(
+        F.regexp_replace(F.array_join(F.slice("_p", i * step + 1, F.lit(size)), ""), r"\s+$", "").alias("content"),
+        F.get("_at", i).alias("start_char"),
     ))
     return finish(own.withColumn("chunks", F.when(F.col("_n") > 0, cut).otherwise(F.array())))
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scores as S
 from tessera.functions import text as T
 
-from .common import small
+from . import vectors
 
 SIMPLE_MAX_WORDS, COMPLEX_MIN_WORDS = 10, 25
 
@@ -105,11 +104,7 @@ def classify(queries: DataFrame, text: str = "text", domains: dict[str, list[str
 
 def by_example(queries: DataFrame, examples: DataFrame) -> DataFrame:
     """Category of the nearest example by cosine, its score as confidence; `simple` and 0 if none scores above 0. queries (query_id, embedding), examples (category, embedding)."""
-    own = examples.select("category", F.col("embedding").alias("_e"))
-    pairs = queries.select("query_id", "embedding").join(small(own), F.lit(True))
-    score = S.cosine(F.col("embedding"), F.col("_e"), guard=0)
-    best = pairs.groupBy("query_id").agg(F.max(F.struct(F.round(score, 9).alias("s"), F.col("category"))).alias("b"))
-    found = F.col("b.s") > 0
-    return best.select("query_id", F.when(found, F.col("b.category")).otherwise("simple").alias("category"), F.when(found, F.col("b.s")).otherwise(0.0).alias("confidence"))
-
-
+    best = vectors.top_k(queries, examples.select(F.col("category").alias("id"), "embedding"), 1, last_id=True)
+    sure = F.round("score", 9)
+    own = queries.select("query_id").distinct().join(best.select("query_id", "id", F.when(sure > 0, sure).alias("_s")), "query_id", "left")
+    return own.select("query_id", F.when(F.col("_s").isNotNull(), F.col("id")).otherwise("simple").alias("category"), F.coalesce("_s", F.lit(0.0)).alias("confidence"))

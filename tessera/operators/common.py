@@ -20,6 +20,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all cores: files of few row groups give few tasks, which work per row would then run in. A scan of enough tasks stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def merge(base: DataFrame, updates: DataFrame, key: str | list[str], version: Column | None = None) -> DataFrame:
     """Upsert: rows of base without the updates' keys, and of the updates one row a key, the latest by `version`."""
     key = [key] if isinstance(key, str) else key

@@ -28,15 +28,23 @@ def hashing_embedder(dims: int = 64, tokenizer=bm25.tokens) -> Embedder:
 
 def embed(df: DataFrame, embedder: Embedder, content: str = "content", model_id: str = "hashing", stored: DataFrame | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(df with embedding and `from_cache`, the cache with the new entries). Distinct texts alone are embedded, and of these only those the cache lacks."""
-    texts = df.select(F.col(content).alias("content")).filter("content IS NOT NULL").distinct().withColumn("model_id", F.lit(model_id))
+    texts = df.select(F.col(content).alias("content"), _key(content).alias("_key")).filter("content IS NOT NULL").dropDuplicates(["_key"])
+    texts = texts.select("content", F.lit(model_id).alias("model_id"))
+    own = df.withColumn("_key", _key(content))
     if stored is None:
-        made = embedder(texts.select("content"))
-        return df.join(made.withColumnRenamed("content", content), content, "left").withColumn("from_cache", F.lit(False)), None
+        made = embedder(texts.select("content")).select(_key("content").alias("_key"), "embedding")
+        return own.join(made, "_key", "left").drop("_key").withColumn("from_cache", F.lit(False)), None
     made = embedder(cache.misses(texts, stored).select("content"))
     found = cache.lookup(texts, stored).filter("embedding IS NOT NULL").select("content", "embedding", F.lit(True).alias("from_cache"))
     both = found.unionByName(made.select("content", "embedding", F.lit(False).alias("from_cache")))
     entries = made.withColumns({"model_id": F.lit(model_id), "created_at": now if now is not None else F.current_timestamp()})
-    return df.join(both.withColumnRenamed("content", content), content, "left"), cache.put(stored, entries)
+    both = both.select(_key("content").alias("_key"), "embedding", "from_cache")
+    return own.join(both, "_key", "left").drop("_key"), cache.put(stored, entries)
+
+
+def _key(content: str) -> Column:
+    """Texts meet by hash, so that no text is a key of a shuffle."""
+    return F.sha2(content, 256)
 
 
 def counts(embedded: DataFrame) -> DataFrame:

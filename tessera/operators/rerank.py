@@ -13,9 +13,19 @@ from .common import topk
 
 def jaccard(a: Column, b: Column) -> Column:
     """Token overlap of two texts, the default pair scorer; 0 if both are empty."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return overlap(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """The same of two arrays of distinct tokens."""
+    # a transform over one element names the three sizes, so that each token set is worked out once
+    sizes = F.array(F.struct(F.size(x).alias("x"), F.size(y).alias("y"), F.size(F.array_intersect(x, y)).alias("both")))
+    return F.get(F.transform(sizes, lambda n: F.when(n["x"] + n["y"] == 0, 0.0).otherwise(n["both"] / (n["x"] + n["y"] - n["both"]))), 0)
+
+
+def token_sets(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the distinct tokens of a text, for `overlap`: a text of many pairs is gone through once."""
+    return df.withColumn(out, F.array_distinct(tokens(F.col(text))))
 
 
 def rerank(hits: DataFrame, k: int = 10, candidates: int = 100, scorer: Callable[[Column, Column], Column] = jaccard, query: str = "query", content: str = "content", score: str = "score") -> DataFrame:

@@ -18,44 +18,51 @@ from .common import merge, topk
 
 #: Query rows that one pass holds against the vectors; more queries take more blocks.
 BLOCK = 4096
+#: Vectors of a cell that one task holds against its queries.
+CELL_ROWS = 50_000
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = BLOCK) -> DataFrame:
-    """(query_id, id, score, rank): for each query vector the k nearest by cosine, ties by id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = BLOCK, last_id: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): for each query vector the k nearest by cosine, ties by id, the largest first with `last_id`.
 
-    Queries go to the tasks in blocks of at most `block` rows, each packed into one row; a task keeps, for every query, only its own k best of a batch
-    of vectors, so queries x vectors pairs never exist as rows.
+    Query vectors are broadcast as matrices of at most about `block` rows, one for each pass over the vectors, of which ids and embeddings alone reach a task. It keeps,
+    for every query, only its own k best of a batch, so queries x vectors pairs never exist as rows.
     """
     own = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
-    blocks = max(1, -(-own.count() // block))
-    packed = own.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "embedding")).alias("_q"))
+    first = own.limit(block + 1).toArrow()
+    parts = [first]
+    if first.num_rows > block:
+        n = -(-own.count() // block)
+        parts = [own.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow() for b in range(n)]
     key, vid = own.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    send = vectors.sparkSession.sparkContext.broadcast
+    table = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("id")
-            own = [i for i in range(batch.num_rows) if batch.column("embedding")[i].is_valid]
-            if not own:
-                continue
-            x = np.array([batch.column("embedding")[i].as_py() for i in own], np.float64)
-            asked = batch.column("_q")[0].as_py() if batch.num_rows else []
-            names = pa.array([q["query_id"] for q in asked])
-            q = np.array([q["embedding"] for q in asked], np.float64)
-            lengths = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-            scores = (q @ x.T) / (lengths + 1e-9)
-            n = min(k, scores.shape[1])
-            edge = -np.sort(-scores, axis=1)[:, n - 1 : n]
-            at, which = np.nonzero(scores >= edge - 1e-9)  # all that tie with the k-th stay for the final cut
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids.take(pa.array(np.array(own)[which])), pa.array(scores[at, which])], names=["query_id", "id", "score"])
-
-    pairs = vectors.select("id", "embedding").join(F.broadcast(packed), F.lit(True)) if blocks == 1 else None
-    if pairs is None:
-        # each block of queries meets all vectors: vectors are read once a block
-        parts = [vectors.select("id", "embedding").join(F.broadcast(packed.filter(F.col("_b") == b)), F.lit(True)) for b in range(blocks)]
-        found = reduce(DataFrame.unionByName, [p.select("id", "embedding", "_q").mapInArrow(run, f"query_id {key}, id {vid}, score double") for p in parts])
-    else:
-        found = pairs.select("id", "embedding", "_q").mapInArrow(run, f"query_id {key}, id {vid}, score double")
-    return topk(found, "query_id", [F.round("score", 9).desc(), F.col("id")], k)
+    def near(part: pa.Table) -> DataFrame:
+        asked = send((part["query_id"].combine_chunks(), _rows(part["embedding"].combine_chunks())))
+
+        def run(batches):
+            names, q = asked.value
+            norm = np.sqrt((q * q).sum(1))[:, None]
+            for batch in batches:
+                if not batch.num_rows or not len(names):
+                    continue
+                x = _rows(batch.column("embedding"))
+                scores = (q @ x.T) / (norm * np.sqrt((x * x).sum(1))[None, :] + 1e-9)
+                n = min(k, scores.shape[1])
+                edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+                at, which = np.nonzero(scores >= edge - 1e-9)  # all that tie with the k-th stay for the final cut
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), batch.column("id").take(pa.array(which)), pa.array(scores[at, which])], names=["query_id", "id", "score"])
+
+        return table.mapInArrow(run, f"query_id {key}, id {vid}, score double")
+
+    found = reduce(DataFrame.unionByName, map(near, parts))
+    return topk(found, "query_id", [F.round("score", 9).desc(), F.col("id").desc() if last_id else F.col("id")], k)
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    """A matrix of lists of one length."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
 def matches(conditions: dict, column: str = "metadata") -> Column:
@@ -118,7 +125,7 @@ def train_cells(vectors: DataFrame, cells: int = 16, sample_rows: int = 20_000,
     return KMeans(k=cells, seed=seed, maxIter=10).fit(own)
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, model, k: int = 10, probes: int = 4) -> DataFrame:
+def approximate_top_k(queries: DataFrame, vectors: DataFrame, model, k: int = 10, probes: int = 12) -> DataFrame:
     """Top k among the vectors of the `probes` cells nearest to each query: an equi-join on the cell."""
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     lit = F.array(*(F.array(*map(F.lit, c)) for c in centres))
@@ -126,7 +133,11 @@ def approximate_top_k(queries: DataFrame, vectors: DataFrame, model, k: int = 10
     cells = lambda v, n: F.slice(F.transform(F.array_sort(F.transform(far(v), lambda d, i: F.struct(d.alias("d"), i.alias("i")))), lambda s: s["i"]), 1, n)
     own = vectors.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn("cell", F.element_at(cells(F.col("v"), 1), 1))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).withColumn("cell", F.explode(cells(F.col("q"), probes)))
-    pairs = asked.join(own, "cell").select("query_id", "id", S.cosine(F.col("q"), F.col("v")).alias("score"))
+    # a cell of many vectors is dealt over several tasks, each of which meets the cell's queries
+    salts = own.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_salts"))
+    own = own.join(F.broadcast(salts), "cell").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")))
+    asked = asked.join(F.broadcast(salts), "cell").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts").cast("long") - 1)))
+    pairs = asked.join(own, ["cell", "_salt"]).select("query_id", "id", S.cosine(F.col("q"), F.col("v")).alias("score"))
     return topk(pairs, "query_id", [F.round("score", 9).desc(), F.col("id")], k)
 
 

@@ -14,6 +14,7 @@ from tessera.operators import fusion as U
 from tessera.operators import relevance as L
 from tessera.operators import rerank as K
 from tessera.operators import vectors as V
+from tessera.operators.common import small
 
 from . import frames as Z
 from . import pipelines as P
@@ -82,7 +83,7 @@ put("vec_08_uuid5", lambda s, d: Z.documents(s, d).select("document_id", V.uuid5
 
 def _ann(s, d):
     own = Z.embeddings(s, d)
-    return V.approximate_top_k(Z.vector_queries(s, d), own, V.train_cells(own), k=10, probes=8)
+    return V.approximate_top_k(Z.vector_queries(s, d), own, V.train_cells(own), k=10)
 
 
 put("vec_09_approximate", _ann)
@@ -96,8 +97,7 @@ def _posted(s, d):
 
 
 def _scored(s, d, variant="okapi"):
-    c = Z.chunks(s, d)
-    return B.scores(Z.searches(s, d), B.postings(c), B.doc_stats(c), variant)
+    return B.scan_scores(Z.searches(s, d), Z.chunks(s, d), variant)
 
 
 put("bm25_01_tokens", lambda s, d: Z.chunks(s, d).select("chunk_id", F.array_join(B.tokens(F.col("content"), 3, True), " ").alias("tokens")),
@@ -122,6 +122,8 @@ def _bm25_04(s, d):
 
 
 put("bm25_04_idf", _bm25_04, Z.sql("ts", "SELECT term, df, round(idf, 6) AS idf, round(ln(((SELECT n FROM cs) + 1)::DOUBLE / df), 6) AS idf_plus FROM ts"))
+put("bm25_05_scores_indexed", lambda s, d: B.scores(Z.searches(s, d), B.postings(Z.chunks(s, d)), B.doc_stats(Z.chunks(s, d))).select("query_id", "chunk_id", r6("score")),
+    Z.sql("bs", "SELECT query_id, chunk_id, round(score, 6) AS score FROM bs"))
 put("bm25_05_scores", lambda s, d: _scored(s, d).select("query_id", "chunk_id", r6("score")), Z.sql("bs", "SELECT query_id, chunk_id, round(score, 6) AS score FROM bs"))
 _PLUS = """tp AS (SELECT term, df, ln(((SELECT n FROM cs) + 1)::DOUBLE / df) AS idf FROM ts0), bd AS (SELECT query_id, sum(qf * idf) AS bound FROM qt JOIN tp USING (term) GROUP BY query_id),
 bsp AS (SELECT query_id, chunk_id, sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qt JOIN tp USING (term) JOIN posts USING (term) JOIN ds USING (chunk_id), cs GROUP BY ALL)"""
@@ -268,21 +270,34 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDE
 # --- reranking
 
 
+def _candidates(s, d):
+    """Candidates with the texts of query and chunk."""
+    top = B.top_k(_scored(s, d), 30)
+    return top.join(Z.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(small(Z.searches(s, d).withColumnRenamed("text", "query")), "query_id")
+
+
 def _ranked(s, d):
-    c = Z.chunks(s, d)
-    return B.top_k(_scored(s, d), 30).join(c.select("chunk_id", "content"), "chunk_id").join(Z.searches(s, d).withColumnRenamed("text", "query"), "query_id")
+    """Candidates with the token sets of query and chunk."""
+    top = B.top_k(_scored(s, d), 30)
+    chunks = K.token_sets(Z.chunks(s, d), "content", "content_tokens").select("chunk_id", "content_tokens")
+    asked = K.token_sets(Z.searches(s, d), "text", "query_tokens").select("query_id", "query_tokens")
+    return top.join(chunks, "chunk_id").join(small(asked), "query_id")
+
+
+def _reranked(s, d):
+    return K.rerank(_ranked(s, d), scorer=K.overlap, query="query_tokens", content="content_tokens")
 
 
 _JAC = f"""tq AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), '{Z.TOKEN}')) AS x FROM bq), tc AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(lower(text), '{Z.TOKEN}')) AS y FROM documents),
 j AS (SELECT query_id, chunk_id, score, rank AS original_rank, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS rs FROM bt JOIN tq USING (query_id) JOIN tc USING (chunk_id) WHERE rank <= 30 AND score > 0),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rs, 9) DESC, original_rank) AS new_rank FROM j QUALIFY new_rank <= 10)"""
-put("rrk_01_rerank", lambda s, d: K.rerank(_ranked(s, d)).select("query_id", "chunk_id", r6("rerank_score"), "original_rank", "new_rank"),
+put("rrk_01_rerank", lambda s, d: _reranked(s, d).select("query_id", "chunk_id", r6("rerank_score"), "original_rank", "new_rank"),
     Z.sql("bt", "SELECT query_id, chunk_id, round(rs, 6) AS rerank_score, original_rank, new_rank FROM rr", _JAC))
 put("rrk_02_keep_order", lambda s, d: K.keep_order(_ranked(s, d)).select("query_id", "chunk_id", r6("rerank_score"), "new_rank"),
     Z.sql("bt", "SELECT query_id, chunk_id, round(1.0 - 0.01 * (rank - 1), 6)::DOUBLE AS rerank_score, rank AS new_rank FROM bt WHERE rank <= 10 AND score > 0"))
 put("rrk_03_combine", lambda s, d: K.combined_candidates(Z.vector_hits(s, d, 20), Z.second_hits(s, d, 20)).select("query_id", "chunk_id", "source", "rank"),
     Z.sql("hv hb", "SELECT query_id, chunk_id, source, row_number() OVER (PARTITION BY query_id ORDER BY side, rank) AS rank FROM (SELECT 0 AS side, 'vector' AS source, query_id, chunk_id, rank FROM hv WHERE rank <= 20 UNION ALL SELECT 1, 'bm25', query_id, chunk_id, rank FROM hb WHERE rank <= 20 AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hv WHERE rank <= 20))"))
-put("rrk_04_rank_change", lambda s, d: K.average_change(K.rerank(_ranked(s, d))).select("query_id", r6("avg_rank_change"), "n"),
+put("rrk_04_rank_change", lambda s, d: K.average_change(_reranked(s, d)).select("query_id", r6("avg_rank_change"), "n"),
     Z.sql("bt", "SELECT query_id, round(avg(abs(original_rank - new_rank)), 6) AS avg_rank_change, count(*) AS n FROM rr GROUP BY query_id", _JAC))
 
 # --- relevance
@@ -321,7 +336,7 @@ put("rel_08_adaptive", _rel_08, _rel_sql("0.5::DOUBLE + 0.3::DOUBLE * (query_id
 
 
 def _rel_09(s, d):
-    own = K.rerank(_ranked(s, d)).select("query_id", "chunk_id", "rerank_score", F.col("new_rank").alias("rank"))
+    own = _reranked(s, d).select("query_id", "chunk_id", "rerank_score", F.col("new_rank").alias("rank"))
     return L.filter_hits(own, score="rerank_score").select("query_id", "chunk_id", r6("relevance_score"), "rank")
 
 

@@ -17,7 +17,7 @@ from tessera.operators import route as R
 
 from . import frames as Z
 from . import pipelines as P
-from .search_queries import _ranked
+from .search_queries import _candidates
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +37,7 @@ def r6(c):
 
 
 def _top(s, d):
-    return _ranked(s, d).filter("rank <= 12").select("query_id", "chunk_id", F.col("chunk_id").alias("document_id"), "content", "score", "rank")
+    return _candidates(s, d).filter("rank <= 12").select("query_id", "chunk_id", F.col("chunk_id").alias("document_id"), "content", "score", "rank")
 
 
 _CX = """c0 AS (SELECT query_id, chunk_id, d.text AS content, score, rank, CASE query_id % 3 WHEN 0 THEN 800 WHEN 1 THEN 4000 ELSE 2000 END AS lim FROM bt JOIN documents d ON doc_id = chunk_id WHERE rank <= 10 AND score > 0),
@@ -278,21 +278,21 @@ put("emc_06_stats", lambda s, d: H.stats(H.lookup(_wanted(s, d), _emb_cache(s, d
 
 def _responses(s, d):
     own = Z.embeddings(s, d).filter("id % 2 = 0")
-    text = F.concat(F.lit("Q "), F.col("id") % 50)
+    text = F.concat(F.lit("Q "), F.col("id"))
     rows = own.select(H.query_hash(text).alias("query_hash"), text.alias("query"), F.when(F.col("id") % 10 == 0, " ").otherwise(F.concat(F.lit("r"), "id")).alias("response"), "embedding", F.timestamp_seconds(F.unix_timestamp(Z.now()) - F.col("id") * 60).alias("created_at"), "id")
     return rows
 
 
 def _cached(s, d):
-    return _responses(s, d).filter("id < 50").drop("id")
+    return _responses(s, d).drop("id")
 
 
 def _lookups(s, d):
-    return Z.embeddings(s, d).filter("id < 100").select(F.col("id").alias("query_id"), F.concat(F.lit(" q "), F.col("id"), F.lit(" ")).alias("text"), "embedding")
+    return Z.embeddings(s, d).select(F.col("id").alias("query_id"), F.concat(F.lit(" q "), F.col("id"), F.lit(" ")).alias("text"), "embedding")
 
 
-_RC = """rc AS (SELECT vec_id AS id, 'q ' || (vec_id % 50) AS q, 'Q ' || (vec_id % 50) AS query, 'r' || vec_id AS response, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0 AND vec_id < 50 AND vec_id % 10 <> 0),
-lk AS (SELECT vec_id AS query_id, 'q ' || vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 100),
+_RC = """rc AS (SELECT vec_id AS id, 'q ' || vec_id AS q, 'Q ' || vec_id AS query, 'r' || vec_id AS response, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 10 <> 0),
+lk AS (SELECT vec_id AS query_id, 'q ' || vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings),
 ex AS (SELECT query_id, response, substr(sha256(lk.q), 1, 16) AS query_hash FROM lk JOIN rc ON lk.q = rc.q),
 ne AS (SELECT query_id, lk.q, rc.q AS cq, rc.id, rc.response, list_dot_product(lk.e, rc.e) / (sqrt(list_dot_product(lk.e, lk.e)) * sqrt(list_dot_product(rc.e, rc.e)) + 1e-9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, substr(sha256(rc.q), 1, 16)) AS r FROM lk, rc QUALIFY r = 1),
 se AS (SELECT * FROM ne WHERE query_id NOT IN (SELECT query_id FROM ex) AND round(s, 9) >= 0.25),
@@ -312,17 +312,17 @@ put("sca_04_ttl", lambda s, d: H.live(_responses(s, d), Z.now(), 3600, key="quer
 
 
 def _sca_05(s, d):
-    new = Z.embeddings(s, d).filter("id % 3 = 0 AND id < 60").select(F.concat(F.lit("Q "), F.col("id")).alias("query"), F.when(F.col("id") % 9 == 0, "").otherwise("new").alias("response"), "embedding", Z.now().alias("created_at"))
+    new = Z.embeddings(s, d).filter("id % 3 = 0").select(F.concat(F.lit("Q "), F.col("id")).alias("query"), F.when(F.col("id") % 9 == 0, "").otherwise("new").alias("response"), "embedding", Z.now().alias("created_at"))
     return H.put_responses(_cached(s, d), new).select("query_hash", "response")
 
 
-put("sca_05_put", _sca_05, """WITH w AS (SELECT substr(sha256('q ' || vec_id), 1, 16) AS query_hash, 'new' AS response FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 9 <> 0 AND vec_id < 60),
-o AS (SELECT substr(sha256('q ' || vec_id), 1, 16) AS query_hash, CASE WHEN vec_id % 10 = 0 THEN ' ' ELSE 'r' || vec_id END AS response FROM embeddings WHERE vec_id % 2 = 0 AND vec_id < 50)
+put("sca_05_put", _sca_05, """WITH w AS (SELECT substr(sha256('q ' || vec_id), 1, 16) AS query_hash, 'new' AS response FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 9 <> 0),
+o AS (SELECT substr(sha256('q ' || vec_id), 1, 16) AS query_hash, CASE WHEN vec_id % 10 = 0 THEN ' ' ELSE 'r' || vec_id END AS response FROM embeddings WHERE vec_id % 2 = 0)
 SELECT * FROM w UNION ALL SELECT * FROM o WHERE query_hash NOT IN (SELECT query_hash FROM w)""")
 put("sca_06_capacity", lambda s, d: H.live(_responses(s, d), Z.now(), 10**9, 25, "id").select("id"), "SELECT vec_id AS id FROM embeddings WHERE vec_id % 2 = 0 ORDER BY vec_id LIMIT 25")
 put("sca_07_lookup", lambda s, d: H.respond(_lookups(s, d), _cached(s, d), 0.25).withColumn("similarity", F.round("similarity", 6)), f"WITH {_RC} SELECT * FROM re")
 put("sca_08_stats", lambda s, d: H.response_stats(H.respond(_lookups(s, d), _cached(s, d), 0.25), _cached(s, d)).withColumn("hit_rate", F.round("hit_rate", 6)),
-    f"WITH {_RC} SELECT count(*) FILTER (layer = 'exact') AS exact_hits, count(*) FILTER (layer = 'semantic') AS semantic_hits, count(*) FILTER (NOT hit) AS misses, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS hit_rate, 25::BIGINT AS size FROM re")
+    f"WITH {_RC} SELECT count(*) FILTER (layer = 'exact') AS exact_hits, count(*) FILTER (layer = 'semantic') AS semantic_hits, count(*) FILTER (NOT hit) AS misses, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS hit_rate, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) AS size FROM re")
 
 
 def _sca_09(s, d):
@@ -346,11 +346,11 @@ put("fbk_02_stats", lambda s, d: B.stats(_good(s, d), Z.now(), 20).withColumns({
 
 
 def _fbk_03(s, d):
-    logs = Z.documents(s, d).select(F.col("document_id").alias("query_id"), F.substring("text", 1, 20).alias("query"), F.when(F.col("document_id") % 5 != 0, F.substring("text", 21, 20)).alias("response"))
+    logs = Z.documents(s, d).select(F.col("document_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("document_id") % 5 != 0, F.lower("text")).alias("response"))
     return B.evaluation_set(_good(s, d), logs, limit=50).withColumn("rating", F.col("rating").cast("long"))
 
 
-put("fbk_03_export", _fbk_03, Z.sql("fb0", "SELECT query_id, substr(text, 1, 20) AS query, substr(text, 21, 20) AS response, rating::BIGINT AS rating, CASE WHEN comment <> '' THEN comment END AS comment FROM fb0 JOIN documents ON doc_id = query_id WHERE rating BETWEEN 4 AND 5 AND doc_id % 5 <> 0 ORDER BY created_at DESC, query_id LIMIT 50"))
+put("fbk_03_export", _fbk_03, Z.sql("fb0", "SELECT query_id, text AS query, lower(text) AS response, rating::BIGINT AS rating, CASE WHEN comment <> '' THEN comment END AS comment FROM fb0 JOIN documents ON doc_id = query_id WHERE rating BETWEEN 4 AND 5 AND doc_id % 5 <> 0 ORDER BY created_at DESC, query_id LIMIT 50"))
 put("met_01_requests", lambda s, d: S.request_counts(Z.events(s, d)), Z.sql("ev", "SELECT endpoint, status, count(*) AS requests FROM ev GROUP BY ALL"))
 _LE = ", ".join(f"({b}::DOUBLE)" for b in S.BUCKETS["request"]) + ", ('inf'::DOUBLE)"
 put("met_02_histogram", lambda s, d: S.histogram(Z.events(s, d), "endpoint", "latency", S.BUCKETS["request"]).withColumn("total_sum", F.round("total_sum", 6)),
@@ -386,7 +386,7 @@ put("lim_01_sliding", lambda s, d: S.sliding_counts(_requests(s, d).withColumn("
 def _pip_01(s, d):
     e = E.hashing_embedder()
     chunks = P.with_embedding(Z.chunks(s, d).select("chunk_id", "document_id", "content", "created_at"), e, "content")
-    asked = Z.user_turns(s, d).filter("conv_id % 2 = 1").select("query_id", F.substring("text", 1, 200).alias("text"))
+    asked = Z.user_turns(s, d).select("query_id", "text")
     answered = Z.user_turns(s, d).filter("conv_id % 2 = 0").select(H.query_hash(F.col("text")).alias("query_hash"), F.col("text").alias("query"), F.lit("cached").alias("response"), "text").dropDuplicates(["query_hash"])
     stored = P.with_embedding(answered, e, "text").select("query_hash", "query", "response", "embedding", Z.now().alias("created_at"))
     return P.answers(asked, chunks, e, stored, k=5, hold=DataFrame.persist)
