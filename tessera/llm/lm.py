@@ -235,13 +235,13 @@ def pieces(table: DataFrame, shards: int, size: int = PIECE_BYTES):
             while last + 1 < shards and total + sizes.get((kind, last + 1), 0) <= size:
                 last += 1
                 total += sizes.get((kind, last), 0)
-            rows = {r["shard"]: r for r in table.filter((F.col("kind") == kind) & F.col("shard").between(first, last)).collect()}
+            rows = table.filter((F.col("kind") == kind) & F.col("shard").between(first, last)).select("shard", "filter", "keys", "counts").toArrow().sort_by("shard")
+            at = {x: i for i, x in enumerate(rows["shard"].to_pylist())}
             # a shard without keys has one word of zeros
-            filters = [rows[s]["filter"] if s in rows else bytes(8) for s in range(first, last + 1)]
-            held = [rows[s] for s in sorted(rows)]
-            value = tuple(b"".join(x) for x in (filters, [r["keys"] for r in held], [r["counts"] for r in held]))
+            filters = [rows["filter"][at[s]].as_buffer() if s in at else bytes(8) for s in range(first, last + 1)]
+            value = tuple(b"".join(x) for x in (filters, *([x.as_buffer() for x in rows[c]] for c in ("keys", "counts"))))
             yield Piece(kind, first, np.array([len(x) // 8 for x in filters]), send(value))
-            del rows, held, filters, value
+            del rows, filters, value
             first = last + 1
 
 
