@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.common import shared_dir
+
 #: Bytes of text that one vectorised step inside a task works on; a step's arrays take some forty times as much.
 STEP_BYTES = 1 << 20
 #: Powers that a worker keeps from step to step; a longer text gets its own, which go with it.
@@ -31,18 +32,6 @@ def remainder(key: Column, m: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Without it a local session, as in tests, gets a new folder; a cluster has to name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, a lost executor costs no rerun, and the shuffle files are freed."""
     spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

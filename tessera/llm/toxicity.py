@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, mixed, remainder, text_steps
+from .common import bounded_sample, cut, documents, mixed, remainder, text_steps
 
 STRIP = ".,;:!?\"'()[]{}|*_-#…«»“”‘’"
 
@@ -159,7 +159,8 @@ def train(toxic: np.ndarray, words: list[np.ndarray], sentences: list[np.ndarray
 def fit(labelled: DataFrame, max_rows: int = 6000) -> Model:
     """Learn from (doc_id, text, toxic). Words are counted over all labelled documents; weights are fitted on at most `max_rows` of them, half of each label, those with the
     smallest hash of doc_id. A word's prior weight is its smoothed log-odds of toxicity against the base rate. Word hashes that pass are gathered, no documents or counts of others."""
-    known = labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # read four times, so the join behind it is worked out once
+    known = cut(labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
     docs, bad = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     chosen = bounded_sample(known.select("doc_id", "toxic"), "toxic", max_rows // 2).select("doc_id").distinct()
     sample = known.join(chosen, "doc_id", "left_semi").select("text", "toxic")
