@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search_queries, service_queries, text_queries
+from . import search_queries, service_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = (text_queries, search_queries, service_queries)
+MODULES: tuple = (text_queries, search_queries, service_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -78,7 +78,8 @@ put("vec_05_upsert", _vec_05, """SELECT vec_id AS id, label::BIGINT AS label FRO
 put("vec_06_delete", lambda s, d: V.delete(V.delete(_tagged(s, d), Z.vector_queries(s, d).select(F.col("query_id").alias("id"))), conditions={"part": 3}).select("id"),
     "SELECT vec_id AS id FROM embeddings WHERE vec_id % 20 <> 0 AND NOT (vec_id % 3 <> 0 AND vec_id % 7 = 3)")
 put("vec_07_stats", lambda s, d: V.collection_stats(Z.embeddings(s, d)), "SELECT count(*) AS vectors_count, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings")
-put("vec_08_uuid5", lambda s, d: Z.documents(s, d).select("document_id", V.uuid5(F.col("document_id").cast("string")).alias("uuid")))
+put("vec_08_uuid5", lambda s, d: Z.documents(s, d).select("document_id", V.uuid5(F.col("document_id").cast("string")).alias("uuid")),
+    f"WITH h AS (SELECT doc_id AS document_id, sha1(from_hex('{V.NAMESPACE_DNS}') || doc_id::VARCHAR::BLOB) AS h FROM documents) SELECT document_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || '89ab'[instr('0123456789abcdef', substr(h, 17, 1)) % 4 + CASE WHEN instr('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 THEN 4 ELSE 0 END] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h")
 
 
 def _ann(s, d):

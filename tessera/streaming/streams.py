@@ -92,10 +92,11 @@ def new_queries(queries: DataFrame, ttl: str = "1 hour", text: str = "text") ->
     return queries.withColumn("query_hash", C.query_hash(F.col(text))).withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["query_hash"])
 
 
-def conversation_history(messages: DataFrame, full: int = M.FULL_MESSAGES, summary_tokens: int = M.SUMMARY_TOKENS, idle_ms: int = 3_600_000) -> DataFrame:
+def conversation_history(messages: DataFrame, full: int = M.FULL_MESSAGES, summary_tokens: int = M.SUMMARY_TOKENS, idle_ms: int | None = 3_600_000) -> DataFrame:
     """(conversation_id, turn, history) after each message of (conversation_id, turn, role, content): compressed history as JSON.
 
-    State holds the last `full` messages whole and the older ones cut to what a summary can show of them; idle conversations are forgotten.
+    State holds the last `full` messages whole and the older ones cut to what a summary can show of them; idle conversations are forgotten, or with idle_ms=None
+    none, as a stream that is to end needs it: while a timeout is set, Spark goes on to look for it.
     """
     longest = summary_tokens * M.CHARS_PER_TOKEN
 
@@ -111,10 +112,11 @@ def conversation_history(messages: DataFrame, full: int = M.FULL_MESSAGES, summa
             held = [[r, c if i >= len(held) - full else c[:longest], n] for i, (r, c, n) in enumerate(held)]
             out.append((key[0], turn, json.dumps(_history(held, full, summary_tokens))))
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conversation_id", "turn", "history"])
 
-    return messages.groupBy("conversation_id").applyInPandasWithState(step, "conversation_id long, turn long, history string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("conversation_id").applyInPandasWithState(step, "conversation_id long, turn long, history string", "held string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _history(held: list, full: int, summary_tokens: int) -> list[dict]:

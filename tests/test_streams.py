@@ -30,7 +30,7 @@ def test_rate_limiter_equals_batch(spark, tmp_path):
 def test_history_equals_batch(spark, tmp_path):
     rows = [(c, t, "user", f"{c}-{t} " + "z" * 300) for c in (1, 2) for t in range(6)]
     df = spark.createDataFrame(rows, "conversation_id long, turn long, role string, content string")
-    run(S.conversation_history(source(spark, df, str(tmp_path / "m"))), "histories")
+    run(S.conversation_history(source(spark, df, str(tmp_path / "m")), idle_ms=None), "histories")
     got = {r.conversation_id: json.loads(r.history) for r in spark.table("histories").filter("turn = 5").collect()}
     want: dict = {}
     for r in memory.compressed(df).orderBy("conversation_id", "position").collect():
