@@ -1,23 +1,24 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Pieces are range-sorted by length over the cluster, which gives each its rank among those of its length. Documents and gaps then meet as runs of
-one size, so a round's tables have at most `capacity` sizes whatever the number of documents: in a round a run of documents sweeps its successor gaps,
-the smallest that hold it; conflicts are settled by rank, as the documents of a run take the gaps of a run in order; the gaps are updated, and the next
-round follows until all is placed. Joining the ranks to the placed runs gives each piece its sequence and offset.
+Pieces are range-sorted by length over the cluster, which gives each its rank among those of its length. Documents and gaps then meet as tables of runs of
+one size, so they have some thousand rows whatever the number of documents. In a round documents and gaps are sorted by size, each run of documents sweeps up to its successor
+gap, the smallest that holds it, conflicts are settled by rank, the gaps are updated, and the next round follows until all is placed. Joining the ranks to the placed runs gives
+each piece its sequence and offset.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -26,7 +27,9 @@ from .common import cut, documents, text_steps, worker_cache
 CAPACITY = 2048
 END = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CACHED = 600_000
+#: Parts of a text that a worker keeps the ids of, and the characters of one at most: some 60 MB.
+CACHED = 250_000
+CACHED_CHARS = 40
 BROADCAST_ROWS = 500_000
 
 
@@ -55,7 +58,7 @@ class Encoder:
                 if not part or part[0].isspace() or part[-1].isspace():
                     raise ValueError
                 ids = np.array(outer.part(" " + part), "<u4").tobytes()
-                if len(self) < CACHED:
+                if len(self) < CACHED and len(part) <= CACHED_CHARS:
                     self[part] = ids
                 return ids
 
@@ -99,41 +102,102 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
     return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", _order long" * bool(place))
 
 
-def plan(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, number, first bin, offset) that place sizes[length] documents of each length.
+def rounds(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Runs (length, rank, n, bin, offset): where the documents of each length go, of `sizes` (length, n). Document rank + i of a run lies in bin + i at the offset.
 
-    A round for each length, the largest first: its run sweeps up from the smallest gap that holds it, run by run, and a run of gaps that is left in
-    part stays for the next. What finds no gap opens bins and fills them in the same round.
+    Documents are runs of one length and gaps runs of one size, so the tables have some thousand rows at any number of documents. A round either opens bins, for the
+    longest documents that no gap holds, or matches the longest documents with gaps; both tables are updated and written, until no document is left.
     """
-    runs, bins = [], 0
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size: (first bin, number)
-    order: list[int] = []  # sizes of gaps, ascending
-
-    def free(gap, start, n):
-        if gap and n:
-            if gap not in gaps or not gaps[gap]:
-                insort(order, gap)
-            gaps[gap].append((start, n))
-
-    for length in sorted(sizes, reverse=True):
-        rank, n = 0, sizes[length]
-        while n and order and order[-1] >= length:
-            gap = order[bisect_left(order, length)]
-            start, m = gaps[gap].pop()
-            if not gaps[gap]:
-                order.remove(gap)
-            k = min(n, m)
-            runs.append((length, rank, k, start, capacity - gap))
-            free(gap, start + k, m - k)
-            free(gap - length, start, k)
-            rank, n = rank + k, n - k
-        most = capacity // length
-        for each, count in ((most, n // most), (n % most, 1)):
-            if each and count:
-                runs += [(length, rank + j * count, count, bins, j * length) for j in range(each)]
-                free(capacity - each * length, bins, count)
-                rank, bins = rank + each * count, bins + count
-    return runs
+    spark = sizes.sparkSession
+    docs = cut(sizes.select(F.col("length").cast("long"), F.lit(0).cast("long").alias("rank"), F.col("n").cast("long")).coalesce(1))
+    gaps, bins = spark.createDataFrame([], "gap long, bin long, n long"), 0
+    placed = [spark.createDataFrame([], "length long, rank long, n long, bin long, offset long")]
+    while True:
+        most = docs.select(F.lit(0).alias("k"), "length").unionByName(gaps.select(F.lit(1).alias("k"), F.col("gap").alias("length"))).coalesce(1)
+        top, room = most.agg(F.max(F.when(F.col("k") == 0, F.col("length"))), F.coalesce(F.max(F.when(F.col("k") == 1, F.col("length"))), F.lit(0))).first()
+        if top is None:
+            return reduce(DataFrame.unionByName, placed)
+        # the longest are placed first, down to half the longest: shorter documents are kept for the gaps that these leave
+        some = F.col("length") > max(top // 2, room if top > room else 0)
+        own, docs = docs.filter(some), docs.filter(~some)
+        if top > room:
+            runs, left, more, opened = _opened(own, bins, capacity // top, capacity)
+            bins += opened
+            docs, gaps = docs.unionByName(left), gaps.unionByName(more)
+        else:
+            runs, left, gaps = _matched(own, gaps, capacity)
+            docs = docs.unionByName(left)
+        placed.append(runs)
+        docs, gaps = (cut(x.coalesce(1)) for x in (docs, gaps))
+
+
+def _opened(docs: DataFrame, bins: int, each: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(runs, documents left, gaps, number of bins): the longest documents in a new bin each, as many bins as hold all of `docs` with `each` in one."""
+    docs = docs.coalesce(1)
+    needs = -(-docs.agg(F.sum("n")).first()[0] // each)
+    before = F.sum("n").over(Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    own = docs.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("k", F.expr(f"greatest(0L, least(n, {needs}L - before))"))
+    runs = own.filter("k > 0").selectExpr("length", "rank", "k AS n", f"before + {bins}L AS bin", "0L AS offset")
+    left = own.filter("n > k").selectExpr("length", "rank + k AS rank", "n - k AS n")
+    return runs, left, runs.selectExpr(f"{capacity} - length AS gap", "bin", "n").filter("gap > 0"), needs
+
+
+def _matched(docs: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, documents left, gaps left) of one round. Documents and gaps come to the sweep sorted by size; gaps change only after it."""
+    both = docs.selectExpr("0 AS kind", "length AS size", "rank AS first", "n").unionByName(gaps.selectExpr("1 AS kind", "gap AS size", "bin AS first", "n"))
+    both = both.coalesce(1).sortWithinPartitions(F.col("kind").desc(), "size", "first")
+    found = cut(both.mapInArrow(_sweep(capacity), "kind int, size long, first long, n long, bin long, offset long"))
+    of = lambda k: found.filter(F.col("kind") == k)
+    runs = of(2).selectExpr("size AS length", "first AS rank", "n", "bin", "offset")
+    return runs, of(0).selectExpr("size AS length", "first AS rank", "n"), of(1).selectExpr("size AS gap", "first AS bin", "n")
+
+
+def _sweep(capacity: int):
+    """A task that matches runs of documents with runs of gaps, both some thousand rows at most. The longest documents come first; a run takes its successors, from the smallest
+    gaps that hold it up, and puts as many documents into each as it holds; gaps that a longer run has taken are passed over."""
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        gaps = [[size, first, n] for kind, size, first, n in rows if kind == 1]  # ascending
+        sizes, onward, out = [g[0] for g in gaps], list(range(len(gaps) + 1)), []
+
+        def free(i: int) -> int:
+            while onward[i] != i:
+                onward[i] = onward[onward[i]]
+                i = onward[i]
+            return i
+
+        for kind, length, rank, n in reversed(rows):
+            if kind == 1:
+                break
+            at = free(bisect_left(sizes, length))
+            while n and at < len(gaps):
+                gap, first, m = gaps[at]
+                each = min(gap // length, n)
+                full, rest = min(m, n // each), 0
+                for j in range(each if full else 0):
+                    out.append((2, length, rank + j * full, full, first, capacity - gap + j * length))
+                if full:
+                    out.append((1, gap - each * length, first, full, None, None))
+                rank, n = rank + each * full, n - each * full
+                if full < m and n:  # the rest, fewer than `each`, share one more gap
+                    rest = n
+                    out += [(2, length, rank + j, 1, first + full, capacity - gap + j * length) for j in range(rest)]
+                    out.append((1, gap - rest * length, first + full, 1, None, None))
+                    rank, n, full = rank + rest, 0, full + 1
+                gaps[at] = [gap, first + full, m - full]
+                if full == m:
+                    onward[at] = at + 1
+                    at = free(at)
+            if n:
+                out.append((0, length, rank, n, None, None))
+        out += [(1, *g, None, None) for g in gaps if g[2]]
+        out = [x for x in out if x[0] != 1 or x[1]]
+        if out:
+            kinds = [pa.int32()] + [pa.int64()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "size", "first", "n", "bin", "offset"])
+
+    return run
 
 
 def ranked(cut_pieces: DataFrame) -> DataFrame:
@@ -172,11 +236,9 @@ def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, pl
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of (doc_id, text); a null text counts as empty and has the end token alone.
 
     `place` names a column with the documents' order: pieces of one length are taken in it, and sequences are numbered by the first of their pieces in it."""
-    spark = df.sparkSession
     own = cut(pieces(df, capacity, tokenizer, place=place))
-    sizes = {r[0]: r[1] for r in own.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = spark.createDataFrame(plan(sizes, capacity), "length long, _rank long, _n long, _bin long, offset long")
-    small = (F.broadcast if len(sizes) and runs.count() <= BROADCAST_ROWS else lambda x: x)(runs.withColumnRenamed("length", "_length"))
+    runs = cut(rounds(own.groupBy("length").agg(F.count("*").alias("n")), capacity).select(F.col("length").alias("_length"), F.col("rank").alias("_rank"), F.col("n").alias("_n"), F.col("bin").alias("_bin"), "offset"))
+    small = (F.broadcast if runs.count() <= BROADCAST_ROWS else lambda x: x)(runs)
     at = ranked(own)
     out = at.join(small, (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_rank")) & (F.col("rank") < F.col("_rank") + F.col("_n")))
     out = out.withColumn("sequence_id", F.col("_bin") + F.col("rank") - F.col("_rank"))
@@ -186,7 +248,8 @@ def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, pl
 
 
 def op5_packing(spark, sf_dir):
-    """All documents in sequences of at most 2048 tokens. Repeated rows are packed each; an empty table gives no rows."""
+    """All documents in sequences of at most 2048 tokens. Null and empty texts have the end token alone; repeated rows and rows without a doc_id are packed each; ties of length go
+    by doc_id and piece; a very long text is cut into pieces of 2048 tokens; an empty table gives no rows. Columns other than doc_id and text are not read."""
     return pack(documents(spark, sf_dir))
 
 

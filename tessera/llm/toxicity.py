@@ -163,7 +163,7 @@ def fit(labelled: DataFrame, max_rows: int = 6000) -> Model:
     known = cut(labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
     docs, bad = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     chosen = bounded_sample(known.select("doc_id", "toxic"), "toxic", max_rows // 2).select("doc_id").distinct()
-    sample = known.join(chosen, "doc_id", "left_semi").select("text", "toxic")
+    sample = known.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most max_rows ids.select("text", "toxic")
     vocab, n, n_bad = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     if 0 < bad < docs:
         # of the words that many toxic documents have those that have it in many contexts too
@@ -237,7 +237,7 @@ def op7_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     held = remainder(F.col("doc_id"), 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    scored = score(docs, fit(docs.filter(~held).select("doc_id", "text").join(labels, "doc_id")))
+    scored = score(docs, fit(docs.filter(~held).select("doc_id", "text").join(labels.hint("merge"), "doc_id")))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.expr("try_element_at(offending, 1).start").alias("first_start"))
 
 

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import math
 import random
@@ -294,28 +295,53 @@ def test_packing(docs, corpus, empty):
     assert b"".join(x.ids for x in packing.pieces(docs.filter("doc_id = 93"), with_ids=True).orderBy("piece").collect()) == ids[93]
 
 
-def test_plan_is_best_fit():
-    import bisect
-
+def best_fit_decreasing(sizes, capacity=2048):
+    """Number of bins of best fit by hand, the longest first."""
+    gaps: list[int] = []
+    bins = 0
+    for x in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bins += at >= len(gaps) and gap == capacity
+        if gap > x:
+            bisect.insort(gaps, gap - x)
+    return bins
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "few", "small bins", "one"])
+def test_rounds_are_best_fit(spark, kind):
     r = random.Random(5)
-    sizes = [r.randint(1, 2048) for _ in range(3000)]
-    runs = packing.plan(dict(Counter(sizes)))
-    bins = defaultdict(list)
-    for length, _, n, start, offset in runs:
-        for i in range(n):
-            bins[start + i].append((offset, length))
+    capacity = 100 if kind == "small bins" else 2048
+    sizes = {
+        "even": lambda: [r.randint(1, 2048) for _ in range(3000)],
+        "skewed": lambda: [min(2048, int(r.lognormvariate(5.5, 1.3)) + 1) for _ in range(6000)],
+        "few": lambda: [1] * 5000 + [2048] * 3 + [700] * 10,
+        "small bins": lambda: [r.randint(1, 100) for _ in range(400)],
+        "one": lambda: [5],
+    }[kind]()
+    count = Counter(sizes)
+    runs = packing.rounds(spark.createDataFrame(list(count.items()), "length long, n long"), capacity).collect()
+    bins, ranks = defaultdict(list), defaultdict(list)
+    for x in runs:
+        for i in range(x.n):
+            bins[x.bin + i].append((x.offset, x.length))
+            ranks[x.length].append(x.rank + i)
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in count.items()}
     for own in bins.values():
         at = 0
         for offset, length in sorted(own):
             assert offset == at
             at += length
-        assert at <= 2048
-    gaps: list[int] = []
-    for s in sorted(sizes, reverse=True):
-        i = bisect.bisect_left(gaps, s)
-        left = gaps.pop(i) - s if i < len(gaps) else 2048 - s
-        bisect.insort(gaps, left)
-    assert len(bins) == len(gaps) and sum(len(x) for x in bins.values()) == len(sizes)
+        assert at <= capacity
+    assert len(bins) <= best_fit_decreasing(sizes, capacity) + 1 + len(sizes) // 2000
+
+
+def test_packing_keeps_rows_without_an_id(spark):
+    rows = [(None, "a b", "x"), (None, None, "y"), (7, "a b", "z"), (7, "a b", "z"), (7, "c", "z")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, offset string")).toPandas()
+    assert len(got) == 5 and got["sequence_id"].nunique() == 1 and got["doc_id"].isna().sum() == 2
+    own = got.sort_values("offset")
+    assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]
 
 
 # --- 6
