@@ -4,7 +4,8 @@ Only suffixes that can matter are sorted. Each window of `length` bytes has an a
 anchors at equal places. Anchors meet by hash; those that occur once drop out. Occurrences of an anchor with the same surroundings are repeats outright, all
 but the first; first occurrences of different surroundings are compared as suffixes: those to the right of the anchor and, reversed, those to the left
 are put in order by deep-shallow sorting, a multikey quicksort by words to a shallow depth and blind tries for what is left with a longer common prefix. Common prefixes
-of neighbours then tell, for each place of the anchor in a window, which windows are equal. An anchor with more than `group_limit` surroundings is compared
+of neighbours then tell, for each place of the anchor in a window, which windows are equal. Occurrences with the same surroundings, most copies, are told by
+two 64-bit hashes and don't reach the sort. An anchor with more than `group_limit` surroundings is compared
 window by window over the cluster instead.
 """
 
@@ -24,7 +25,8 @@ LENGTH = 100
 GRAM = 32
 GROUP_LIMIT = 50_000
 HELD = 400_000
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places in a step's bytes stand below the upper 24 bits of a gram's hash; a text has at most 2 GB.
+_PLACE = np.uint64((1 << 40) - 1)
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -143,20 +145,55 @@ class BlindTrie:
         return out
 
 
+def multikey(order: np.ndarray, starts: np.ndarray, keys: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of runs of equal keys) after multikey quicksort of each run order[starts[i]:starts[i + 1]] by the words keys[:, first:last].
+
+    All runs are partitioned at once, each into the rows whose word is below, equal to and above that of its middle row; the equal part goes on with the next word."""
+    n = len(order)
+    size = np.diff(np.append(starts, n))
+    depth = np.full(len(starts), first)
+    done = [starts[size < 2]]
+    starts, depth, size = starts[size > 1], depth[size > 1], size[size > 1]
+    while len(starts):
+        if first >= last:
+            done.append(starts)
+            break
+        rows = np.repeat(starts - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        run = np.repeat(np.arange(len(starts)), size)
+        own = order[rows]
+        word, pivot = keys[own, depth[run]], keys[order[starts + size // 2], depth]
+        below, above = word < pivot[run], word > pivot[run]
+        edge = np.append(0, np.cumsum(size)[:-1])
+        n_below, n_above = np.add.reduceat(below, edge, dtype=np.int64), np.add.reduceat(above, edge, dtype=np.int64)
+        part = np.where(below, 0, np.where(above, 2, 1))
+        to = np.empty(len(rows), np.int64)
+        for k, offset in ((0, np.zeros_like(size)), (1, n_below), (2, size - n_above)):
+            which = part == k
+            nth = np.cumsum(which)
+            nth -= np.append(0, nth)[edge][run]
+            to[which] = (starts[run] + offset[run] + nth - 1)[which]
+        order[to] = own
+        n_equal = size - n_below - n_above
+        starts = np.concatenate([starts, starts + n_below, starts + size - n_above])
+        depth, size = np.concatenate([depth, depth + 1, depth]), np.concatenate([n_below, n_equal, n_above])
+        over = (size == 1) | ((depth == last) & (size > 0))
+        done.append(starts[over])
+        on = (size > 1) & (depth < last)
+        starts, depth, size = starts[on], depth[on], size[on]
+    return order, np.sort(np.concatenate(done))
+
+
 def deep_shallow(group: np.ndarray, strings: np.ndarray, skip: int = 0, words: int = 2) -> np.ndarray:
-    """Order of the rows of `strings` within their groups. Rows of a group agree in the first `skip` words of 8 bytes; `words` more are sorted as keys, the rest by blind tries."""
+    """Order of the rows of `strings` within their groups. Rows of a group agree in the first `skip` words of 8 bytes; `words` more are sorted by multikey quicksort, the rest by blind tries."""
     n, width = strings.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = strings
     keys = padded.view(">u8").astype(np.uint64)
-    used = [keys[:, k] for k in range(skip, min(skip + words, keys.shape[1]))]
-    order = np.lexsort((*used[::-1], group))
-    same = np.ones(max(n - 1, 0), bool)
-    for x in (group, *used):
-        same &= x[order][1:] == x[order][:-1]
+    order = np.argsort(group, kind="stable")  # groups come together already
+    starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])) if n else np.zeros(0, np.int64)
+    order, edges = multikey(order, starts, keys, skip, min(skip + words, keys.shape[1]))
     depth = min(8 * (skip + words), width)
-    edges = np.flatnonzero(np.append(np.append(True, ~same), True))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
+    for a, b in zip(edges, np.append(edges[1:], n), strict=True):
         if b - a > 1 and depth < width:
             places: dict[bytes, list[int]] = {}
             for i in order[a:b].tolist():
@@ -311,7 +348,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, with_bytes: bool = False) ->
 def op10_substrings(spark, sf_dir):
     """Every document without the bytes of passages that stand earlier.
 
-    Null and empty texts lose nothing; rows with the same doc_id are the same document; rows without a doc_id are left alone.
+    Null and empty texts lose nothing; rows with the same doc_id are the same document and are to have the same text; rows without a doc_id are left alone; of passages that tie
+    the one in the smallest doc_id, and there the first, stays. A very long text is handled whole. An empty table gives no rows; other columns are not read.
     """
     docs = documents(spark, sf_dir)
     return remove_spans(docs, cut(repeated_spans(docs)))

@@ -579,6 +579,24 @@ def test_pipeline(spark, tmp_path, docs, corpus):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+@pytest.mark.parametrize("values", [2, 5, 1 << 60])
+def test_multikey_quicksort_orders_words(values):
+    r = np.random.default_rng(values % 97)
+    keys = r.integers(0, values, (500, 4)).astype(np.uint64)
+    group = np.sort(r.integers(0, 40, 500))
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    order, edges = substrings.multikey(np.arange(500), starts, keys, 1, 3)
+    want = sorted(range(500), key=lambda i: (group[i], keys[i, 1], keys[i, 2]))
+    own = lambda i: (int(group[i]), int(keys[i, 1]), int(keys[i, 2]))
+    assert [own(i) for i in order] == [own(i) for i in want] and sorted(order) == list(range(500))
+    assert edges.tolist() == [k for k in range(500) if k == 0 or own(want[k]) != own(want[k - 1])]
+    strings = r.integers(0, 3, (300, 40)).astype(np.uint8)
+    strings[:150, :20] = 1
+    group = np.sort(r.integers(0, 5, 300))
+    order = substrings.deep_shallow(group, strings)
+    assert [(group[i], strings[i].tobytes()) for i in order] == sorted((group[i], strings[i].tobytes()) for i in range(300))
+
+
 def test_mixture_reaches_the_sequences(spark, tmp_path, monkeypatch):
     r = random.Random(5)
     rows = [(i, prose(r, r.randint(50, 300)), "en", "a" if i % 4 else "b", 0) for i in range(200)]
