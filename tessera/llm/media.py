@@ -1,7 +1,8 @@
 """Motion-JPEG in AVI: texts or bytes to a media column and back, with shot detection.
 
 A payload byte is one quantised DCT coefficient of size category 8, whose eight amplitude bits are the byte itself, so a
-baseline JPEG keeps it without loss. The Huffman tables hold 8-bit codes only; every block is a restart interval.
+baseline JPEG keeps it without loss. The Huffman tables hold 8-bit codes only; every block is a restart interval. Frames of that profile are read as arrays;
+those of other files are decoded by their own tables, for their luminance.
 """
 
 from __future__ import annotations
@@ -57,7 +58,6 @@ HEADER = b"".join([
     _marker(0xDD, struct.pack(">H", 1)),
     _marker(0xDA, bytes([1, 1, 0x00, 0, 63, 0])),
 ])
-HEADER += b"" if len(HEADER) % 2 == 0 else b""
 STRIDE = 2 * BLOCK + 2
 FRAME_BYTES = len(HEADER) + PER_FRAME * STRIDE
 PAD_BLOCK = b"\x01\x01"
@@ -194,6 +194,131 @@ def decode_avi(media: bytes) -> tuple[bytes, int, int]:
     return b"".join(out), n, step
 
 
+class _Bits:
+    """Bits of a run of entropy-coded bytes, stuffing already taken out; ones follow the end."""
+
+    def __init__(self, data: bytes):
+        self.value, self.left = int.from_bytes(data + b"\xff" * 8, "big"), 8 * len(data) + 64
+
+    def take(self, n: int) -> int:
+        self.left -= n
+        if self.left < 0:
+            raise ValueError("the scan ends early")
+        return (self.value >> self.left) & ((1 << n) - 1)
+
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (n, code) in table:
+                return table[n, code]
+        raise ValueError("no such code")
+
+    def amount(self, n: int) -> int:
+        """The signed number of size category n."""
+        x = self.take(n)
+        return x if not n or x >> (n - 1) else x - (1 << n) + 1
+
+
+def _huffman(body: bytes) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
+    """(class and place, {(bits, code): symbol}) of the tables in a DHT segment."""
+    while body:
+        kind, counts, body = body[0], body[1:17], body[17:]
+        table, code, at = {}, 0, 0
+        for bits, n in enumerate(counts, 1):
+            for _ in range(n):
+                table[bits, code] = body[at]
+                code, at = code + 1, at + 1
+            code <<= 1
+        body = body[at:]
+        yield kind, table
+
+
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """Luminance (height, width) of a baseline JPEG frame, by the tables that it carries: DQT, SOF0 or SOF1, DHT, DRI and one interleaved scan. Raises ValueError for another coding."""
+    quant, codes, parts, restart, at = {}, {}, [], 0, 2
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    while True:
+        if at + 4 > len(data) or data[at] != 0xFF:
+            raise ValueError("a marker is missing")
+        kind, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        body, at = data[at + 4 : at + 2 + n], at + 2 + n
+        if kind == 0xDB:
+            while body:
+                size = 128 if body[0] >> 4 else 64
+                quant[body[0] & 15] = np.frombuffer(body, ">u2" if size == 128 else np.uint8, 64, 1).astype(np.float64)
+                body = body[1 + size :]
+        elif kind in (0xC0, 0xC1):
+            bits, height, width, n_parts = struct.unpack_from(">BHHB", body)
+            if bits != 8 or not height or not width:
+                raise ValueError("not 8 bits a sample")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n_parts)]
+        elif 0xC2 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("not a baseline frame")
+        elif kind == 0xC4:
+            codes.update(_huffman(body))
+        elif kind == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif kind == 0xDA:
+            picks = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+            break
+    if not parts or set(picks) != {p[0] for p in parts}:
+        raise ValueError("not one interleaved scan")
+    end = data.rfind(b"\xff\xd9")
+    runs = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", data[at : end if end > at else len(data)])]
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:  # a scan of one component has a block at a time, whatever its factors
+        parts, across, down = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
+    wide, high = -(-width // (8 * across)), -(-height // (8 * down))
+    first_h, first_v = parts[0][1], parts[0][2]
+    blocks = np.zeros((high * first_v, wide * first_h, 64))
+    bits, before = None, {}
+    for unit in range(wide * high):
+        if restart and unit % restart == 0 or bits is None:
+            k = unit // restart if restart else 0
+            if k >= len(runs):
+                raise ValueError("a restart interval is missing")
+            bits, before = _Bits(runs[k]), dict.fromkeys(picks, 0)
+        for part, h, v, _ in parts:
+            dc, ac = codes[picks[part] >> 4], codes[16 | picks[part] & 15]
+            for k in range(h * v):
+                own = np.zeros(64)
+                before[part] += bits.amount(bits.symbol(dc))
+                own[0], place = before[part], 1
+                while place < 64:
+                    symbol = bits.symbol(ac)
+                    if symbol & 15 == 0:
+                        if symbol != 0xF0:
+                            break
+                        place += 16
+                        continue
+                    place += symbol >> 4
+                    if place > 63:
+                        raise ValueError("too many coefficients")
+                    own[place] = bits.amount(symbol & 15)
+                    place += 1
+                if part == parts[0][0]:
+                    blocks[unit // wide * v + k // h, unit % wide * h + k % h] = own
+    pixels = np.clip(np.floor(blocks * quant[parts[0][3]] @ _basis().astype(np.float64) / SCALE + 128.5), 0, 255)
+    rows, cols = blocks.shape[:2]
+    image = pixels.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+    # a component that is sampled less than others is as wide as its share
+    return image[: -(-height * first_v // down), : -(-width * first_h // across)].astype(np.uint8)
+
+
+def luminance_histograms(media: bytes) -> tuple[np.ndarray, int]:
+    """(counts of luminance by frame, microseconds a frame) of any AVI file of baseline JPEG frames, read through its index. A frame of no bytes repeats the one before it."""
+    frames, step = _index(media)
+    out: list[np.ndarray] = []
+    for a, n in frames.tolist():
+        if n or not out:
+            out.append(np.bincount((decode_jpeg(media[a : a + n]).astype(np.int64) * BINS // 256).ravel(), minlength=BINS))
+        else:
+            out.append(out[-1])
+    return np.array(out).reshape(-1, BINS), step
+
+
 def histograms(payload: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Counts of luminance by frame: coefficients, inverse DCT, level shift, clamp. The whole-number basis keeps float32 exact."""
     blocks = payload.reshape(-1, BLOCK)
@@ -235,9 +360,16 @@ def to_avi(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFram
     return own.mapInArrow(write, f"{key} long, n_bytes long, media binary")
 
 
+#: What reading a damaged file raises.
+DAMAGED = (ValueError, IndexError, KeyError, struct.error)
+
+
 def read_avi(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of (key, n_bytes, media): what the files hold and the clips found in them, as
-    (key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips array<struct<start_s, end_s>>)."""
+    (key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips array<struct<start_s, end_s>>).
+
+    A file of another encoder has frames and clips, but no payload. A null or damaged one has no frames and no clips (frames 0), a null one no size and digest either.
+    Frames without tables of their own and progressive ones count as damaged."""
     schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips array<struct<start_s: double, end_s: double>>"
     clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), clip]
@@ -249,17 +381,35 @@ def read_avi(df: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = []
             for key_, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 media = media.as_py()
-                payload, frames, step = decode_avi(media)
-                starts = shots(histograms(np.frombuffer(payload, np.uint8), basis))
-                times = [round(x * step / 1e6, 6) for x in [*starts, frames]]
+                payload, counts, step = _contents(media, basis)
+                frames = len(counts)
+                times = [round(x * step / 1e6, 6) for x in [*shots(counts), frames]] if frames else []
                 clips = [{"start_s": a, "end_s": b} for a, b in zip(times, times[1:], strict=False)]
-                rows.append((key_, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), frames, clips))
+                held = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) if payload else (None, None, None)
+                whole = (len(media), hashlib.sha256(media).hexdigest()) if media is not None else (None, None)
+                rows.append((key_, n, *held, *whole, frames, clips))
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return df.mapInArrow(read, schema)
 
 
+def _contents(media: bytes | None, basis: np.ndarray) -> tuple[bytes, np.ndarray, int]:
+    """(payload, histograms by frame, microseconds a frame)."""
+    none = np.zeros((0, BINS), np.int64)
+    if media is None:
+        return b"", none, 0
+    try:
+        payload, _, step = decode_avi(media)
+        return payload, histograms(np.frombuffer(payload, np.uint8), basis), step
+    except DAMAGED:
+        pass  # not of the profile written here
+    try:
+        return b"", *luminance_histograms(media)
+    except DAMAGED:
+        return b"", none, 0
+
+
 def clip_rows(read: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each clip: (key, clip, start_s, end_s)."""
     return read.select(key, F.posexplode("clips").alias("clip", "at")).select(key, "clip", "at.start_s", "at.end_s")
@@ -268,7 +418,8 @@ def clip_rows(read: DataFrame, key: str = "doc_id") -> DataFrame:
 def op8_media(spark, sf_dir):
     """Every text of documents through an AVI file and back.
 
-    Null and empty texts give one block of zeros; equal texts give equal values; repeated rows stay.
+    Null and empty texts give one block of zeros; equal texts give equal values; repeated rows and rows without a doc_id stay; a very long text is one file. An empty table gives
+    no rows; columns other than doc_id and text are not read. Cuts that tie in their difference are each a cut.
     """
     feature = F.concat(
         F.lit("frames="), F.col("frames"), F.lit(";clips="),

@@ -476,6 +476,104 @@ def test_media_query(spark, tmp_path, docs, corpus):
     assert clips[0].start_s == 0 and all(a.end_s == b.start_s for a, b in zip(clips, clips[1:], strict=False))
 
 
+def jpeg(luma, chroma, quant, restart=0):
+    """A baseline 4:2:0 JPEG by hand: codes of unequal lengths, a table of quantisers, restart intervals. Blocks are coefficients in zigzag order, luma (rows, cols, 64)."""
+    symbols = {0: [*range(12)], 1: sorted({r << 4 | s for r in range(16) for s in range(1, 9)} | {0, 0xF0})}
+    table, code = {}, {}
+    for kind, own in symbols.items():
+        counts = [0] * 16
+        lengths = [3 if k < 2 else 5 if k < 6 else 11 for k in range(len(own))]
+        for n in lengths:
+            counts[n - 1] += 1
+        table[kind] = bytes(counts) + bytes(own)
+        value = last = 0
+        for x, n in zip(own, lengths):
+            value <<= n - last
+            code[kind, x], last, value = (value, n), n, value + 1
+    out, runs = [], []
+
+    def put(x, n):
+        out.extend((x >> (n - 1 - i)) & 1 for i in range(n))
+
+    def amount(x):
+        n = int(abs(x)).bit_length()
+        return n, x if x >= 0 else x + (1 << n) - 1
+
+    def block(own, before):
+        n, x = amount(int(own[0]) - before)
+        put(*code[0, n])
+        put(x, n)
+        zeros = 0
+        for c in own[1:]:
+            if c == 0:
+                zeros += 1
+                continue
+            while zeros > 15:
+                put(*code[1, 0xF0])
+                zeros -= 16
+            n, x = amount(int(c))
+            put(*code[1, zeros << 4 | n])
+            put(x, n)
+            zeros = 0
+        if zeros:
+            put(*code[1, 0])
+        return int(own[0])
+
+    def close():
+        out.extend([1] * (-len(out) % 8))
+        runs.append(bytes(int("".join(map(str, out[i : i + 8])), 2) for i in range(0, len(out), 8)).replace(b"\xff", b"\xff\x00"))
+        out.clear()
+
+    rows, cols = luma.shape[0] // 2, luma.shape[1] // 2
+    before = [0, 0, 0]
+    for unit in range(rows * cols):
+        y, x = divmod(unit, cols)
+        for k in range(4):
+            before[0] = block(luma[2 * y + k // 2, 2 * x + k % 2], before[0])
+        for c in (1, 2):
+            before[c] = block(chroma[y, x], before[c])
+        if restart and (unit + 1) % restart == 0 and unit + 1 < rows * cols:
+            close()
+            before = [0, 0, 0]
+    close()
+    mark = lambda k, b: bytes([0xFF, k]) + (len(b) + 2).to_bytes(2, "big") + b
+    scan = runs[0] + b"".join(bytes([0xFF, 0xD0 + i % 8]) + x for i, x in enumerate(runs[1:]))
+    size = (16 * rows - 3).to_bytes(2, "big") + (16 * cols - 5).to_bytes(2, "big")
+    return b"".join([b"\xff\xd8", mark(0xDB, b"\0" + bytes(quant.tolist())), mark(0xC0, b"\x08" + size + b"\x03\x01\x22\0\x02\x11\0\x03\x11\0"), mark(0xC4, b"\0" + table[0] + b"\x10" + table[1]), *[mark(0xDD, restart.to_bytes(2, "big"))] * bool(restart), mark(0xDA, b"\x03\x01\0\x02\0\x03\0\0\x3f\0"), scan, b"\xff\xd9"])
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_decodes_frames_of_other_encoders(spark, restart):
+    r = np.random.default_rng(4)
+    quant = r.integers(1, 9, 64)
+    luma, chroma = np.zeros((4, 6, 64), int), np.zeros((2, 3, 64), int)
+    for own in (luma, chroma):
+        own[..., 0] = r.integers(-60, 60, own.shape[:2])
+        own[..., [1, 2, 5, 20, 60]] = r.integers(-9, 9, (*own.shape[:2], 5))
+    frame = jpeg(luma, chroma, quant, restart)
+    got = media.decode_jpeg(frame)
+    # the inverse transform, written out
+    u = np.arange(8)
+    basis = np.cos((2 * u[:, None] + 1) * u[None, :] * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)
+    order = sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8))
+    want = np.zeros((32, 48))
+    for y in range(4):
+        for x in range(6):
+            square = np.zeros(64)
+            square[order] = luma[y, x] * quant
+            want[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = basis @ square.reshape(8, 8) @ basis.T + 128
+    assert got.shape == (29, 43) and np.abs(got - np.clip(want, 0, 255)[:29, :43]).max() <= 1
+    dark = jpeg(luma * 0 - 1, chroma, quant, restart)
+    chunk = lambda f: b"00dc" + len(f).to_bytes(4, "little") + f + b"\0" * (len(f) % 2)
+    avi = media._avi([chunk(x) for x in [frame] * 5 + [dark] * 5])
+    rows = [(1, 0, bytearray(avi)), (2, 0, None), (3, 0, bytearray(b"RIFF")), (4, 0, bytearray(avi[:400])), (5, 0, bytearray(b""))]
+    found = {x.doc_id: x for x in media.read_avi(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert found[1].frames == 10 and [(c.start_s, c.end_s) for c in found[1].clips] == [(0.0, 0.2), (0.2, 0.4)] and found[1].payload_bytes is None
+    assert all(found[k].frames == 0 and found[k].clips == [] for k in (2, 3, 4, 5)) and found[2].media_bytes is None and found[3].media_bytes == 4
+    with pytest.raises(ValueError):
+        media.decode_jpeg(frame.replace(b"\xff\xc0", b"\xff\xc2"))
+
+
 # --- 9
 
 
