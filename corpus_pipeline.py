@@ -25,11 +25,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies, by 5-word shingles at a similarity of 0.8; repeated rows once, rows without a doc_id all."""
+    """The document of smallest doc_id of each group of near copies, by 5-word shingles at a similarity of 0.8; rows without a doc_id all. Of rows that repeat a doc_id
+    the shortest stays, of equally short ones the first by text."""
     copies = neardup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars"))
-    out = docs.join(copies, "doc_id", "left_anti").withColumn("_row", row)
-    return out.filter("_row = 1 OR doc_id IS NULL").select(*docs.columns)
+    named = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars", "text"))
+    return named.withColumn("_row", row).filter("_row = 1").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
