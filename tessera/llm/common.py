@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """A written table of the rows sorted by `order` over the whole cluster, nulls first: _part is the number of a row's part, _at its place there and _id both."""
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return cut(own.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}))
+
+
 def bounded_sample(rows: DataFrame, by: str, n: int, key: str = "doc_id") -> DataFrame:
     """Of each value of `by` the n rows with the smallest hash of `key`. Only a share of a large value's rows, about 2 n, is sorted."""
     sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))

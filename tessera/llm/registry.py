@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, linededup, lm, media, mixing, neardup, packing, quality, substrings, toxicity
+from . import langid, linededup, lm, media, mixing, neardup, packing, quality, repair, substrings, toxicity
 
-MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup, substrings)
+MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup, substrings, repair)
 
 
 def queries():
