@@ -21,8 +21,8 @@ from .common import cut
 
 #: Recall that the number of probes is fitted to, on SAMPLE of the queries, each against all rows.
 TARGET, SAMPLE = 0.96, 128
-#: Mean rows of a bucket that the number of functions aims at, and bits that a function tells at this width (in distances to the k-th neighbour).
-BUCKET, BITS, WIDTH = 256, 1.46, 1.4
+#: Mean rows of a bucket that the number of functions aims at (a probe costs about as much as a few hundred products), and bits that a function tells at this width (in distances to the k-th neighbour).
+BUCKET, BITS, WIDTH = 1024, 1.46, 1.4
 TABLES, MOST_PROBES = (4, 8), 256
 #: Rows of one side of a block.
 BLOCK = 1024
