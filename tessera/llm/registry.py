@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, linededup, lm, media, mixing, neardup, neighbours, packing, quality, repair, substrings, toxicity
+from . import langid, linededup, lm, media, mixing, neardup, neighbours, packing, quality, repair, substrings, toxicity, trie
 
-MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup, substrings, repair, neighbours)
+MODULES = (lm, langid, quality, neardup, packing, mixing, toxicity, media, linededup, substrings, repair, neighbours, trie)
 
 
 def queries():
