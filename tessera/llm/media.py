@@ -142,21 +142,27 @@ def _boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, in
 
 def _index(media: bytes) -> tuple[np.ndarray, int]:
     """(start and size of each frame, from idx1; microseconds a frame)."""
-    data, step, movi, found = memoryview(media), 1_000_000 // FPS, None, None
+    data, step, movi, found, streams = memoryview(media), 1_000_000 // FPS, None, None, []
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     for kind, a, b in _boxes(data, 12, len(media)):
         if kind == b"LIST" and media[a : a + 4] == b"hdrl":
-            for k, x, _ in _boxes(data, a + 4, b):
+            for k, x, z in _boxes(data, a + 4, b):
                 if k == b"avih":
                     step = struct.unpack_from("<I", data, x)[0]
+                elif k == b"LIST" and media[x : x + 4] == b"strl":
+                    streams += [media[y : y + 4] for c, y, _ in _boxes(data, x + 4, z) if c == b"strh"]
         elif kind == b"LIST" and media[a : a + 4] == b"movi":
             movi = a
         elif kind == b"idx1":
             found = np.frombuffer(media, "<u4", (b - a) // 4, a).reshape(-1, 4)
     if movi is None or found is None:
         raise ValueError("no movi list or no index")
-    return np.stack([found[:, 2].astype(np.int64) + movi + 8, found[:, 3].astype(np.int64)], 1), step
+    number = b"%02d" % (streams.index(b"vids") if b"vids" in streams else 0)
+    found = found[np.isin(found[:, 0], [int.from_bytes(number + kind, "little") for kind in (b"dc", b"db")])]
+    # places count from the movi list, in some files from the start
+    start = 0 if len(found) and media[found[0, 2] : found[0, 2] + 4] == found[0, :1].tobytes() else movi
+    return np.stack([found[:, 2].astype(np.int64) + start + 8, found[:, 3].astype(np.int64)], 1), step
 
 
 def _frame_payload(frame: bytes) -> bytes:
@@ -198,13 +204,14 @@ class _Bits:
     """Bits of a run of entropy-coded bytes, stuffing already taken out; ones follow the end."""
 
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data + b"\xff" * 8, "big"), 8 * len(data) + 64
+        self.data, self.at, self.end = data + b"\xff" * 12, 0, 8 * len(data) + 64
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        byte, bit = divmod(self.at, 8)
+        self.at += n
+        if self.at > self.end:
             raise ValueError("the scan ends early")
-        return (self.value >> self.left) & ((1 << n) - 1)
+        return (int.from_bytes(self.data[byte : byte + 4], "big") >> (32 - bit - n)) & ((1 << n) - 1)
 
     def symbol(self, table: dict[tuple[int, int], int]) -> int:
         code = 0
@@ -234,9 +241,28 @@ def _huffman(body: bytes) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
         yield kind, table
 
 
+def standard_tables() -> dict[int, dict[tuple[int, int], int]]:
+    """The Huffman tables of the JPEG standard's examples, which motion-JPEG frames leave out."""
+    # fixed values: numbers of codes by length, and the symbols that come out of order
+    lengths = {
+        0x00: "00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", 0x01: "00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00",
+        0x10: "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d", 0x11: "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+    }
+    first = {
+        0x10: "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+        0x11: "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+    }
+    out: dict[int, dict[tuple[int, int], int]] = {}
+    for kind, counts in lengths.items():
+        every = range(12) if kind < 0x10 else [0x00, 0xF0, *(16 * run + size for run in range(16) for size in range(1, 11))]
+        head = list(bytes.fromhex(first.get(kind, "")))
+        out.update(_huffman(bytes([kind]) + bytes.fromhex(counts) + bytes(head + sorted(set(every) - set(head)))))
+    return out
+
+
 def decode_jpeg(data: bytes) -> np.ndarray:
-    """Luminance (height, width) of a baseline JPEG frame, by the tables that it carries: DQT, SOF0 or SOF1, DHT, DRI and one interleaved scan. Raises ValueError for another coding."""
-    quant, codes, parts, restart, at = {}, {}, [], 0, 2
+    """Luminance (height, width) of a baseline JPEG frame: DQT, SOF0 or SOF1, DHT (else the standard's tables), DRI and one interleaved scan. Raises ValueError for another coding."""
+    quant, codes, parts, restart, at = {}, standard_tables(), [], 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     while True:

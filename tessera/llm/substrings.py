@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, documents, mixed, prefix_sums, span_hashes, text_steps
+from .common import buffers, cut, documents, in_order, mixed, prefix_sums, span_hashes, text_steps
 from .neardup import _edges, _groups
 
 LENGTH = 100
@@ -345,14 +345,27 @@ def remove_spans(docs: DataFrame, spans: DataFrame, with_bytes: bool = False) ->
     return own.select("doc_id", "text", "own").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
+def without_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
+    """remove_spans of the repeated spans for rows (doc_id, text). Where a doc_id stands with several texts, each text is a document of its own, in the order of
+    doc_id and a hash of the text; all documents are then told by their place in that order."""
+    mark = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("mark")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keys = cut(own.filter("doc_id IS NOT NULL").select("doc_id", mark).distinct())
+    if keys.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return remove_spans(own, cut(repeated_spans(own)), with_bytes)
+    keys = in_order(keys, "doc_id", "mark").select("doc_id", "mark", F.col("_id").alias("place"))
+    placed = cut(own.withColumn("mark", mark).join(keys, ["doc_id", "mark"], "left").select(F.col("place").alias("doc_id"), "text"))
+    out = remove_spans(placed, cut(repeated_spans(placed)), with_bytes)
+    return out.withColumnRenamed("doc_id", "place").join(keys.drop("mark"), "place", "left").select("doc_id", *out.columns[1:])
+
+
 def op10_substrings(spark, sf_dir):
     """Every document without the bytes of passages that stand earlier.
 
-    Null and empty texts lose nothing; rows with the same doc_id are the same document and are to have the same text; rows without a doc_id are left alone; of passages that tie
+    Null and empty texts lose nothing; rows with the same doc_id and text are the same document, with another text another one; rows without a doc_id are left alone; of passages that tie
     the one in the smallest doc_id, and there the first, stays. A very long text is handled whole. An empty table gives no rows; other columns are not read.
     """
-    docs = documents(spark, sf_dir)
-    return remove_spans(docs, cut(repeated_spans(docs)))
+    return without_repeats(documents(spark, sf_dir))
 
 
 QUERIES = {"op10_substrings": op10_substrings}

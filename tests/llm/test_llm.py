@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -271,6 +272,14 @@ def test_linked_spans_classes():
 # --- 5
 
 
+def test_encoder_of_texts_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    encode, plain = packing.Encoder(packing.TOKENIZER), Tokenizer.from_file(packing.TOKENIZER)
+    for text in ["abc <|endoftext|> def", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|", "a  b <|endoftext|><|endoftext|>"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_equals_tokenizer():
     e = packing.Encoder(packing.TOKENIZER)
     texts = ["a  b", " a", "a ", "a\n b", "it's  don't I'll", "<|endoftext|> x", "1 2 33\t4", "\n\n", " ", "", "é ß 漢字 emoji 😀 x", "x y z", "a  b", "The quick, brown fox. 12,5% of it's"]
@@ -574,6 +583,32 @@ def test_decodes_frames_of_other_encoders(spark, restart):
         media.decode_jpeg(frame.replace(b"\xff\xc0", b"\xff\xc2"))
 
 
+def test_audio_entries_absolute_places_and_frames_without_tables():
+    payload = bytes(range(256)) * 3
+    avi = media.encode_avi(payload)
+    want = media.decode_avi(avi)
+    at = avi.index(b"idx1")
+    n = int.from_bytes(avi[at + 4 : at + 8], "little")
+    sound = b"01wb" + (0).to_bytes(4, "little") + (4).to_bytes(4, "little") + (0).to_bytes(4, "little")
+    assert media.decode_avi(avi[: at + 4] + (n + 16).to_bytes(4, "little") + sound + avi[at + 8 :]) == want
+    index, movi = bytearray(avi), avi.index(b"movi")
+    for k in range(at + 8, at + 8 + n, 16):
+        index[k + 8 : k + 12] = (int.from_bytes(avi[k + 8 : k + 12], "little") + movi).to_bytes(4, "little")
+    assert media.decode_avi(bytes(index)) == want
+    tables = media.standard_tables()
+    code = lambda kind, symbol: next(f"{c:0{n}b}" for (n, c), s in tables[kind].items() if s == symbol)
+    assert [len(tables[k]) for k in (0, 1, 16, 17)] == [12, 12, 162, 162]
+    # code words that the standard prints
+    assert (code(16, 0x00), code(16, 0xF0), code(16, 0x01), code(16, 0xFA)) == ("1010", "11111111001", "00", "1111111111111110")
+    assert (code(17, 0x00), code(17, 0xF0), code(17, 0x11), code(0, 0), code(0, 11), code(1, 11)) == ("00", "1111111010", "1011", "00", "111111110", "11111111110")
+
+
+def test_bits_of_a_long_scan_in_linear_time():
+    bits = media._Bits(bytes(range(251)) * 4000)
+    start = time.time()
+    assert sum(bits.take(7) for _ in range(1_000_000)) > 0 and time.time() - start < 20
+
+
 # --- 9
 
 
@@ -599,6 +634,21 @@ def test_linededup_by_shuffle(spark, docs, empty, monkeypatch):
 # --- 10
 
 
+def test_a_doc_id_with_two_texts(spark):
+    r = random.Random(8)
+    passage = prose(r, 40)
+    rows = [(1, "a " + passage), (2, "b " * 400 + passage), (2, passage + " c"), (2, passage + " c"), (3, "d"), (None, passage), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for x in substrings.without_repeats(df, with_bytes=True).collect():
+        got.setdefault(x.doc_id, []).append((x.n_bytes, x.n_removed, bytes(x.kept)))
+    assert sum(map(len, got.values())) == len(rows)
+    assert got[1] == [(len(rows[0][1]), 0, rows[0][1].encode())] and got[None] == [(len(passage), 0, passage.encode())] and got[4] == [(0, 0, b"")]
+    long, short = sorted(got[2], reverse=True)[0], sorted(got[2])[:2]
+    assert short == [(len(passage) + 2, len(passage), b" c")] * 2 or short[0][1] >= len(passage)
+    assert long[1] >= len(passage)
+
+
 def spans_by_hand(rows, size=100):
     seen, out = set(), {}
     for d, t in sorted(dict(rows).items()):
