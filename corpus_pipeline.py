@@ -13,29 +13,44 @@ from tessera.llm import langid, linededup, mixing, neardup, packing
 from tessera.llm.common import cut
 
 
+#: What the operators read; other columns of the documents travel in one struct, so that no name of theirs can meet one that an operator adds.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def held(docs: DataFrame) -> DataFrame:
+    rest = [c for c in docs.columns if c not in READ]
+    return docs.select(*(c for c in docs.columns if c in READ), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")] if rest else []))
+
+
+def given(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, from what a stage made of held(docs)."""
+    return out.select(*(c if c in READ else F.col("_rest").getField(c).alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; null texts and texts without a letter go."""
-    return langid.known_language(docs, langid.fit(docs))
+    return given(langid.known_language(held(docs), langid.fit(docs)), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source."""
-    out = linededup.drop_boilerplate(docs, "source", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = linededup.drop_boilerplate(held(docs), "source", "text").withColumn("n_chars", F.length("text").cast("long"))
+    return given(out, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near copies, by 5-word shingles at a similarity of 0.8; rows without a doc_id all. Of rows that repeat a doc_id
     the shortest stays, of equally short ones the first by text."""
-    copies = neardup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    copies = neardup.near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
+    own = held(docs)
+    named = own.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars", "text"))
-    return named.withColumn("_row", row).filter("_row = 1").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return given(named.withColumn("_row", row).filter("_row = 1").drop("_row").unionByName(own.filter("doc_id IS NULL")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture of sources."""
-    return mixing.mix(docs).orderBy("position").select(*docs.columns)
+    return given(mixing.mix(held(docs)).orderBy("position"), docs)
 
 
 def in_written_order(docs: DataFrame) -> DataFrame:
