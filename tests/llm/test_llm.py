@@ -768,3 +768,18 @@ def test_pipeline_on_empty_table(spark, tmp_path, empty):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
+
+
+def test_pipeline_keeps_columns_with_the_operators_names(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, prose(r, 30), r.choice(["en", "de"]), "s", 200) for i in range(40)] + [(None, prose(r, 9), "en", "s", 60), (3, "other text of document three.", "en", None, 29)]
+    own = {"n_lines": 77, "n_removed": 5, "position": "p", "block": 9, "release": "r", "deadline": 1, "_row": 8, "_lines": "l", "_site": "q", "_rest": "x", "_marks": 2, "kept": 3, "score": 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in own.items()})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.select(*own).distinct().collect() == [tuple(own.values())], name
+        docs = common.cut(out)
+    assert docs.count() == len(rows) - 1 and corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
