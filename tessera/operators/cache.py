@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import merge
 from .rerank import jaccard
-from .vectors import top_k
+from .vectors import top_k, within
 
 EMBEDDING_TTL, EMBEDDING_CAPACITY = 86400, 50_000
 RESPONSE_TTL, RESPONSE_CAPACITY, THRESHOLD, PAIR_THRESHOLD = 3600, 10_000, 0.92, 0.7
@@ -77,16 +77,16 @@ def exact_hits(queries: DataFrame, cache: DataFrame, text: str = "text") -> Data
     return own.join(cache.filter(F.trim("response") != "").select("query_hash", "response"), "query_hash")
 
 
-def nearest(queries: DataFrame, cache: DataFrame) -> DataFrame:
-    """(query_id, query_hash, similarity): the cached query nearest to each by cosine."""
-    found = top_k(queries.select("query_id", "embedding"), cache.filter(F.trim("response") != "").select(F.col("query_hash").alias("id"), "embedding"), 1)
+def nearest(queries: DataFrame, cache: DataFrame, least: float | None = None) -> DataFrame:
+    """(query_id, query_hash, similarity): the cached query nearest to each by cosine; with `least` only where it reaches that, by a threshold join of both tables."""
+    asked, held = queries.select("query_id", "embedding"), cache.filter(F.trim("response") != "").select(F.col("query_hash").alias("id"), "embedding")
+    found = top_k(asked, held, 1) if least is None else within(asked, held, least)
     return found.select("query_id", F.col("id").alias("query_hash"), F.col("score").alias("similarity"))
 
 
 def semantic_hits(queries: DataFrame, cache: DataFrame, exact: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of the queries without an exact hit those whose nearest cached query reaches the threshold."""
-    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    return nearest(rest, cache).filter(F.round("similarity", 9) >= threshold)
+    return nearest(queries.join(exact.select("query_id"), "query_id", "left_anti"), cache, threshold)
 
 
 def validated(hits: DataFrame, queries: DataFrame, cache: DataFrame, scorer=jaccard, threshold: float = PAIR_THRESHOLD, text: str = "text") -> DataFrame:
@@ -118,8 +118,9 @@ def response_stats(responses: DataFrame, cache: DataFrame) -> DataFrame:
     return out.crossJoin(cache.agg(F.count("*").alias("size")))
 
 
-def threshold_sweep(best: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Hit rate of the nearest similarities for each threshold, clamped to 0.8..0.99."""
+def threshold_sweep(queries: DataFrame, cache: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Share of the queries whose nearest cached query reaches each threshold, clamped to 0.8..0.99."""
     own = thresholds.select(F.greatest(F.lit(0.8), F.least(F.lit(0.99), F.col("threshold"))).alias("threshold")).distinct()
-    pairs = best.crossJoin(F.broadcast(own))
-    return pairs.groupBy("threshold").agg(F.count_if(F.round("similarity", 9) >= F.col("threshold")).alias("hits"), F.count("*").alias("lookups")).withColumn("hit_rate", F.col("hits") / F.col("lookups"))
+    hits = nearest(queries, cache, 0.8).join(F.broadcast(own), F.round("similarity", 9) >= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("hits"))
+    out = own.join(hits, "threshold", "left").crossJoin(queries.agg(F.count("*").alias("lookups")))
+    return out.select("threshold", F.coalesce("hits", F.lit(0)).alias("hits"), "lookups", (F.coalesce("hits", F.lit(0)) / F.col("lookups")).alias("hit_rate"))

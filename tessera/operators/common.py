@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def cut(df: DataFrame, name: str = "tables") -> DataFrame:
+    """Written to the shared folder and read back: what several steps use is worked out once, and the lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def merge(base: DataFrame, updates: DataFrame, key: str | list[str], version: Column | None = None) -> DataFrame:
     """Upsert: rows of base without the updates' keys, and of the updates one row a key, the latest by `version`."""
     key = [key] if isinstance(key, str) else key

@@ -1,4 +1,4 @@
-"""Vector tables: exact and approximate top-k joins, filters, upserts."""
+"""Vector tables: exact top-k and threshold joins, filters, upserts. The approximate index is in cells.py."""
 
 from __future__ import annotations
 
@@ -7,57 +7,90 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scores as S
-
+from .blocks import products
 from .common import merge, topk
 
-#: Query rows that one pass holds against the vectors; more queries take more blocks.
+#: Query rows that are broadcast at most.
 BLOCK = 4096
-#: Vectors of a cell that one task holds against its queries.
-CELL_ROWS = 50_000
+#: Bands of hashed bits that a threshold join makes at most.
+MOST_BANDS = 48
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = BLOCK, last_id: bool = False) -> DataFrame:
     """(query_id, id, score, rank): for each query vector the k nearest by cosine, ties by id, the largest first with `last_id`.
 
-    Query vectors are broadcast as matrices of at most about `block` rows, one for each pass over the vectors, of which ids and embeddings alone reach a task. It keeps,
-    for every query, only its own k best of a batch, so queries x vectors pairs never exist as rows.
+    Up to `block` queries are broadcast as one matrix, and ids and embeddings alone reach a task. More queries meet the vectors in pairs of blocks over the cluster.
+    Either way a task keeps, for every query, only its own k best, so queries x vectors pairs never exist as rows.
     """
     own = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
     first = own.limit(block + 1).toArrow()
-    parts = [first]
-    if first.num_rows > block:
-        n = -(-own.count() // block)
-        parts = [own.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow() for b in range(n)]
     key, vid = own.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    send = vectors.sparkSession.sparkContext.broadcast
     table = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
+    schema = f"query_id {key}, id {vid}, score double"
+    if first.num_rows > block:
+        found = products(table, own, [], "id", "query_id", lambda left, right: _nearest(right, left, k), schema)
+    else:
+        asked = vectors.sparkSession.sparkContext.broadcast(first)
+
+        def run(batches):
+            for batch in batches:
+                yield from _nearest(asked.value, pa.Table.from_batches([batch]), k).to_batches()
+
+        found = table.mapInArrow(run, schema)
+    return topk(found, "query_id", [F.round("score", 9).desc(), F.col("id").desc() if last_id else F.col("id")], k)
 
-    def near(part: pa.Table) -> DataFrame:
-        asked = send((part["query_id"].combine_chunks(), _rows(part["embedding"].combine_chunks())))
+
+def _nearest(asked: pa.Table, table: pa.Table, k: int, least: float | None = None) -> pa.Table:
+    """(query_id, id, score) of each query's k best by cosine in the table, and of all that tie with the k-th; with `least` only from there on."""
+    names, ids = asked["query_id"].combine_chunks(), table["id"].combine_chunks()
+    if not len(names) or not len(ids):
+        return pa.table({"query_id": names.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+    q, x = _rows(asked["embedding"].combine_chunks()), _rows(table["embedding"].combine_chunks())
+    scores = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :] + 1e-9)
+    n = min(k, scores.shape[1])
+    edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+    fine = scores >= edge - 1e-9  # all that tie with the k-th stay for the final cut
+    at, which = np.nonzero(fine if least is None else fine & (scores >= least - 1e-8))
+    return pa.table({"query_id": names.take(pa.array(at)), "id": ids.take(pa.array(which)), "score": pa.array(scores[at, which])})
+
+
+def within(queries: DataFrame, vectors: DataFrame, threshold: float, k: int = 1, miss: float = 1e-4, seed: int = 11) -> DataFrame:
+    """(query_id, id, score, rank): of each query's k nearest by cosine those that reach the threshold.
+
+    Both sides are hashed by the signs of random projections, in as many bands of bits as leave a pair at the threshold unmet with probability `miss` at most. Queries and
+    vectors that share a band's bits meet in blocks and are compared exactly, so nothing passes the driver. If the threshold is too low for MOST_BANDS bands to be of use, all are compared.
+    """
+    n, dim = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    same = 1 - float(np.arccos(min(1.0, max(-1.0, threshold)))) / np.pi
+    bits = min(20, max(2, round(np.log2(max(n, 1) / 256))))
+    bands = lambda b: int(np.ceil(np.log(miss) / np.log1p(-(same**b)))) if same < 1 else 1
+    while bits > 1 and bands(bits) > MOST_BANDS:
+        bits -= 1
+    if bits < 2 or not n:
+        return top_k(queries, vectors, k).filter(F.round("score", 9) >= threshold)
+    planes = np.random.default_rng(seed).standard_normal((bands(bits), dim, bits))
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.select(name, F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
 
         def run(batches):
-            names, q = asked.value
-            norm = np.sqrt((q * q).sum(1))[:, None]
             for batch in batches:
-                if not batch.num_rows or not len(names):
+                if not batch.num_rows:
                     continue
                 x = _rows(batch.column("embedding"))
-                scores = (q @ x.T) / (norm * np.sqrt((x * x).sum(1))[None, :] + 1e-9)
-                n = min(k, scores.shape[1])
-                edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-                at, which = np.nonzero(scores >= edge - 1e-9)  # all that tie with the k-th stay for the final cut
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), batch.column("id").take(pa.array(which)), pa.array(scores[at, which])], names=["query_id", "id", "score"])
+                for band, plane in enumerate(planes):
+                    key = (x @ plane > 0) @ (1 << np.arange(bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), band, np.int32)), pa.array(key), *batch.columns], ["band", "bits", *batch.schema.names])
 
-        return table.mapInArrow(run, f"query_id {key}, id {vid}, score double")
+        return own.mapInArrow(run, f"band int, bits long, {name} {own.schema[name].dataType.simpleString()}, embedding array<double>")
 
-    found = reduce(DataFrame.unionByName, map(near, parts))
-    return topk(found, "query_id", [F.round("score", 9).desc(), F.col("id").desc() if last_id else F.col("id")], k)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    found = products(keyed(vectors, "id"), keyed(queries, "query_id"), ["band", "bits"], "id", "query_id", lambda left, right: _nearest(right, left, k, threshold), schema)
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score")).filter(F.round("score", 9) >= threshold)
+    return topk(found, "query_id", [F.round("score", 9).desc(), F.col("id")], k)
 
 
 def _rows(lists: pa.Array) -> np.ndarray:
@@ -117,30 +150,6 @@ def uuid5(name: Column, namespace: str = NAMESPACE_DNS) -> Column:
                        F.concat(F.element_at(F.array(*map(F.lit, "89ab")), nibble + 1), F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def train_cells(vectors: DataFrame, cells: int = 16, sample_rows: int = 20_000, seed: int = 7):
-    """Coarse k-means centres from a sample of at most about `sample_rows` rows; every row is indexed afterwards."""
-    n = vectors.count()
-    own = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    own = own if n <= sample_rows else own.sample(sample_rows / n, seed=seed)
-    return KMeans(k=cells, seed=seed, maxIter=10).fit(own)
-
-
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, model, k: int = 10, probes: int = 12) -> DataFrame:
-    """Top k among the vectors of the `probes` cells nearest to each query: an equi-join on the cell."""
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    lit = F.array(*(F.array(*map(F.lit, c)) for c in centres))
-    far = lambda v: F.transform(lit, lambda c: F.aggregate(F.zip_with(c, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    cells = lambda v, n: F.slice(F.transform(F.array_sort(F.transform(far(v), lambda d, i: F.struct(d.alias("d"), i.alias("i")))), lambda s: s["i"]), 1, n)
-    own = vectors.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn("cell", F.element_at(cells(F.col("v"), 1), 1))
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).withColumn("cell", F.explode(cells(F.col("q"), probes)))
-    # a cell of many vectors is dealt over several tasks, each of which meets the cell's queries
-    salts = own.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_salts"))
-    own = own.join(F.broadcast(salts), "cell").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")))
-    asked = asked.join(F.broadcast(salts), "cell").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts").cast("long") - 1)))
-    pairs = asked.join(own, ["cell", "_salt"]).select("query_id", "id", S.cosine(F.col("q"), F.col("v")).alias("score"))
-    return topk(pairs, "query_id", [F.round("score", 9).desc(), F.col("id")], k)
-
-
 def recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Mean share of the exact top k that the approximate one holds."""
     hit = exact.join(approximate.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
-from tessera.operators import bm25, expand, fusion, relevance, rerank, vectors
+from tessera.operators import bm25, cells, expand, fusion, relevance, rerank, vectors
 from tessera.operators import evaluate as E
 
 
@@ -63,10 +63,52 @@ def test_vector_top_k(spark):
         for r in vectors.top_k(asked, table, 5, block=block).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
         assert got == want
-    model = vectors.train_cells(table.filter("id < 999"), 4)
-    exact = vectors.top_k(asked, table, 5)
-    full = vectors.approximate_top_k(asked, table.filter("id < 999"), model, 5, probes=4)
-    assert vectors.recall(full, exact, 5).first().recall == 1.0
+    plan = vectors.top_k(asked, table, 5, block=7)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "LocalTableScan" not in plan
+
+
+def test_stored_index(spark, tmp_path):
+    """Clustered vectors: few cells are probed, their codes alone are read, and the short list is rescored exactly."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    x = centres[np.arange(3000) % 40] + rng.normal(size=(3000, 24)) * 0.4
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9999, None)], "id long, embedding array<float>").repartition(5)
+    asked = table.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    index = cells.build(table, f"file://{tmp_path}/index")
+    again = cells.opened(spark, index.path)
+    assert len(index.centres) == 55 and again.probes == index.probes and np.array_equal(again.books, index.books) and index.probes <= 12
+    got = cells.search(again, asked, 10)
+    exact = vectors.top_k(asked, table, 10)
+    assert vectors.recall(got, exact, 10).first().recall >= 0.95
+    both = got.join(exact.select("query_id", "id", F.col("score").alias("s")), ["query_id", "id"]).agg(F.max(F.abs(F.col("score") - F.col("s")))).first()[0]
+    assert both < 1e-12
+    assert cells.short_list(index, asked, 10).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 80
+    one = cells.search(index, asked.filter("query_id = 20"), 10)
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    # codes of the probed cells are all that a query reads
+    read = cells._pruned(index.codes(spark), cells._asked(index, asked.filter("query_id = 20"), index.probes)).count()
+    assert read < 3000 / 5
+
+
+def test_threshold_join(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[1000:2000] = x[:1000] + rng.normal(size=(1000, 16)) * rng.uniform(0, 0.6, (1000, 1))
+    x[2000:] = x[0] + rng.normal(size=(1000, 16)) * 0.05  # a third is one heap
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    table = spark.createDataFrame(rows[1000:] + [(9999, None)], "id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame(rows[:1000], "query_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit[:1000] @ unit[1000:].T
+    want = {i: int(np.argmax(np.round(sim[i], 9))) + 1000 for i in range(1000) if np.round(sim[i].max(), 9) >= 0.92}
+    found = vectors.within(asked, table, 0.92)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {r.query_id: r.id for r in found.collect()}
+    assert 100 < len(want) < 1000 and got.keys() <= want.keys() and sum(got.get(q) == v for q, v in want.items()) >= 0.99 * len(want)
+    low = {r.query_id: r.id for r in vectors.within(asked.filter("query_id < 20"), table, 0.1).collect()}
+    assert low == {i: int(np.argmax(np.round(sim[i], 9))) + 1000 for i in range(20) if np.round(sim[i].max(), 9) >= 0.1}
+    assert vectors.within(asked, table.limit(0), 0.92).count() == 0
 
 
 def test_metadata_filter_and_upsert(spark):
