@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, in_order
 
 #: Batches hold these shares, in 16ths of the distinct conversations.
-BATCHES = (1, 4, 11)
+BATCHES = (2, 14)
 #: Ids of a piece that are joined before a node's digest takes them.
 PIECE = 4096
 NODE = ["depth", "a", "b"]
@@ -70,38 +70,42 @@ def _look(rows: DataFrame, paths: DataFrame, rep: str, d: str, **names: str) ->
 
 def _complete(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Edges (top, depth, a, b, rep) with their handle (f, fa, fb), first turn (sa, sb), parent (ta, tb) and code points (c above, ec at the end)."""
-    own = edges.select("top", *NODE, "rep", two_fattest("top", "depth").alias("f"), (F.col("top") + 1).alias("first"))
-    own = _look(own, paths, "rep", "f", fa="a", fb="b")
-    own = _look(own, paths, "rep", "first", sa="a", sb="b", ta="pa", tb="pb", sc="c", chars="chars")
-    own = _look(own, paths, "rep", "depth", ec="c")
-    return own.withColumn("c", F.col("sc") - F.col("chars")).select("top", *NODE, "rep", "f", "fa", "fb", "sa", "sb", "ta", "tb", "c", "ec")
+    own = edges.select("top", *NODE, "rep", two_fattest("top", "depth").alias("f"))
+    asked = own.withColumn("d", F.explode(F.array_distinct(F.array(F.col("f"), F.col("top") + 1, F.col("depth")))))
+    asked = asked.join(paths.select(F.col("conv").alias("rep"), "d", F.col("a").alias("xa"), F.col("b").alias("xb"), "pa", "pb", "c", "chars"), ["rep", "d"])
+    at = lambda depth, value, name: F.max(F.when(F.col("d") == depth, value)).alias(name)
+    first, end = F.col("top") + 1, F.col("depth")
+    got = [at(F.col("f"), F.col("xa"), "fa"), at(F.col("f"), F.col("xb"), "fb"), at(first, F.col("xa"), "sa"), at(first, F.col("xb"), "sb"), at(first, F.col("pa"), "ta"), at(first, F.col("pb"), "tb")]
+    return asked.groupBy("top", *NODE, "rep", "f").agg(*got, at(first, F.col("c") - F.col("chars"), "c"), at(end, F.col("c"), "ec"))
 
 
 def locate(nodes: DataFrame, strings: DataFrame, paths: DataFrame) -> DataFrame:
     """The exit of each string (rep, len, a, b): low is the depth of its deepest node, l the depth up to which the trie has it, and with l > low the edge that it
     leaves is (e_top, e_depth, e_a, e_b, e_rep)."""
     edge = ["e_top", "e_depth", "e_a", "e_b", "e_rep"]
-    handles = nodes.select("f", "fa", "fb", *(F.col(c[2:]).alias(c) for c in edge))
+    handles = nodes.select("f", "fa", "fb", *(F.col(c[2:]).alias(c.replace("e_", "g_")) for c in edge))
     left = strings.select("rep", "len", F.lit(0).cast("long").alias("low"), F.col("len").alias("high"), *(F.lit(None).cast("long").alias(c) for c in edge))
     closed = None
     while True:
-        probe = _look(left.drop(*edge).withColumn("f", two_fattest("low", "high")), paths, "rep", "f", fa="a", fb="b").join(handles, ["f", "fa", "fb"], "left")
-        probe = _look(probe, paths, "rep", "e_depth", xa="a", xb="b")
-        hit = F.col("e_depth").isNotNull()
-        whole = F.coalesce((F.col("xa") == F.col("e_a")) & (F.col("xb") == F.col("e_b")) & (F.col("e_depth") <= F.col("len")), F.lit(False))
-        low = F.when(whole, F.col("e_depth")).when(hit, F.col("e_top")).otherwise(F.col("low"))
-        high = F.when(~hit, F.col("f") - 1).when(whole, F.col("high")).otherwise(F.col("e_top"))
-        step = cut(probe.select("rep", "len", low.alias("low"), high.alias("high"), *(F.when(~whole, F.col(c)).alias(c) for c in edge)))
+        # a handle that is met leads below its edge at once, as what parts from the edge meets no handle further down; whether it does is looked up after the last round
+        probe = _look(left.withColumn("f", two_fattest("low", "high")), paths, "rep", "f", fa="a", fb="b").join(handles, ["f", "fa", "fb"], "left")
+        hit = F.col("g_depth").isNotNull()
+        low, high = F.when(hit, F.col("g_depth")).otherwise(F.col("low")), F.when(hit, F.col("high")).otherwise(F.col("f") - 1)
+        step = cut(probe.select("rep", "len", low.alias("low"), high.alias("high"), *(F.when(hit, F.col(c.replace("e_", "g_"))).otherwise(F.col(c)).alias(c) for c in edge)))
         shut = step.filter("low >= high")
         closed = shut if closed is None else closed.unionByName(shut)
         left = step.filter("low < high")
         if left.isEmpty():
             break
-    # what goes on below its deepest node may share the beginning of an edge that ends before the edge's handle
-    known = closed.filter("e_depth IS NOT NULL")
+    closed = closed.withColumn("end", F.least("low", "len"))
+    seen = _look(closed, paths, "rep", "end", xa="a", xb="b")
+    part = F.col("e_depth").isNotNull() & ~((F.col("e_depth") <= F.col("len")) & (F.col("xa") == F.col("e_a")) & (F.col("xb") == F.col("e_b")))
+    seen = cut(seen.withColumn("part", F.coalesce(part, F.lit(False))).drop("high", "end", "xa", "xb"))
+    known = seen.filter("part").withColumn("low", F.col("e_top")).drop("part")
+    # what goes on below its deepest node may share the beginning of an edge that it leaves before the edge's handle
     starts = nodes.select(F.col("top").alias("low"), "sa", "sb", *(F.col(c[2:]).alias(c) for c in edge))
-    rest = _look(closed.filter("e_depth IS NULL").drop(*edge).withColumn("d", F.col("low") + 1), paths, "rep", "d", sa="a", sb="b").join(starts, ["low", "sa", "sb"], "left")
-    found = cut(known.drop("high").unionByName(rest.drop("high", "d", "sa", "sb")))
+    rest = _look(seen.filter("NOT part").drop(*edge, "part").withColumn("d", F.col("low") + 1), paths, "rep", "d", sa="a", sb="b").join(starts, ["low", "sa", "sb"], "left")
+    found = cut(known.unionByName(rest.drop("d", "sa", "sb")))
     on_edge = found.filter("e_depth IS NOT NULL").select(F.col("rep").alias("conv"), "len", "low", "e_depth", "e_rep")
     mine = paths.join(on_edge, "conv").filter("d > low AND d <= least(len, e_depth)").select("conv", "d", "a", "b", "e_rep")
     same = _look(mine, paths, "e_rep", "d", ya="a", yb="b").filter("a = ya AND b = yb").groupBy(F.col("conv").alias("rep")).agg(F.max("d").alias("l"))
@@ -134,18 +138,6 @@ def insert(nodes: DataFrame | None, strings: DataFrame, paths: DataFrame) -> Dat
     return cut(nodes.join(whole, NODE, "left_anti").unionByName(_complete(bits.unionByName(edges), paths)))
 
 
-def _climb(nodes: DataFrame, values: DataFrame, **merge: Column) -> DataFrame:
-    """What all values below each node come to, its own included: they rise a node a round, merged at each."""
-    up = nodes.select(*NODE, "top", "ta", "tb")
-    level, every = values, values
-    while True:
-        level = level.join(up, NODE).groupBy(F.col("top").alias("depth"), F.col("ta").alias("a"), F.col("tb").alias("b")).agg(*(f.alias(n) for n, f in merge.items()))
-        level = cut(level)
-        if level.isEmpty():
-            return cut(every.groupBy(*NODE).agg(*(f.alias(n) for n, f in merge.items())))
-        every = every.unionByName(level)
-
-
 def _digests(ends: DataFrame) -> DataFrame:
     """(depth, a, b, ends_sha256) of nodes where conversations end. Ids are joined in pieces of sorted parts; a digest takes its bytes in order, piece by piece."""
     lines = in_order(ends.withColumnRenamed("len", "depth"), *NODE, "conv")
@@ -184,8 +176,8 @@ def trie(rows: DataFrame) -> DataFrame:
     """
     paths, ends = rebuilt(rows)
     strings = cut(ends.filter("len > 0").groupBy("len", "a", "b").agg(F.min("conv").alias("rep"), F.count("*").alias("n")))
-    own = paths.select("conv", "part").distinct().join(strings.select(F.col("rep").alias("conv")), "conv")
-    paths = cut(paths.join(own, ["conv", "part"], "left_semi"))
+    own = paths.select("conv", "part").distinct().join(strings.select(F.col("rep").alias("conv"), "n"), "conv")
+    paths = cut(paths.join(own, ["conv", "part"]))
     batch, nodes, low = F.pmod(F.xxhash64("rep"), F.lit(16)), None, 0
     for share in BATCHES:
         some = strings.filter((batch >= low) & (batch < low + share))
@@ -200,13 +192,17 @@ def trie(rows: DataFrame) -> DataFrame:
         only = every.join(found, NODE, "left")
         return only.select(F.col("m").alias("conv_id"), "depth", F.lit(None).cast("long").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.lit(0).cast("long").alias("n_children"),
                            F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"))
-    counts = _climb(nodes, strings.select(F.col("len").alias("depth"), "a", "b", "n", F.col("rep").alias("m")), n=F.sum("n"), m=F.min("m"))
-    counts = cut(counts.filter("depth > 0").unionByName(every))
+    # the nodes on each string's path; what a node sums up below it, it gets from the strings and nodes that have it on their path
+    way = cut(paths.select("conv", F.col("d").alias("depth"), "a", "b", "n").join(nodes.select(*NODE), NODE))
+    counts = cut(way.groupBy(*NODE).agg(F.sum("n").alias("n"), F.min("conv").alias("m")).unionByName(every))
     below = nodes.groupBy(F.col("top").alias("depth"), F.col("ta").alias("a"), F.col("tb").alias("b")).agg(F.count("*").alias("n_children"))
     sized = cut(nodes.join(counts, NODE).join(below, NODE, "left").withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "edge": (F.col("n") - 1) * (F.col("ec") - F.col("c"))}))
-    sums = _climb(nodes, sized.select(*NODE, F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), F.col("edge").alias("saved")), n_leaves=F.sum("n_leaves"), saved=F.sum("saved"))
+    own = sized.select("rep", F.col("depth").alias("bottom"), F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), F.col("edge").alias("saved"))
+    above = own.join(way.select(F.col("conv").alias("rep"), *NODE), "rep").filter("depth <= bottom").select(*NODE, "n_leaves", "saved")
+    sums = [F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved")]
+    sums = cut(above.groupBy(*NODE).agg(*sums).unionByName(own.agg(*sums).select(*root.values(), "n_leaves", "saved")))
     parent = counts.select(F.col("depth").alias("top"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("m").alias("pm"))
-    full = sized.join(sums, NODE).join(parent, ["top", "ta", "tb"]).join(found, NODE, "left")
+    full = sized.drop("n_leaves").join(sums, NODE).join(parent, ["top", "ta", "tb"]).join(found, NODE, "left")
     spread = full.withColumn("d", F.explode(F.sequence(F.col("top") + 1, F.col("depth"))))
     spread = _look(spread, paths, "rep", "d", dc="c", chars="chars")
     end = F.col("d") == F.col("depth")
