@@ -114,7 +114,7 @@ def _best(q: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarra
 
 
 def _blocks(members: DataFrame, probes: DataFrame, dim: int, k: int) -> DataFrame:
-    """(q, v, lo, score): of each bucket's members (t, bucket, v, lo, vec) the k best of each probe (t, bucket, q, vec)."""
+    """(q, v, lo, score): of each bucket's members (t, bucket, v, lo, vec) the k best of each probe (t, bucket, q, least, vec) that score `least` at least."""
     at = ["t", "bucket"]
     sizes = members.groupBy(at).agg(F.count("*").alias("nv")).join(probes.groupBy(at).agg(F.count("*").alias("nq")), at)
     sizes = sizes.select(*at, *(F.ceil(F.col(n) / BLOCK).cast("int").alias(n) for n in ("nv", "nq"))).filter("nv > 1 OR nq > 1")
@@ -128,10 +128,11 @@ def _blocks(members: DataFrame, probes: DataFrame, dim: int, k: int) -> DataFram
 
     def near(key, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("lo")
-        v, q = left["v"].to_numpy(), right["q"].to_numpy()
+        v, q, least = left["v"].to_numpy(), right["q"].to_numpy(), right["least"].to_numpy()
         lo, out = left["lo"].combine_chunks(), []
         if len(v) and len(q):
             for i, rows, score in _best(_matrix(right["vec"], dim), _matrix(left["vec"], dim), k):
+                rows, score = rows[score >= least[i]], score[score >= least[i]]
                 out.append((np.full(len(rows), q[i]), v[rows], rows, score))
         join = lambda c, kind: np.concatenate([x[c] for x in out]) if out else np.zeros(0, kind)
         return pa.table({"q": join(0, np.int64), "v": join(1, np.int64), "lo": lo.take(pa.array(join(2, np.int64))), "score": join(3, np.float64)})
@@ -141,8 +142,8 @@ def _blocks(members: DataFrame, probes: DataFrame, dim: int, k: int) -> DataFram
     return sides.applyInArrow(near, "q long, v long, lo long, score double")
 
 
-def _keyed(rows: DataFrame, tables: Tables, dim: int, asked: bool) -> DataFrame:
-    """The rows once for each table and bucket: members of their own bucket alone, probes of all that they visit."""
+def _keyed(rows: DataFrame, tables: Tables, dim: int, visits: slice | None = None) -> DataFrame:
+    """The rows once for each table and bucket: members of their own bucket, queries of those that they visit by `visits`."""
     vec = rows.schema["vec"].dataType.simpleString()
 
     def run(batches):
@@ -151,7 +152,7 @@ def _keyed(rows: DataFrame, tables: Tables, dim: int, asked: bool) -> DataFrame:
                 part = batch.slice(at, BLOCK)
                 x = _matrix(part.column("vec"), dim)
                 for t in range(tables.tables):
-                    keys = tables.probes(x, t) if asked else tables.key(np.floor(tables.places(x, t, False)), t)[:, None]
+                    keys = tables.probes(x, t)[:, visits] if visits else tables.key(np.floor(tables.places(x, t, False)), t)[:, None]
                     for k in range(keys.shape[1]):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(np.ascontiguousarray(keys[:, k])), *part.columns], ["t", "bucket", *part.schema.names])
 
@@ -212,14 +213,21 @@ def nearest(rows: DataFrame, asked: Column, k: int = 20, key: str = "vec_id", ve
     members, queries = vectors.select("v", "lo", "vec"), vectors.filter("asked").select(F.col("v").alias("q"), "vec")
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = queries.withColumn("least", F.lit(float("-inf")))
     tables = fitted(queries, members, n, dim, top, k)
-    best = _ranked(_blocks(_keyed(members, tables, dim, False), _keyed(queries, tables, dim, True), dim, k + 1), vectors, k)
+    found = cut(_blocks(_keyed(members, tables, dim), _keyed(queries, tables, dim, slice(0, 1)), dim, k + 1))
+    if len(tables.sets) > 1:
+        # the score that the own buckets give is what the perturbed ones are to reach
+        best = topk(found.select("q", "v", "score").distinct(), "q", [F.col("score").desc()], k + 1, "r").filter(F.col("r") == k + 1).select("q", F.col("score").alias("known"))
+        bound = queries.join(best, "q", "left").select("q", F.coalesce("known", "least").alias("least"), "vec")
+        found = found.unionByName(_blocks(_keyed(members, tables, dim), _keyed(bound, tables, dim, slice(1, None)), dim, k + 1))
+    best = _ranked(found, vectors, k)
     if tables.m:
         best = cut(best)
         short = queries.join(best.filter(F.size("found") > k).select("q"), "q", "left_anti")
         every = Tables(dim, 0, 1, 1.0, top)
         if not short.isEmpty():
-            rest = _ranked(_blocks(_keyed(members, every, dim, False), _keyed(short, every, dim, True), dim, k + 1), vectors, k)
+            rest = _ranked(_blocks(_keyed(members, every, dim), _keyed(short, every, dim, slice(0, 1)), dim, k + 1), vectors, k)
             best = best.join(short.select("q"), "q", "left_anti").unionByName(rest)
     whose = vectors.filter("asked").select(F.col("v").alias("q"), "a", "b")
     lists = best.join(whose, "q").select("a", "b", "found")
