@@ -213,7 +213,7 @@ def nearest(rows: DataFrame, asked: Column, k: int = 20, key: str = "vec_id", ve
     members, queries = vectors.select("v", "lo", "vec"), vectors.filter("asked").select(F.col("v").alias("q"), "vec")
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = queries.withColumn("least", F.lit(float("-inf")))
+    queries = queries.select("q", F.lit(float("-inf")).alias("least"), "vec")
     tables = fitted(queries, members, n, dim, top, k)
     found = cut(_blocks(_keyed(members, tables, dim), _keyed(queries, tables, dim, slice(0, 1)), dim, k + 1))
     if len(tables.sets) > 1:
