@@ -30,37 +30,42 @@ def two_fattest(low: str, high: str) -> Column:
     return F.expr(f"{high} & shiftleft(-1L, length(bin({low} ^ {high})) - 1)")
 
 
-def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paths, ends) of the rebuilt conversations: paths (conv, part, d, a, b, pa, pb, c, chars) has each turn with the hashes of the prefix with and without it and
-    the code points so far, ends (conv, len, a, b) each conversation with its whole hash."""
+def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turns, runs, ends) of the rebuilt conversations: turns (conv, part, d, u, v, chars, a, b, c) has each turn with its hashes, and those and the code points of all
+    turns of its part so far; runs (conv, part, a0, b0, c0) those before a part; ends (conv, len, a, b) each conversation with its whole hash."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     own = rows.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv"), "turn", role.alias("role"), F.left(text, F.lit(64)).alias("head"),
                                                     F.xxhash64(role, text).alias("x"), F.xxhash64(F.lit("turn"), text, role).alias("y"), F.length(text).cast("long").alias("chars"))
-    lines = in_order(own, "conv", "turn", "role", "head", "x", "y")
-    before = Window.partitionBy("conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = cut(lines.groupBy("conv", "_part").agg(F.min("_at").alias("start"), F.count("*").alias("n")).withColumn("behind", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    place = (F.col("behind") + F.col("_at") - F.col("start") + 1).alias("place")
-    turns = cut(lines.join(runs, ["conv", "_part"]).select("conv", F.col("_part").alias("part"), place, "x", "y", "chars"))
-    heads = turns.filter("place <= 5 AND conv % 100 = 0").select(F.col("conv").alias("base"), "place", "x", "y", "chars")
-    h = (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).alias("h")
-    convs = runs.groupBy("conv").agg(F.sum("n").alias("n")).select("conv", "n", h, (F.col("conv") - F.col("conv") % 100).alias("base"))
-    taken = heads.groupBy("base").agg(F.max("place").alias("m"))
-    convs = cut(convs.join(taken, "base", "left").withColumn("own", F.least("h", F.coalesce("m", F.lit(0)))))
-    first = convs.join(heads, "base").filter("place <= own").select("conv", F.lit(-1).alias("part"), F.col("place").alias("d"), "x", "y", "chars")
-    parts = runs.select("conv", F.col("_part").alias("part")).join(convs, "conv").select("conv", "part", "h", "own")
-    later = turns.join(parts, ["conv", "part"]).filter("place > h").select("conv", "part", (F.col("own") + F.col("place") - F.col("h")).alias("d"), "x", "y", "chars")
-    marks = first.unionByName(later).withColumns({"u": F.xxhash64("d", "x", "y"), "v": F.xxhash64(F.lit("place"), "y", "d", "x")})
+    lines = in_order(own, "conv", "turn", "role", "head", "x", "y").select("conv", F.col("_part").alias("part"), "_at", "x", "y", "chars")
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("conv", "part").agg(F.min("_at").alias("start"), F.count("*").alias("n"))
+    parts = cut(parts.withColumns({"behind": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("conv")), "h": F.crc32(F.col("conv").cast("string").cast("binary")) % 6, "base": F.col("conv") - F.col("conv") % 100}))
+    place = F.col("behind") + F.col("_at") - F.col("start") + 1
+    heads = lines.filter("conv % 100 = 0").join(parts.filter("conv = base AND behind < 5").select("conv", "part", "start", "behind"), ["conv", "part"])
+    heads = heads.select(F.col("conv").alias("base"), place.alias("place"), "x", "y", "chars").filter("place <= 5")
+    # a conversation takes what there is of the first h turns of its base
+    taken = parts.filter("conv = base").select("base", F.col("all").alias("m")).distinct()
+    parts = parts.join(taken, "base", "left").withColumn("own", F.least("h", F.coalesce("m", F.lit(0))))
+    first = parts.filter("behind = 0").join(heads, "base").filter("place <= own").select("conv", F.lit(-1).alias("part"), F.col("place").alias("d"), "x", "y", "chars")
+    later = lines.join(parts.select("conv", "part", "start", "behind", "h", "own"), ["conv", "part"]).withColumn("place", place).filter("place > h")
+    later = later.select("conv", "part", (F.col("own") + F.col("place") - F.col("h")).alias("d"), "x", "y", "chars")
+    turns = first.unionByName(later).withColumns({"u": F.xxhash64("d", "x", "y"), "v": F.xxhash64(F.lit("place"), "y", "d", "x")})
     inside = Window.partitionBy("conv", "part").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    marks = cut(marks.select("conv", "part", "d", "u", "v", "chars", F.bit_xor("u").over(inside).alias("a"), F.bit_xor("v").over(inside).alias("b"), F.sum("chars").over(inside).alias("c")))
-    sums = cut(marks.groupBy("conv", "part").agg(F.bit_xor("u").alias("a0"), F.bit_xor("v").alias("b0"), F.sum("chars").alias("c0")))
-    ahead = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("conv", "part", *(F.coalesce(f(n).over(ahead), F.lit(0)).alias(n) for n, f in (("a0", F.bit_xor), ("b0", F.bit_xor), ("c0", F.sum))))
+    turns = cut(turns.select("conv", "part", "d", "u", "v", "chars", F.bit_xor("u").over(inside).alias("a"), F.bit_xor("v").over(inside).alias("b"), F.sum("chars").over(inside).alias("c")))
+    runs = turns.groupBy("conv", "part").agg(F.bit_xor("u").alias("a"), F.bit_xor("v").alias("b"), F.sum("chars").alias("c"))
+    sums = (("a", F.bit_xor), ("b", F.bit_xor), ("c", F.sum))
+    runs = cut(runs.select("conv", "part", "a", "b", *(F.coalesce(f(n).over(before), F.lit(0)).alias(f"{n}0") for n, f in sums)))
+    whole = runs.groupBy("conv").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    length = (F.col("own") + F.greatest(F.col("all") - F.col("h"), F.lit(0))).cast("long")
+    ends = parts.filter("behind = 0").select("conv", length.alias("len")).join(whole, "conv", "left").select("conv", "len", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    return turns, runs.select("conv", "part", "a0", "b0", "c0"), cut(ends)
+
+
+def _paths(turns: DataFrame, runs: DataFrame, strings: DataFrame) -> DataFrame:
+    """(conv, d, a, b, pa, pb, c, chars, n) of the strings' conversations: the hashes of each prefix with and without its last turn, and its code points."""
+    runs = runs.join(strings.select(F.col("rep").alias("conv"), "n"), "conv")
     a, b = F.col("a").bitwiseXOR(F.col("a0")), F.col("b").bitwiseXOR(F.col("b0"))
-    paths = marks.join(offsets, ["conv", "part"]).select("conv", "part", "d", a.alias("a"), b.alias("b"), a.bitwiseXOR(F.col("u")).alias("pa"), b.bitwiseXOR(F.col("v")).alias("pb"), (F.col("c") + F.col("c0")).alias("c"), "chars")
-    whole = sums.groupBy("conv").agg(F.bit_xor("a0").alias("a"), F.bit_xor("b0").alias("b"))
-    length = (F.col("own") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).cast("long")
-    ends = convs.select("conv", length.alias("len")).join(whole, "conv", "left").select("conv", "len", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-    return cut(paths), cut(ends)
+    return turns.join(runs, ["conv", "part"]).select("conv", "d", a.alias("a"), b.alias("b"), a.bitwiseXOR(F.col("u")).alias("pa"), b.bitwiseXOR(F.col("v")).alias("pb"), (F.col("c") + F.col("c0")).alias("c"), "chars", "n")
 
 
 def _look(rows: DataFrame, paths: DataFrame, rep: str, d: str, **names: str) -> DataFrame:
@@ -99,13 +104,12 @@ def locate(nodes: DataFrame, strings: DataFrame, paths: DataFrame) -> DataFrame:
             break
     closed = closed.withColumn("end", F.least("low", "len"))
     seen = _look(closed, paths, "rep", "end", xa="a", xb="b")
-    part = F.col("e_depth").isNotNull() & ~((F.col("e_depth") <= F.col("len")) & (F.col("xa") == F.col("e_a")) & (F.col("xb") == F.col("e_b")))
-    seen = cut(seen.withColumn("part", F.coalesce(part, F.lit(False))).drop("high", "end", "xa", "xb"))
-    known = seen.filter("part").withColumn("low", F.col("e_top")).drop("part")
+    whole = F.col("e_depth").isNull() | ((F.col("e_depth") <= F.col("len")) & (F.col("xa") == F.col("e_a")) & (F.col("xb") == F.col("e_b")))
+    seen = seen.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("low", F.when(F.col("whole"), F.col("low")).otherwise(F.col("e_top")))
     # what goes on below its deepest node may share the beginning of an edge that it leaves before the edge's handle
-    starts = nodes.select(F.col("top").alias("low"), "sa", "sb", *(F.col(c[2:]).alias(c) for c in edge))
-    rest = _look(seen.filter("NOT part").drop(*edge, "part").withColumn("d", F.col("low") + 1), paths, "rep", "d", sa="a", sb="b").join(starts, ["low", "sa", "sb"], "left")
-    found = cut(known.unionByName(rest.drop("d", "sa", "sb")))
+    starts = nodes.select(F.col("top").alias("low"), "sa", "sb", *(F.col(c[2:]).alias(c.replace("e_", "g_")) for c in edge))
+    seen = _look(seen.withColumn("d", F.when(F.col("whole"), F.col("low") + 1)), paths, "rep", "d", sa="a", sb="b").join(starts, ["low", "sa", "sb"], "left")
+    found = cut(seen.select("rep", "len", "low", *(F.when(F.col("whole"), F.col(c.replace("e_", "g_"))).otherwise(F.col(c)).alias(c) for c in edge)))
     on_edge = found.filter("e_depth IS NOT NULL").select(F.col("rep").alias("conv"), "len", "low", "e_depth", "e_rep")
     mine = paths.join(on_edge, "conv").filter("d > low AND d <= least(len, e_depth)").select("conv", "d", "a", "b", "e_rep")
     same = _look(mine, paths, "e_rep", "d", ya="a", yb="b").filter("a = ya AND b = yb").groupBy(F.col("conv").alias("rep")).agg(F.max("d").alias("l"))
@@ -174,10 +178,9 @@ def trie(rows: DataFrame) -> DataFrame:
     role or text is empty. Rows without a conv_id belong to no conversation. Extra columns don't matter, an empty table gives no rows, and texts of any length count
     by their hashes alone. Copies of a conversation are one string of the trie; one conversation may hold most rows and spreads over many parts.
     """
-    paths, ends = rebuilt(rows)
+    turns, runs, ends = rebuilt(rows)
     strings = cut(ends.filter("len > 0").groupBy("len", "a", "b").agg(F.min("conv").alias("rep"), F.count("*").alias("n")))
-    own = paths.select("conv", "part").distinct().join(strings.select(F.col("rep").alias("conv"), "n"), "conv")
-    paths = cut(paths.join(own, ["conv", "part"]))
+    paths = cut(_paths(turns, runs, strings))
     batch, nodes, low = F.pmod(F.xxhash64("rep"), F.lit(16)), None, 0
     for share in BATCHES:
         some = strings.filter((batch >= low) & (batch < low + share))
