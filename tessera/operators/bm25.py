@@ -39,8 +39,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def term_stats(posted: DataFrame, corpus: DataFrame, variant: str = "okapi") -> DataFrame:
-    """(term, df, idf). Okapi: ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by EPSILON times the mean. plus: ln((N + 1) / df)."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
+    """(term, df, idf) of postings."""
+    return weighted(posted.groupBy("term").agg(F.count("*").alias("df")), corpus, variant)
+
+
+def weighted(terms: DataFrame, corpus: DataFrame, variant: str = "okapi") -> DataFrame:
+    """(term, df) with idf. Okapi: ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by EPSILON times the mean. plus: ln((N + 1) / df)."""
+    df = terms.crossJoin(F.broadcast(corpus.select("n")))
     if variant == "plus":
         return df.select("term", "df", F.log((F.col("n") + 1) / F.col("df")).alias("idf"))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))

@@ -48,6 +48,11 @@ def cut(df: DataFrame, name: str = "tables") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """A written table of the rows sorted by `order` over the whole cluster, nulls first; _id numbers them in that order, with gaps between parts."""
+    return cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+
+
 def merge(base: DataFrame, updates: DataFrame, key: str | list[str], version: Column | None = None) -> DataFrame:
     """Upsert: rows of base without the updates' keys, and of the updates one row a key, the latest by `version`."""
     key = [key] if isinstance(key, str) else key

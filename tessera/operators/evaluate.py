@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import topk
+from .common import cut, topk
 
 DIMENSIONS = ["faithfulness", "relevance", "completeness", "clarity"]
 
@@ -42,6 +42,7 @@ def ndcg(results: DataFrame, qrels: DataFrame, k: int = 10, mode: str = "retriev
 
 def per_query(results: DataFrame, qrels: DataFrame, mode: str = "listed") -> DataFrame:
     """(query_id, hit_at_5, hit_at_10, mrr, ndcg)."""
+    results, qrels = cut(results.select("query_id", "doc_id", "rank")), cut(qrels)
     return hit_at(results, qrels).join(reciprocal_rank(results, qrels, mode), "query_id").join(ndcg(results, qrels), "query_id")
 
 

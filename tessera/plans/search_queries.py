@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
 from tessera.operators import bm25 as B
+from tessera.operators import bm25index as BI
 from tessera.operators import cells as C
 from tessera.operators import embed as M
 from tessera.operators import evaluate as E
@@ -143,17 +144,19 @@ _PLUS = """tp AS (SELECT term, df, ln(((SELECT n FROM cs) + 1)::DOUBLE / df) AS
 bsp AS (SELECT query_id, chunk_id, sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qt JOIN tp USING (term) JOIN posts USING (term) JOIN ds USING (chunk_id), cs GROUP BY ALL)"""
 put("bm25_05_scores_plus", lambda s, d: _scored(s, d, "plus").select("query_id", "chunk_id", r6("score")),
     Z.sql("ts0 qt", "SELECT query_id, chunk_id, round(score + bound, 6) AS score FROM bsp JOIN bd USING (query_id)", _PLUS))
-put("bm25_06_topk", lambda s, d: B.top_k(_scored(s, d), 10, 1.0).select("query_id", "chunk_id", r6("score"), "rank"),
+put("bm25_06_topk", lambda s, d: Z.bm25_hits(s, d, 10, 1.0).select("query_id", "chunk_id", r6("score"), "rank"),
     Z.sql("bt", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bt WHERE rank <= 10 AND score > 1"))
-put("bm25_07_normalize", lambda s, d: B.normalize(B.top_k(_scored(s, d))).select("query_id", "chunk_id", r6("score")),
+put("bm25_07_normalize", lambda s, d: B.normalize(Z.bm25_hits(s, d)).select("query_id", "chunk_id", r6("score")),
     Z.sql("bt", "SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE score END, 6) AS score FROM bt WHERE score > 0 WINDOW w AS (PARTITION BY query_id)"))
 
 
 def _bm25_08(s, d):
-    c = Z.chunks(s, d)
-    old = c.filter("chunk_id % 2 = 0")
-    p, docs = B.add(B.postings(old), B.doc_stats(old), c.filter("chunk_id % 2 <> 0"))
-    return B.term_stats(p, B.corpus_stats(docs)).select("term", "df", r6("idf"))
+    """The odd chunks are added as a batch to a stored index of the even ones, and added again, which changes nothing."""
+    c, path = Z.chunks(s, d), f"{shared_dir(s)}/bm25-{uuid.uuid4().hex}"
+    BI.add(s, path, c.filter("chunk_id % 2 = 0"))
+    for _ in range(2):
+        index = BI.add(s, path, c.filter("chunk_id % 2 <> 0"), 1)
+    return BI.term_stats(index).select("term", "df", r6("idf"))
 
 
 put("bm25_08_add", _bm25_08, Z.sql("ts", "SELECT term, df, round(idf, 6) AS idf FROM ts"))
@@ -161,7 +164,7 @@ put("bm25_08_add", _bm25_08, Z.sql("ts", "SELECT term, df, round(idf, 6) AS idf
 
 def _bm25_09(s, d):
     c = Z.chunks(s, d)
-    top = B.top_k(_scored(s, d), 5)
+    top = Z.bm25_hits(s, d, 5)
     totals = B.response_totals(Z.searches(s, d), top, B.doc_stats(c)).withColumn("top_score", F.round("top_score", 6))
     return B.with_fields(top, c, ["document_id", "content"]).select("query_id", "rank", "document_id", F.length("content").cast("long").alias("chars")).join(totals, "query_id")
 
@@ -284,18 +287,11 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDE
 # --- reranking
 
 
-def _candidates(s, d):
-    """Candidates with the texts of query and chunk."""
-    top = B.top_k(_scored(s, d), 30)
-    return top.join(Z.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(small(Z.searches(s, d).withColumnRenamed("text", "query")), "query_id")
-
-
-def _ranked(s, d):
-    """Candidates with the token sets of query and chunk."""
-    top = B.top_k(_scored(s, d), 30)
-    chunks = K.token_sets(Z.chunks(s, d), "content", "content_tokens").select("chunk_id", "content_tokens")
+def _ranked(s, d, k=100):
+    """Candidates with the token sets of query and chunk; the chunks' tokens come from the stored index, of the candidates alone."""
+    chunks = Z.bm25_index(s, d).table("docs").select("chunk_id", F.array_distinct("tokens").alias("content_tokens"))
     asked = K.token_sets(Z.searches(s, d), "text", "query_tokens").select("query_id", "query_tokens")
-    return top.join(chunks, "chunk_id").join(small(asked), "query_id")
+    return Z.bm25_hits(s, d, k).join(chunks, "chunk_id").join(small(asked), "query_id")
 
 
 def _reranked(s, d):
@@ -303,7 +299,7 @@ def _reranked(s, d):
 
 
 _JAC = f"""tq AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), '{Z.TOKEN}')) AS x FROM bq), tc AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(lower(text), '{Z.TOKEN}')) AS y FROM documents),
-j AS (SELECT query_id, chunk_id, score, rank AS original_rank, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS rs FROM bt JOIN tq USING (query_id) JOIN tc USING (chunk_id) WHERE rank <= 30 AND score > 0),
+j AS (SELECT query_id, chunk_id, score, rank AS original_rank, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS rs FROM bt JOIN tq USING (query_id) JOIN tc USING (chunk_id) WHERE rank <= 100 AND score > 0),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rs, 9) DESC, original_rank) AS new_rank FROM j QUALIFY new_rank <= 10)"""
 put("rrk_01_rerank", lambda s, d: _reranked(s, d).select("query_id", "chunk_id", r6("rerank_score"), "original_rank", "new_rank"),
     Z.sql("bt", "SELECT query_id, chunk_id, round(rs, 6) AS rerank_score, original_rank, new_rank FROM rr", _JAC))
@@ -361,7 +357,7 @@ SELECT *, CASE WHEN max(rs) OVER w = min(rs) OVER w THEN 1.0 ELSE (rs - min(rs)
 
 
 def _found(s, d):
-    return B.top_k(_scored(s, d), 10).select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "score")
+    return Z.bm25_hits(s, d, 10).select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "score")
 
 
 _EV = """f AS (SELECT query_id, chunk_id AS doc_id, rank FROM bt WHERE rank <= 10 AND score > 0), j AS (SELECT q.*, f.rank FROM qrels q LEFT JOIN f USING (query_id, doc_id)),

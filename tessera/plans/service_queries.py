@@ -17,7 +17,6 @@ from tessera.operators import route as R
 
 from . import frames as Z
 from . import pipelines as P
-from .search_queries import _candidates
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +36,8 @@ def r6(c):
 
 
 def _top(s, d):
-    return _candidates(s, d).filter("rank <= 12").select("query_id", "chunk_id", F.col("chunk_id").alias("document_id"), "content", "score", "rank")
+    top = Z.bm25_hits(s, d, 12).join(Z.chunks(s, d).select("chunk_id", "content"), "chunk_id")
+    return top.select("query_id", "chunk_id", F.col("chunk_id").alias("document_id"), "content", "score", "rank")
 
 
 _CX = """c0 AS (SELECT query_id, chunk_id, d.text AS content, score, rank, CASE query_id % 3 WHEN 0 THEN 800 WHEN 1 THEN 4000 ELSE 2000 END AS lim FROM bt JOIN documents d ON doc_id = chunk_id WHERE rank <= 10 AND score > 0),

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
-from tessera.operators import bm25, cells, expand, fusion, relevance, rerank, vectors
+from tessera.operators import bm25, bm25index, cells, expand, fusion, relevance, rerank, vectors
 from tessera.operators import evaluate as E
 
 
@@ -91,6 +91,34 @@ def test_stored_index(spark, tmp_path):
     assert read < 3000 / 5
 
 
+def test_stored_postings(spark, tmp_path):
+    """The blocks give what a full scan gives, from fewer postings; a second batch writes its own bytes, and writing it again changes nothing."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    odds = 1 / np.arange(1, 3001)
+    text = lambda n: " ".join(rng.choice(words, n, p=odds / odds.sum()))
+    rows = [(i, text(rng.integers(1, 60))) for i in range(1500)] + [(1500, ""), (1501, None)]
+    asked = spark.createDataFrame([(q, text(4) + f" w{600 + q} w{900 + q % 50}") for q in range(40)] + [(99, "unknown"), (98, None)], "query_id long, text string")
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(4)
+    path = f"file://{tmp_path}/index"
+    index = bm25index.add(spark, path, chunks.filter("chunk_id < 1000"))
+    size = lambda: sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    first = size()
+    index = bm25index.add(spark, path, chunks.filter("chunk_id >= 1000"), 1)
+    second = size()
+    assert second - first < first
+    index = bm25index.add(spark, path, chunks.filter("chunk_id >= 1000"), 1)
+    assert abs(size() - second) < 0.01 * second
+    pairs = lambda df: {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in df.collect()}
+    for k in (3, 50):
+        assert pairs(bm25index.top_k(index, asked, k)) == pairs(bm25.search(asked, chunks, k))
+    plan = bm25index.planned(index, asked, 3)
+    found = bm25index.candidates(index, plan)
+    read = bm25index.essential_blocks(index, plan).agg(F.sum("n")).first()[0] + bm25index.other_blocks(index, plan, found).agg(F.sum("n")).first()[0]
+    every = bm25.postings(chunks).join(asked.select("query_id", F.explode(F.array_distinct(bm25.tokens(F.col("text")))).alias("term")), "term").count()
+    assert read < 0.7 * every
+
+
 def test_threshold_join(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 16))
