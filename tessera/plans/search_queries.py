@@ -11,6 +11,7 @@ from tessera.functions import scores as S
 from tessera.operators import bm25 as B
 from tessera.operators import bm25index as BI
 from tessera.operators import cells as C
+from tessera.operators import delta as A
 from tessera.operators import embed as M
 from tessera.operators import evaluate as E
 from tessera.operators import expand as X
@@ -75,7 +76,10 @@ put("vec_04_index_rows", _vec_04, "SELECT doc_id AS id, text AS content, doc_id:
 def _vec_05(s, d):
     own = Z.embeddings(s, d).select("id", F.col("label").cast("long").alias("label"))
     new = own.filter("id % 2 = 0").select((F.col("id") + F.when(F.col("id") % 4 == 0, 1_000_000).otherwise(0)).alias("id"), F.lit(-1).cast("long").alias("label"))
-    return V.upsert(own, new.union(new))
+    t = A.Table(s, f"{shared_dir(s)}/{uuid.uuid4().hex}", "id")
+    A.put(t, own, 0)
+    A.put(t, new.union(new), 1)
+    return A.read(t)
 
 
 put("vec_05_upsert", _vec_05, """SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE vec_id % 4 <> 2 UNION ALL SELECT vec_id + CASE WHEN vec_id % 4 = 0 THEN 1000000 ELSE 0 END, -1 FROM embeddings WHERE vec_id % 2 = 0""")

@@ -369,6 +369,18 @@ put("met_02_histogram", lambda s, d: S.histogram(Z.events(s, d), "endpoint", "la
     Z.sql("ev", f"SELECT endpoint, le, count(*) FILTER (latency <= le) AS bucket_count, count(*) AS total_count, round(sum(latency), 6) AS total_sum FROM ev, (VALUES {_LE}) v(le) GROUP BY ALL"))
 put("met_03_quantiles", lambda s, d: S.quantiles(Z.events(s, d), "endpoint", "latency").select("endpoint", r6("p50"), r6("p99")),
     Z.sql("ev", "SELECT endpoint, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.99), 6) AS p99 FROM ev GROUP BY endpoint"))
+
+
+def _met_03_sketched(s, d):
+    """Quantiles from sketches of hours, merged over all time, held against the log: whether each stands within 2 % of the ranks asked for."""
+    logs = Z.events(s, d)
+    told = S.sketched_quantiles(S.merged_sketches(S.quantile_sketches(logs, "endpoint", "latency"), "endpoint"), "endpoint")
+    share = lambda q: F.count_if(F.col("latency") <= F.col(q)) / F.count("*")
+    met = logs.join(F.broadcast(told), "endpoint").groupBy("endpoint").agg(F.count("*").alias("n"), share("p50").alias("a"), share("p99").alias("b"))
+    return met.select("endpoint", "n", (F.abs(F.col("a") - 0.5) <= 0.02).alias("p50_within"), (F.abs(F.col("b") - 0.99) <= 0.02).alias("p99_within"))
+
+
+put("met_03_sketched", _met_03_sketched, Z.sql("ev", "SELECT endpoint, count(*) AS n, true AS p50_within, true AS p99_within FROM ev GROUP BY endpoint"))
 put("met_04_tokens", lambda s, d: S.token_usage(Z.events(s, d)), Z.sql("ev", "SELECT model, 'prompt' AS type, sum(prompt_tokens)::BIGINT AS tokens FROM ev GROUP BY model UNION ALL SELECT model, 'completion', sum(completion_tokens)::BIGINT FROM ev GROUP BY model"))
 put("met_05_cache", lambda s, d: S.cache_hit_rates(Z.events(s, d).withColumnRenamed("endpoint", "cache_type")).withColumn("hit_rate", F.round("hit_rate", 6)),
     Z.sql("ev", "SELECT endpoint AS cache_type, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(avg(hit::INT), 6) AS hit_rate FROM ev GROUP BY 1"))
@@ -391,14 +403,14 @@ def _requests(s, d):
 
 
 #: The limiter in turn: each step of the recursion takes the next request of every client.
-LIMITER = """RECURSIVE ev0 AS (SELECT event_id AS request_id, user_id % 5 AS client, floor(epoch(ts)) AS ts, row_number() OVER (PARTITION BY user_id % 5 ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+LIMITER = """RECURSIVE ev0 AS (SELECT event_id AS request_id, user_id AS client, floor(epoch(ts)) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
 st AS (SELECT DISTINCT client, 0::BIGINT AS n, []::DOUBLE[] AS kept, 0.0::DOUBLE AS ts, 0::BIGINT AS request_id, true AS allowed, 0::BIGINT AS retry_after FROM ev0
-UNION ALL SELECT client, n, CASE WHEN len(k) < 3 THEN list_append(k, ts) ELSE k END, ts, request_id, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE greatest(0, floor(600 - (ts - list_min(k))))::BIGINT END
-FROM (SELECT e.client, e.n, e.ts, e.request_id, list_filter(st.kept, lambda t: t > e.ts - 600) AS k FROM st JOIN ev0 e ON e.client = st.client AND e.n = st.n + 1))"""
-put("lim_01_rate_limit", lambda s, d: S.rate_limit(_requests(s, d).withColumn("client", F.col("client") % 5), most=3, window=600),
+UNION ALL SELECT client, n, CASE WHEN len(k) < 3 THEN list_append(k, ts) ELSE k END, ts, request_id, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE greatest(0, floor(172800 - (ts - list_min(k))))::BIGINT END
+FROM (SELECT e.client, e.n, e.ts, e.request_id, list_filter(st.kept, lambda t: t > e.ts - 172800) AS k FROM st JOIN ev0 e ON e.client = st.client AND e.n = st.n + 1))"""
+put("lim_01_rate_limit", lambda s, d: S.rate_limit(_requests(s, d), most=3, window=172800),
     f"WITH {LIMITER} SELECT client, ts, request_id, allowed, retry_after FROM st WHERE n > 0")
-put("lim_01_sliding", lambda s, d: S.sliding_counts(_requests(s, d).withColumn("client", F.col("client") % 5), 600).select("request_id", "in_window"),
-    Z.sql("ev", "SELECT event_id AS request_id, count(*) OVER (PARTITION BY client % 5 ORDER BY floor(epoch(ts)) RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS in_window FROM ev"))
+put("lim_01_sliding", lambda s, d: S.sliding_counts(_requests(s, d), 172800).select("request_id", "in_window"),
+    Z.sql("ev", "SELECT event_id AS request_id, count(*) OVER (PARTITION BY client ORDER BY floor(epoch(ts)) RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW) AS in_window FROM ev"))
 
 
 def _pip_01(s, d):

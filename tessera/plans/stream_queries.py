@@ -11,6 +11,7 @@ from tessera.operators import bm25 as B
 from tessera.operators import chunk as C
 from tessera.operators import classify as L
 from tessera.operators import context as X
+from tessera.operators import delta as A
 from tessera.operators import embed as M
 from tessera.operators import evaluate as E
 from tessera.operators import metrics as S
@@ -66,10 +67,10 @@ put("str_02_sliding", lambda s, d: finished(T.sliding_requests(_events(s, d)), "
 
 
 def _requests(s, d):
-    return _events(s, d).select((F.col("client") % 5).alias("client"), F.floor(F.unix_timestamp("ts")).cast("double").alias("ts"), F.col("event_id").alias("request_id"))
+    return _events(s, d).select("client", F.floor(F.unix_timestamp("ts")).cast("double").alias("ts"), F.col("event_id").alias("request_id"))
 
 
-put("str_03_rate_limiter", lambda s, d: finished(T.rate_limiter(_requests(s, d), most=3, window=600)), f"WITH {LIMITER} SELECT client, ts, request_id, allowed FROM st WHERE n > 0")
+put("str_03_rate_limiter", lambda s, d: finished(T.rate_limiter(_requests(s, d), most=3, window=172800)), f"WITH {LIMITER} SELECT client, ts, request_id, allowed FROM st WHERE n > 0")
 
 
 def _str_04(s, d):
@@ -77,7 +78,7 @@ def _str_04(s, d):
     docs = stream(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.lit("f.txt").alias("source_file"))
     path = folder(s)
     T.ingest_stream(docs, path, M.hashing_embedder(), f"{path}-state").awaitTermination()
-    found = T.latest(s, path).select("id", F.col("metadata")["document_id"].cast("long").alias("document_id"), F.col("metadata")["chunk_index"].cast("long").alias("chunk_index"), F.length(F.col("metadata")["content"]).cast("long").alias("chars"), F.size("embedding").cast("long").alias("dims"))
+    found = A.read(T.index_table(s, path)).select("id", F.col("metadata")["document_id"].cast("long").alias("document_id"), F.col("metadata")["chunk_index"].cast("long").alias("chunk_index"), F.length(F.col("metadata")["content"]).cast("long").alias("chars"), F.size("embedding").cast("long").alias("dims"))
     return found
 
 

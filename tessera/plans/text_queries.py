@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunk as C
+from tessera.operators import delta as A
 from tessera.operators import embed as E
-from tessera.operators import vectors as V
+from tessera.operators.common import shared_dir
 from tessera.sources import documents as D
 
 from . import frames as Z
@@ -273,7 +276,12 @@ _put(
 def _snk_01(spark, sf_dir):
     own = Z.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("value"), F.lit(0).alias("created_at"))
     new = own.filter("id % 3 = 0").select((F.col("id") * 2).alias("id"), F.lit("new").alias("value"), F.lit(1).alias("created_at"))
-    return V.upsert(own, new).select("id", "value")
+    t = A.Table(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", "id")
+    A.put(t, own, 0)
+    for _ in range(2):  # the batch is run again
+        A.put(t, new, 1, "created_at")
+    A.fold(t)
+    return A.read(t).select("id", "value")
 
 
 _put(

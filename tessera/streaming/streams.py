@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import cache as C
 from tessera.operators import memory as M
+from tessera.operators import delta
 from tessera.operators import metrics as S
 from tessera.operators import route as R
-from tessera.operators.common import merge
 from tessera.operators.embed import Embedder
 from tessera.plans.pipelines import ingest
 
@@ -31,33 +32,41 @@ def sliding_requests(events: DataFrame, width: str = "60 seconds", step: str = "
     return own.select(F.col("window.start").alias("start"), "client", "requests")
 
 
-def rate_limiter(requests: DataFrame, most: int = 100, window: int = 60) -> DataFrame:
+def rate_limiter(requests: DataFrame, most: int = 100, window: int = 60, late: str = "10 minutes") -> DataFrame:
     """(client, ts, request_id, allowed): the state of a client is the times of its allowed requests of the last `window` seconds, `most` at the most.
-    Rows of a micro-batch are taken in order of time."""
+
+    Rows of a micro-batch are taken in order of time. Once the watermark, `late` behind the latest request, has passed a client's last request by the window,
+    nothing that it did counts any more and its state is dropped. Requests older than the watermark are dropped undecided.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
         allowed = []
         for ts in rows["ts"]:
-            kept = [t for t in kept if t > ts - window]
+            while kept and kept[0] <= ts - window:
+                kept.popleft()
             allowed.append(len(kept) < most)
             if allowed[-1]:
                 kept.append(float(ts))
-        state.update((kept,))
+        state.update((list(kept),))
+        passed = int(1000 * (float(rows["ts"].iloc[-1]) + window))
+        state.setTimeoutTimestamp(max(passed, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "ts": rows["ts"], "request_id": rows["request_id"], "allowed": allowed})
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client long, ts double, request_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    own = requests.select("client", "ts", "request_id", F.timestamp_millis((F.col("ts") * 1000).cast("long")).alias("at")).withWatermark("at", late)
+    return own.groupBy("client").applyInPandasWithState(step, "client long, ts double, request_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_versions(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each micro-batch gives a whole snapshot in a folder of its own, and a batch that is run again writes the same folder."""
+def upserts(table: delta.Table) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: a micro-batch writes its own rows to the table, and a batch that is run again writes the same; the table is folded as it grows."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, path) if v < number]
-        base = spark.read.parquet(f"{path}/v={max(before)}") if before else batch.limit(0)
-        merge(base, batch, key).write.mode("overwrite").parquet(f"{path}/v={number}")
+        delta.put(table, batch, number)
+        delta.fold(table)
 
     return put
 
@@ -77,9 +86,14 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={max(versions(spark, path))}")
 
 
+def index_table(spark: SparkSession, path: str) -> delta.Table:
+    """The table of index rows (id, embedding, metadata) under path."""
+    return delta.Table(spark, f"{path}/index", "id")
+
+
 def ingest_stream(docs: DataFrame, path: str, embedder: Embedder, checkpoint: str, **trigger):
-    """Start a stream that validates, cleans, chunks and embeds new documents (document_id, text, source_file) and upserts them into the snapshots under path."""
-    sink = write_versions(path, "id")
+    """Start a stream that validates, cleans, chunks and embeds new documents (document_id, text, source_file) and upserts them into index_table(path)."""
+    sink = upserts(index_table(docs.sparkSession, path))
 
     def each(batch: DataFrame, number: int) -> None:
         sink(ingest(batch, embedder)[1], number)

@@ -1,8 +1,10 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import embed, memory
+from tessera.operators import delta, embed, memory
 from tessera.streaming import streams as S
 
 
@@ -20,7 +22,7 @@ def source(spark, df, path, files=1):
 def test_rate_limiter_equals_batch(spark, tmp_path):
     from tessera.operators import metrics
 
-    rows = [(i % 2, float(i * 7 % 300), i) for i in range(100)]
+    rows = [(i % 2, 1e6 + i * 7 % 300, i) for i in range(100)]
     df = spark.createDataFrame(rows, "client long, ts double, request_id long")
     run(S.rate_limiter(source(spark, df, str(tmp_path / "r")), 4, 60), "limited")
     got = {r.request_id: r.allowed for r in spark.table("limited").collect()}
@@ -38,6 +40,23 @@ def test_history_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_limiter_forgets_idle_clients(spark, tmp_path):
+    """Batches far apart in time: state rows fall once the watermark has passed, and decisions are those of the batch form."""
+    from tessera.operators import metrics
+
+    path, rows = str(tmp_path / "idle"), []
+    for k in range(4):
+        some = [(c, 1e6 + 1000.0 * k + i, 1000 * k + 10 * c + i) for c in range(5 if k < 2 else 1) for i in range(4)]
+        spark.createDataFrame(some, "client long, ts double, request_id long").coalesce(1).write.mode("append").parquet(path)
+        rows += some
+    stream = spark.readStream.schema("client long, ts double, request_id long").option("maxFilesPerTrigger", 1).parquet(path)
+    q = run(S.rate_limiter(stream, 3, 60), "idle")
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert max(held) == 5 and held[-1] <= 1
+    got = {r.request_id: r.allowed for r in spark.table("idle").collect()}
+    assert got == {r.request_id: r.allowed for r in metrics.rate_limit(spark.createDataFrame(rows, "client long, ts double, request_id long"), 3, 60).collect()}
+
+
 def test_windows_and_duplicates(spark, tmp_path):
     rows = [(i, "a" if i % 2 else "b", i % 3, 0.1 * (i % 7), f"Q{i % 4} ") for i in range(200)]
     df = spark.createDataFrame(rows, "s long, endpoint string, client long, latency double, text string").withColumn("ts", F.timestamp_seconds("s"))
@@ -58,9 +77,49 @@ def test_ingest_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "index")
     q = S.ingest_stream(source(spark, df, str(tmp_path / "d")), path, embed.hashing_embedder(8), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    first = S.latest(spark, path).count()
-    S.write_versions(path, "id")(S.latest(spark, path), S.versions(spark, path)[-1] + 1)
-    assert first == 1 and S.latest(spark, path).count() == 1
+    table = S.index_table(spark, path)
+    rows = delta.read(table)
+    assert rows.count() == 1
+    S.upserts(table)(rows, 7)
+    S.upserts(table)(rows, 7)
+    assert delta.read(table).count() == 1
+
+
+def test_delta_table(spark, tmp_path):
+    """A batch writes in proportion to itself, a rerun changes nothing, deletes hold, and folding leaves the rows as they were."""
+    t = delta.Table(spark, f"{tmp_path}/t", "id", 4)
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "t").rglob("*.parquet"))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, value string, at long")
+    rng = random.Random(1)
+    want = {}
+
+    def batch(number, rows, deleted=None):
+        delta.put(t, frame(rows), number, "at", F.col("value") == "gone" if deleted else None)
+
+    first = [(i, "".join(rng.choices("abcdef", k=40)), 0) for i in range(4000)]
+    batch(0, first)
+    want |= {i: v for i, v, _ in first}
+    assert delta.fold(t) and {r.id: r.value for r in delta.read(t).collect()} == want
+    base = size()
+    second = [(i, f"new{i}", 1) for i in range(3990, 4010)] + [(5, "older", 1), (5, "newest", 2), (6, "gone", 1)]
+    for _ in range(2):
+        batch(1, second, True)
+    assert size() - base < base / 10
+    want |= {i: f"new{i}" for i in range(3990, 4010)} | {5: "newest"}
+    want.pop(6)
+    got = lambda: {r.id: r.value for r in delta.read(t).collect()}
+    assert got() == want and not delta.fold(t)
+    batch(2, [(6, "back", 3), (5, "gone", 3)], True)
+    want |= {6: "back"}
+    want.pop(5)
+    assert got() == want
+    assert {r.id: r.value for r in delta.read(t, [6, 7, 5]).collect()} == {6: "back", 7: want[7]}
+    assert "PartitionFilters: [_bucket" in delta.read(t, [7])._jdf.queryExecution().toString() or "_bucket" in delta.read(t, [7])._jdf.queryExecution().toString()
+    assert delta.fold(t, 0.001) and got() == want
+    batch(1, [(1, "late rerun", 9)])
+    assert got() == want
+    with pytest.raises(ValueError):
+        delta.read(delta.Table(spark, f"{tmp_path}/none", "id"))
 
 
 def test_adaptive_batches(spark, tmp_path):
