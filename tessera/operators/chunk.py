@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,25 +84,39 @@ def _split_after(separator: str, size: int) -> Callable[[Column], Column]:
     return lambda p: F.when(T.token_count(p) <= size, F.array(p)).otherwise(F.split(p, after))
 
 
+def packed(counts: Sequence[int], lengths: Sequence[int], size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first piece, piece after the last, characters before) of each chunk of pieces with these token counts and lengths: as many as `size` tokens hold, one at least,
+    each chunk starting with the last pieces of the one before up to `overlap` tokens. Ends are found in the running sums, so a text takes time by its pieces and chunks."""
+    n, upto, chars = len(counts), np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(lengths)])
+    out, i, j = [], 0, 0
+    while j < n:
+        j = max(j, int(np.searchsorted(upto, upto[i] + size, side="right")) - 1)
+        if j >= n:
+            break
+        if j > i:
+            out.append((i, j, int(chars[i])))
+        room = min(overlap, size - counts[j])
+        i = max(i, int(np.searchsorted(upto, upto[j] - room, side="left"))) if room >= 0 else j
+        j += 1
+    return out + [(i, n, int(chars[i]))] * (n > i)
+
+
 def by_separators(df: DataFrame, separators: list[str] = RECURSIVE, text: str = "text", size: int = 512, overlap: int = 50, size_multiplier: int = 1) -> DataFrame:
     """Split by the coarsest separator that gives pieces of at most `size` tokens, then pack pieces up to it, starting each chunk with the last pieces
-    of the one before, up to `overlap` tokens."""
+    of the one before, up to `overlap` tokens. Pieces' counts alone reach Python."""
     size, overlap = size * size_multiplier, overlap * size_multiplier
+
+    @F.pandas_udf("array<struct<a: int, b: int, at: int>>")
+    def spans(counts: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else packed(c, n, size, overlap) for c, n in zip(counts, lengths, strict=True)])
+
     own = df.withColumn("_p", F.array(F.col(text)))
     for sep in separators:
         own = own.withColumn("_p", F.flatten(F.transform("_p", _split_after(sep, size))))
-    own = own.withColumn("_q", F.transform(F.filter("_p", lambda p: p != ""), lambda p: F.struct(p.alias("s"), T.token_count(p).cast("int").alias("n"))))
-    tokens = "aggregate({0}, 0, (t, x) -> t + x.n)"
-    packed = f"""
-    aggregate(_q, named_struct('done', cast(array() AS array<struct<content: string, start_char: int>>), 'cur', cast(array() AS array<struct<s: string, n: int>>), 'at', 0),
-      (a, p) -> CASE WHEN {tokens.format('a.cur')} + p.n <= {size} THEN named_struct('done', a.done, 'cur', concat(a.cur, array(p)), 'at', a.at)
-        ELSE transform(array(filter(a.cur, (x, i) -> {tokens.format('slice(a.cur, i + 1, size(a.cur))')} <= least({overlap}, {size} - p.n))), tail -> named_struct(
-          'done', concat(a.done, array(named_struct('content', array_join(transform(a.cur, x -> x.s), ''), 'start_char', a.at))),
-          'cur', concat(tail, array(p)),
-          'at', a.at + length(array_join(transform(slice(a.cur, 1, size(a.cur) - size(tail)), x -> x.s), ''))))[0] END,
-      a -> concat(a.done, array(named_struct('content', array_join(transform(a.cur, x -> x.s), ''), 'start_char', a.at))))"""
-    trimmed = F.transform(F.expr(packed), lambda c: F.struct(F.regexp_replace(c["content"], r"\s+$", "").alias("content"), c["start_char"].alias("start_char")))
-    return finish(own.withColumn("chunks", trimmed))
+    own = own.withColumn("_p", F.filter("_p", lambda p: p != ""))
+    own = own.withColumn("_s", spans(F.transform("_p", lambda p: T.token_count(p).cast("int")), F.transform("_p", F.length)))
+    cut = F.transform("_s", lambda x: F.struct(F.regexp_replace(F.array_join(F.slice("_p", x["a"] + 1, x["b"] - x["a"]), ""), r"\s+$", "").alias("content"), x["at"].alias("start_char")))
+    return finish(own.withColumn("chunks", cut))
 
 
 def sentence(df: DataFrame, **options) -> DataFrame:

@@ -119,6 +119,27 @@ SELECT {_ID} AS chunk_id, document_id, content, start_char::BIGINT AS start_char
   count(*) OVER (PARTITION BY document_id) AS total_chunks, len(regexp_extract_all(content, '\S+'))::BIGINT AS token_count FROM c"""
 
 
+def _separated_sql(separators: list[str], size: int, overlap: int) -> str:
+    """Pieces by separator after separator, then the chunks in turn: each step of the recursion ends one chunk."""
+    tok = lambda x: rf"len(regexp_extract_all({x}, '\S+'))"
+    quoted = [" || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in sep) for sep in separators]
+    cuts = "".join(f""", p{k + 1} AS (SELECT document_id, flatten(list_transform(p, lambda x: CASE WHEN {tok('x')} <= {size} THEN [x] ELSE
+list_transform(string_split(x, {sep}), lambda y, i: CASE WHEN i < len(string_split(x, {sep})) THEN y || {sep} ELSE y END) END)) AS p FROM p{k})""" for k, sep in enumerate(quoted))
+    return rf"""
+WITH RECURSIVE p0 AS (SELECT doc_id AS document_id, [text] AS p FROM documents WHERE text IS NOT NULL){cuts},
+q AS (SELECT document_id, list_filter(p, lambda x: x <> '') AS p FROM p{len(separators)}),
+n AS (SELECT document_id, p, len(p) AS m, list_transform(p, lambda x: {tok('x')}) AS t FROM q WHERE len(p) > 0),
+u AS (SELECT *, list_transform(range(0, m + 1), lambda k: coalesce(list_sum(t[1:k]), 0)::BIGINT) AS upto FROM n),
+r AS (SELECT document_id, 0::BIGINT AS i, 0::BIGINT AS j, NULL::BIGINT AS a, NULL::BIGINT AS b, false AS over FROM u
+UNION ALL SELECT document_id, CASE WHEN e >= m THEN i WHEN room < 0 THEN e ELSE greatest(i, list_position(list_transform(upto, lambda x: x >= upto[e + 1] - room), true) - 1) END, e + 1, i, least(e, m), e >= m
+FROM (SELECT *, CASE WHEN e < m THEN least({overlap}, {size} - t[e + 1]) END AS room
+FROM (SELECT r.document_id, i, m, t, upto, CASE WHEN j >= m THEN m ELSE greatest(j, len(list_filter(upto, lambda x: x <= upto[i + 1] + {size})) - 1) END AS e FROM r JOIN u USING (document_id) WHERE NOT over))),
+c AS (SELECT document_id, regexp_replace(array_to_string(p[a + 1 : b], ''), '\s+$', '') AS content, length(array_to_string(p[1:a], '')) AS start_char, a, b FROM r JOIN u USING (document_id) WHERE b > a),
+d AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY a, b) - 1 AS i FROM c WHERE {_strip('content')} <> '')
+SELECT {_ID} AS chunk_id, document_id, content, start_char::BIGINT AS start_char, (start_char + length(content))::BIGINT AS end_char, i AS chunk_index,
+  count(*) OVER (PARTITION BY document_id) AS total_chunks, {tok('content')}::BIGINT AS token_count FROM d"""
+
+
 def _put(name, f, sql=None):
     QUERIES[name] = f
     if sql:
@@ -126,8 +147,8 @@ def _put(name, f, sql=None):
 
 
 _put("chk_01_fixed", lambda s, d: C.fixed(_docs(s, d), size=128, overlap=16), _fixed_sql(128, 16))
-_put("chk_02_recursive", lambda s, d: C.by_separators(_docs(s, d), size=128, overlap=16))
-_put("chk_03_sentence", lambda s, d: C.sentence(_docs(s, d), size=128, overlap=16))
+_put("chk_02_recursive", lambda s, d: C.by_separators(_docs(s, d), size=128, overlap=16), _separated_sql(C.RECURSIVE, 128, 16))
+_put("chk_03_sentence", lambda s, d: C.sentence(_docs(s, d), size=128, overlap=16), _separated_sql(C.SENTENCE, 128, 16))
 _put("chk_04_semantic", lambda s, d: C.semantic(_docs(s, d), size=512, overlap=50, model_max_tokens=256), _fixed_sql(256, 50))
 _put(
     "chk_05_page", lambda s, d: C.pages(_docs(s, d), separator="\n", cleaned=lambda c: T.strip(T.normalize_whitespace(c))),

@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -59,3 +62,29 @@ def test_own_tokenizer_and_large_overlap(spark):
     assert by_char[0].content == text[:10].rstrip() and all(len(r.content) <= 10 for r in by_char)
     rows = C.fixed(docs, size=10, overlap=8).orderBy("chunk_index").collect()
     assert [r.content.split()[0] for r in rows] == [f"w{i}" for i in range(0, 91, 2)] and rows[-1].content.endswith("w99")
+
+
+def test_packing_against_the_rule_in_turn():
+    """Ends by running sums against adding piece after piece."""
+    rng = random.Random(3)
+    for _ in range(500):
+        counts = [rng.choice([0, 1, 2, 3, 9, 14]) for _ in range(rng.randrange(30))]
+        size, overlap = rng.randrange(1, 13), rng.randrange(0, 6)
+        want, cur = [], []
+        for k, n in enumerate(counts):
+            if sum(counts[x] for x in cur) + n > size:
+                if cur:
+                    want.append((cur[0], cur[-1] + 1))
+                room = min(overlap, size - n)
+                cur = [x for i, x in enumerate(cur) if sum(counts[y] for y in cur[i:]) <= room]
+            cur.append(k)
+        want += [(cur[0], cur[-1] + 1)] if cur else []
+        got = C.packed(counts, [2] * len(counts), size, overlap)
+        assert [x[:2] for x in got] == want and [x[2] for x in got] == [2 * a for a, _ in want]
+
+
+def test_a_long_text_is_chunked_in_seconds(spark):
+    text = " ".join(f"word{k}." if k % 9 == 0 else f"word{k}" for k in range(1_000_000))
+    start = time.time()
+    n, most = C.by_separators(spark.createDataFrame([(1, text)], "document_id long, text string"), size=128, overlap=16).agg(F.count("*"), F.max("token_count")).first()
+    assert n > 5000 and most <= 128 and time.time() - start < 120
