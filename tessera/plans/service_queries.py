@@ -212,14 +212,14 @@ put("rte_04_cost", lambda s, d: _costed(s, d).select("query_id", F.round("cost",
 put("rte_05_stats", lambda s, d: R.stats(_costed(s, d)).select("total_queries", "tier1_queries", "tier2_queries", "tier3_queries", "fallbacks", r6("total_cost"), r6("savings"), r6("tier1_ratio"), r6("tier3_gap")),
     f"""WITH {_T2} SELECT count(*) AS total_queries, count(*) FILTER (now_ = 'tier_1') AS tier1_queries, 0::BIGINT AS tier2_queries, count(*) FILTER (now_ = 'tier_3') AS tier3_queries, count(*) FILTER (was = 'tier_2') AS fallbacks, round(sum({_COST}), 6) AS total_cost,
     round(sum((len(regexp_extract_all(text, '\\S+')) * 1.3::DOUBLE + 500) / 1000 * 0.03::DOUBLE) - sum({_COST}), 6) AS savings, round((count(*) FILTER (now_ = 'tier_1'))::DOUBLE / count(*), 6) AS tier1_ratio, round((count(*) FILTER (now_ = 'tier_3'))::DOUBLE / count(*) - 0.05::DOUBLE, 6) AS tier3_gap FROM aw""")
-_ADAPT = f"""RECURSIVE {_CL}, cq AS (SELECT query_id, category IN ('out_of_scope', 'faq') AS fixed, complexity AS c, confidence < 0.6::DOUBLE AS bump, (row_number() OVER (ORDER BY query_id) - 1) // 20 AS block FROM cl),
+ADAPT = f"""RECURSIVE {_CL}, cq AS (SELECT query_id, category IN ('out_of_scope', 'faq') AS fixed, complexity AS c, confidence < 0.6::DOUBLE AS bump, (row_number() OVER (ORDER BY query_id) - 1) // 20 AS block FROM cl),
 bl AS (SELECT block, list({{'c': c, 'fixed': fixed, 'bump': bump}}) AS h FROM cq GROUP BY block),
 st AS (SELECT 0::BIGINT AS block, 0.4::DOUBLE AS t1, 0.75::DOUBLE AS t2, 0::BIGINT AS n1, 0::BIGINT AS n3, 0::BIGINT AS n UNION ALL
 SELECT block + 1, t, CASE WHEN m < 20 THEN t2 WHEN n3 / n::DOUBLE > 0.05::DOUBLE + 0.02::DOUBLE THEN least(0.9::DOUBLE, t2 + 0.03::DOUBLE) WHEN n3 / n::DOUBLE < 0.05::DOUBLE - 0.02::DOUBLE THEN greatest(t + 0.1::DOUBLE, t2 - 0.03::DOUBLE) ELSE t2 END, n1, n3, n
 FROM (SELECT *, CASE WHEN m < 20 THEN t1 WHEN n1 / n::DOUBLE < 0.7::DOUBLE - 0.05::DOUBLE THEN least(0.6::DOUBLE, t1 + 0.03::DOUBLE) WHEN n1 / n::DOUBLE > 0.7::DOUBLE + 0.05::DOUBLE THEN greatest(0.2::DOUBLE, t1 - 0.03::DOUBLE) ELSE t1 END AS t
 FROM (SELECT st.block, t1, t2, n1 + len(list_filter(h, lambda x: x.fixed OR (x.c <= t1 AND NOT x.bump))) AS n1, n3 + len(list_filter(h, lambda x: NOT x.fixed AND (x.c > t2 OR (x.bump AND x.c > t1)))) AS n3, n + len(h) AS n, len(h) AS m FROM st JOIN bl USING (block))))"""
 put("rte_06_adaptive", lambda s, d: R.adaptive(_classified(s, d), ["query_id"], every=20).select("query_id", "block", r6("tier1_max"), r6("tier2_max"), "tier"),
-    f"WITH {_ADAPT} SELECT query_id, block, round(t1, 6) AS tier1_max, round(t2, 6) AS tier2_max, CASE WHEN fixed THEN 'tier_1' WHEN bump THEN CASE WHEN c <= t1 THEN 'tier_2' ELSE 'tier_3' END WHEN c <= t1 THEN 'tier_1' WHEN c <= t2 THEN 'tier_2' ELSE 'tier_3' END AS tier FROM cq JOIN st USING (block)")
+    f"WITH {ADAPT} SELECT query_id, block, round(t1, 6) AS tier1_max, round(t2, 6) AS tier2_max, CASE WHEN fixed THEN 'tier_1' WHEN bump THEN CASE WHEN c <= t1 THEN 'tier_2' ELSE 'tier_3' END WHEN c <= t1 THEN 'tier_1' WHEN c <= t2 THEN 'tier_2' ELSE 'tier_3' END AS tier FROM cq JOIN st USING (block)")
 
 # --- embedding jobs and caches
 put("emb_02_hashing", lambda s, d: E.hashing_embedder()(Z.chunks(s, d)).select("content", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding")))

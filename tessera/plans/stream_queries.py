@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.operators import bm25 as B
 from tessera.operators import chunk as C
@@ -16,12 +22,12 @@ from tessera.operators import embed as M
 from tessera.operators import evaluate as E
 from tessera.operators import metrics as S
 from tessera.operators import rerank as K
-from tessera.operators.common import shared_dir
+from tessera.operators.common import cut, shared_dir
 from tessera.sources import documents as D
 from tessera.streaming import streams as T
 
 from . import frames as Z
-from .service_queries import LIMITER, _classified
+from .service_queries import ADAPT, LIMITER, _classified
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -102,17 +108,18 @@ put("str_06_history", _str_06, "SELECT conv_id AS conversation_id, turn, CASE WH
 
 
 def _str_07(s, d):
-    """Queries go through a stream of one batch, routed by the first cuts; the cuts that it leaves stand beside."""
-    path = folder(s)
-    source = folder(s)
-    _classified(s, d).select("query_id", "category", "confidence", "complexity").write.parquet(source)
-    rows = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
-    rows.writeStream.foreachBatch(T.adaptive_routing(path)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    cuts = T.latest(s, f"{path}/cuts").select(F.round("t1", 6).alias("t1"), F.round("t2", 6).alias("t2"))
-    return T.latest(s, f"{path}/routed").groupBy("tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(cuts))
+    """Queries come in eight batches, by conversation; each is routed by the cuts that the one before left. The cuts after each batch and what has gone to the tiers so far."""
+    path, source = folder(s), folder(s)
+    rows = cut(_classified(s, d).select("query_id", "category", "confidence", "complexity", (F.floor(F.col("query_id") / 1000) % 8).alias("batch")))
+    for b in range(8):  # a stream takes files by their time
+        rows.filter(F.col("batch") == b).coalesce(1).write.mode("append").parquet(source)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream.writeStream.foreachBatch(T.adaptive_routing(path)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/cuts").select(F.col("v").cast("long").alias("batch"), F.round("t1", 6).alias("t1"), F.round("t2", 6).alias("t2"), "n", "n1", "n3")
 
 
-put("str_07_adaptive", _str_07)
+_REPLAY = ADAPT.replace("(row_number() OVER (ORDER BY query_id) - 1) // 20 AS block", "query_id // 1000 % 8 AS block").replace("m < 20", "m < 1")
+put("str_07_adaptive", _str_07, f"WITH {_REPLAY} SELECT block - 1 AS batch, round(t1, 6) AS t1, round(t2, 6) AS t2, n, n1, n3 FROM st WHERE block > 0")
 
 
 def _query_events(events):
@@ -136,18 +143,32 @@ put("udf_01_tokenizer", lambda s, d: B.postings(Z.chunks(s, d), tokenizer=_lette
 
 
 def _lengths(df: DataFrame) -> DataFrame:
-    """An embedder of two numbers: characters and words."""
-    return df.select("content", F.array(F.length("content").cast("float"), F.size(F.regexp_extract_all("content", F.lit(r"\S+"), F.lit(0))).cast("float")).alias("embedding"))
+    """An embedder of two numbers, characters and words, that gets Arrow batches; its pattern, as a model would be, is loaded once for a task."""
+
+    def run(batches):
+        words = re.compile(r"\S+", re.ASCII)
+        for batch in batches:
+            texts = batch.column("content").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([[float(len(t)), float(len(words.findall(t)))] for t in texts], pa.list_(pa.float32()))], ["content", "embedding"])
+
+    return df.select("content").mapInArrow(run, "content string, embedding array<float>")
 
 
 put("udf_02_embedder", lambda s, d: M.embed(Z.chunks(s, d), _lengths)[0].select("chunk_id", F.get("embedding", 0).cast("long").alias("chars"), F.get("embedding", 1).cast("long").alias("words")),
     r"SELECT doc_id AS chunk_id, length(text) AS chars, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents")
 
 
+@F.pandas_udf(DoubleType())
+def _far(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A pair scorer over batches of pairs; what it needs is loaded once, before the first."""
+    number = np.int64
+    for a, b in pairs:
+        yield -(a.astype(number) - b.astype(number)).abs().astype(float)
+
+
 def _udf_03(s, d):
     hits = Z.vector_hits(s, d, 20).withColumns({"query": F.col("query_id").cast("string"), "content": F.col("chunk_id").cast("string")})
-    far = lambda a, b: -F.abs(a.cast("long") - b.cast("long"))
-    return K.rerank(hits, k=5, scorer=far).select("query_id", "chunk_id", "rerank_score", "original_rank", "new_rank")
+    return K.rerank(hits, k=5, scorer=_far).select("query_id", "chunk_id", "rerank_score", "original_rank", "new_rank")
 
 
 put("udf_03_reranker", _udf_03, Z.sql("hv", "SELECT query_id, chunk_id, -abs(query_id - chunk_id)::DOUBLE AS rerank_score, rank AS original_rank, row_number() OVER (PARTITION BY query_id ORDER BY -abs(query_id - chunk_id) DESC, rank) AS new_rank FROM hv WHERE rank <= 20 QUALIFY new_rank <= 5"))
