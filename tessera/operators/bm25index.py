@@ -18,7 +18,7 @@ from .bm25 import B, K1, tokens, weighted
 from .common import cut, in_order, small, topk
 
 #: Chunk numbers of a segment, as bits, and best postings of a term that are kept apart.
-SEGMENT_BITS, CHAMPIONS = 5, 32
+SEGMENT_BITS, CHAMPIONS = 8, 32
 #: Scores count at nine digits; a bound may be this much short.
 SLACK = 1e-8
 

@@ -91,8 +91,9 @@ def test_stored_index(spark, tmp_path):
     assert read < 3000 / 5
 
 
-def test_stored_postings(spark, tmp_path):
+def test_stored_postings(spark, tmp_path, monkeypatch):
     """The blocks give what a full scan gives, from fewer postings; a second batch writes its own bytes, and writing it again changes nothing."""
+    monkeypatch.setattr(bm25index, "SEGMENT_BITS", 4)
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(3000)]
     odds = 1 / np.arange(1, 3001)
