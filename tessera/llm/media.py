@@ -371,8 +371,8 @@ def shots(counts: np.ndarray, reach: int = 4, factor: float = 1.5, floor: float
     return [0, *(np.flatnonzero((diff > mean + factor * spread) & (diff > floor)) + 1).tolist()]
 
 
-def to_avi(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, media): each text's UTF-8 bytes as an AVI file; a null text counts as empty."""
+def _writing(key: str):
+    """From batches (key, text) to batches (key, n_bytes, media), in steps of bounded bytes."""
 
     def write(batches):
         for batch in batches:
@@ -382,8 +382,22 @@ def to_avi(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFram
                 media = [encode_avi(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(np.diff(at)), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
 
-    own = df.select(F.col(key).cast("long"), F.col(column).cast("string").alias("text"))
-    return own.mapInArrow(write, f"{key} long, n_bytes long, media binary")
+    return write
+
+
+def _texts(df: DataFrame, column: str, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long"), F.col(column).cast("string").alias("text"))
+
+
+def to_avi(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_bytes, media): each text's UTF-8 bytes as an AVI file; a null text counts as empty."""
+    return _texts(df, column, key).mapInArrow(_writing(key), f"{key} long, n_bytes long, media binary")
+
+
+def through_avi(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
+    """read_avi of to_avi, with each step's files read back in the task that wrote them."""
+    write, (read, schema) = _writing(key), _reading(key)
+    return _texts(df, column, key).mapInArrow(lambda batches: read(write(batches)), schema)
 
 
 #: What reading a damaged file raises.
@@ -395,7 +409,12 @@ def read_avi(df: DataFrame, key: str = "doc_id") -> DataFrame:
     (key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips array<struct<start_s, end_s>>).
 
     A file of another encoder has frames and clips, but no payload. A null or damaged one has no frames and no clips (frames 0), a null one no size and digest either.
-    Frames without tables of their own and progressive ones count as damaged."""
+    Progressive frames count as damaged."""
+    return df.mapInArrow(*_reading(key))
+
+
+def _reading(key: str):
+    """(from batches (key, n_bytes, media) to those of read_avi, their schema)."""
     schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips array<struct<start_s: double, end_s: double>>"
     clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), clip]
@@ -417,7 +436,7 @@ def read_avi(df: DataFrame, key: str = "doc_id") -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return df.mapInArrow(read, schema)
+    return read, schema
 
 
 def _contents(media: bytes | None, basis: np.ndarray) -> tuple[bytes, np.ndarray, int]:
@@ -451,7 +470,7 @@ def op8_media(spark, sf_dir):
         F.lit("frames="), F.col("frames"), F.lit(";clips="),
         F.concat_ws(",", F.transform("clips", lambda c: F.concat(F.format_string("%.2f", c["start_s"]), F.lit("-"), F.format_string("%.2f", c["end_s"])))),
     )
-    read = read_avi(to_avi(documents(spark, sf_dir)))
+    read = through_avi(documents(spark, sf_dir))
     return read.withColumn("feature", feature).drop("clips", "frames")
 
 
