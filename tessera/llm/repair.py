@@ -281,4 +281,39 @@ def op11_repair(spark, sf_dir):
     return _by_id([repair(damage(rows)), rows.select("conv_id").distinct()])
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in DuckDB SQL: a fold over its bytes of eight shifts each."""
+    shift = "list_reduce(list_concat([xor(z, y)], list_transform(range(8), lambda i: 0::UBIGINT)), lambda u, w: xor(u >> 1, 3988292384::UBIGINT * (u & 1)))"
+    data = f"list_transform(list_filter(string_split({text}, ''), lambda s: s <> ''), lambda s: ascii(s)::UBIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {data}), lambda z, y: {shift}), 4294967295::UBIGINT)"
+
+
+_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+ORACLE = {
+    "op11_repair": f"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(_KEY)} % 20 AS h FROM conversations),
+y AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM x WHERE h <> 0),
+z AS (SELECT *, coalesce(conv_id::VARCHAR, '-') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, count(*) OVER (PARTITION BY conv_id) AS n, regexp_replace(text, '[ \\t\\n\\v\\f\\r]+$', '') AS bare FROM y),
+f AS (SELECT *, CASE WHEN bare = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 3 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault,
+  CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM z),
+b AS (SELECT DISTINCT c, n + 1 AS k, [0, 4, 2, 0] AS v FROM f UNION ALL
+SELECT c, k, [least(r0, 2 + r2, 4 + r3), least(r1, 2 + r2, 4 + r3), least(r2, 2 + r3), least(r3, 2 + r2)] FROM (SELECT f.c, f.k,
+  least(3 + v[1], CASE WHEN fault < 2 THEN least(2 + fault + v[3], CASE r WHEN 0 THEN fault + v[2] WHEN 1 THEN fault + v[3] ELSE 1000000000 END) ELSE 1000000000 END) AS r0,
+  least(3 + v[2], CASE WHEN fault < 2 THEN fault + v[3] + CASE r WHEN 1 THEN 0 ELSE 2 END ELSE 1000000000 END) AS r1,
+  least(3 + v[3], CASE WHEN fault < 2 THEN fault + v[4] + CASE r WHEN 2 THEN 0 ELSE 2 END ELSE 1000000000 END) AS r2,
+  least(3 + v[4], CASE WHEN fault < 2 THEN fault + v[3] + CASE r WHEN 1 THEN 0 ELSE 2 END ELSE 1000000000 END) AS r3 FROM b JOIN f ON f.c = b.c AND f.k = b.k - 1)),
+m AS (SELECT f.c, f.k, f.n, f.fault, f.r, f.role, f.text, p.v, q.v AS w FROM f JOIN b p ON p.c = f.c AND p.k = f.k JOIN b q ON q.c = f.c AND q.k = f.k + 1
+  UNION ALL SELECT DISTINCT f.c, f.n + 1, f.n, 2, 3, '', '', [0, 4, 2, 0], [1000000000, 1000000000, 1000000000, 1000000000] FROM f),
+t AS (SELECT DISTINCT c, 1::BIGINT AS k, 0 AS s, '' AS audit, []::VARCHAR[] AS said FROM f UNION ALL
+SELECT c, CASE e WHEN 'I' THEN k ELSE k + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE next END, audit || e,
+  CASE e WHEN 'D' THEN said WHEN 'I' THEN list_append(said, fresh || ':') WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, fresh || ':' || text) END
+FROM (SELECT *, CASE WHEN 3 + w[s + 1] = v[s + 1] THEN 'D' WHEN 2 + v[next + 1] = v[s + 1] THEN 'I' WHEN fault < 2 AND kept IS NOT NULL AND fault + w[kept + 1] = v[s + 1] THEN 'K' ELSE 'R' END AS e
+FROM (SELECT t.c, t.k, s, audit, said, n, fault, role, text, v, w, CASE s WHEN 2 THEN 3 ELSE 2 END AS next, CASE s WHEN 2 THEN 'assistant' ELSE 'user' END AS fresh,
+  CASE WHEN r = 0 AND s = 0 THEN 1 WHEN r = 1 AND s <> 2 THEN 2 WHEN r = 2 AND s = 2 THEN 3 END AS kept FROM t JOIN m ON m.c = t.c AND m.k = t.k WHERE t.k <= n OR s IN (1, 2)))),
+o AS (SELECT t.c, audit, said FROM t JOIN (SELECT DISTINCT c, n FROM f) USING (c) WHERE k = n + 1 AND s IN (0, 3)),
+g AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.v[1], 0)::BIGINT AS cost, coalesce(o.audit, '') AS audit, sha256(coalesce(array_to_string(o.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '-') AS c FROM conversations) i LEFT JOIN g ON g.c = i.c LEFT JOIN b ON b.c = i.c AND b.k = 1 LEFT JOIN o ON o.c = i.c""",
+}
 QUERIES = {"op11_repair": op11_repair}

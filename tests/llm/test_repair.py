@@ -6,6 +6,7 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
 import pytest
 
 from tessera.llm import repair as R
@@ -150,3 +151,13 @@ def test_query_on_table(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
     assert R.op11_repair(spark, str(tmp_path)).count() == 0
+
+
+def test_sql_twin(spark, tmp_path):
+    rows = [*conversations(11, 60, 9), (None, None, None, None), (None, 2, "user", "a."), (70, None, "user", "x."), (70, None, "assistant", "y.")]
+    spark.createDataFrame(rows, SCHEMA).repartition(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    keep, twin = damaged(rows), duckdb.connect()
+    twin.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    got = {r[0]: dict(zip(names, r[1:], strict=True)) for r in twin.sql(f"SELECT conv_id, {', '.join(names)} FROM ({R.ORACLE['op11_repair']})").fetchall()}
+    assert got == {c: brute(sorted((r for r in keep if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))) for c in {r[0] for r in rows}}
