@@ -201,16 +201,28 @@ _put(
     "src_02_html", lambda s, d: D.html_documents(Z.table(s, d, "pages")),
     rf"SELECT page_id::VARCHAR AS document_id, array_to_string(list_filter(list_transform(string_split_regex({_HTML}, '\r\n|\r|\n'), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10)) AS text FROM pages",
 )
+
+
+def _src_03(spark, sf_dir):
+    """The customers of each nation as a CSV file, and each file read as a document."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    own = Z.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    own.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").write.option("header", True).partitionBy("c_nationkey").csv(path)
+    return D.csv_files(spark, path).withColumn("document_id", F.regexp_extract("document_id", r"c_nationkey=(\d+)", 1))
+
+
 _put(
-    "src_03_rows", lambda s, d: D.rows_to_documents(Z.table(s, d, "customer"), "c_nationkey", ["c_custkey", "c_name", "c_mktsegment"], ["c_custkey"]),
-    "SELECT c_nationkey::VARCHAR AS document_id, string_agg(concat_ws(' ', c_custkey::VARCHAR, c_name, c_mktsegment), chr(10) ORDER BY c_custkey) AS text, count(*) AS n_rows FROM customer GROUP BY 1",
+    "src_03_rows", _src_03,
+    "SELECT c_nationkey::VARCHAR AS document_id, string_agg(concat_ws(' ', c_custkey::VARCHAR, c_name, c_mktsegment, c_nationkey::VARCHAR), chr(10) ORDER BY c_custkey) AS text, count(*) AS n_rows FROM customer GROUP BY 1",
 )
 
 
 def _sets(spark, sf_dir):
     row = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.lit("c").alias("category"), F.when(F.col("item_id") % 2 == 0, "hard").alias("difficulty"))
-    one = F.to_json(F.struct(F.array(row).alias("queries")))
-    return Z.table(spark, sf_dir, "benchmark").select(F.from_json(one, D.EVAL_SET).alias("set"))
+    path = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
+    some = Z.table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 4).alias("part")).agg(F.to_json(F.struct(F.collect_list(row).alias("queries"))).alias("value"))
+    some.repartition("part").write.partitionBy("part").text(path)  # a file for each set
+    return D.eval_files(spark, path)
 
 
 _put(
@@ -261,6 +273,16 @@ _put(
 )
 
 
+def _doc_02_after(spark, sf_dir):
+    """The second page by the last row of the first."""
+    first = D.list_documents(_records(spark, sf_dir), status="completed").select("created_at", "document_id").collect()
+    last = max(first, key=lambda r: (-r.created_at.timestamp(), r.document_id))
+    return D.list_documents(_records(spark, sf_dir), status="completed", after=(last.created_at, last.document_id)).select("document_id", "status", "user_id", "total")
+
+
+_put("doc_02_list_after", _doc_02_after, ORACLE["doc_02_list"])
+
+
 def _doc_03(spark, sf_dir):
     own = Z.documents(spark, sf_dir).withColumn("step", F.explode(F.sequence(F.lit(0), F.pmod(F.col("document_id"), F.lit(4)).cast("int"))))
     name = F.element_at(F.array(*map(F.lit, ["queued", "processing", "embedding", "completed"])), F.col("step") + 1)

@@ -91,14 +91,19 @@ def ingest_status(df: DataFrame, reason: Column) -> DataFrame:
     return df.withColumn("error_message", reason).withColumn("status", F.when(F.col("error_message").isNull(), "queued").otherwise("failed"))
 
 
-def list_documents(docs: DataFrame, page: int = 1, page_size: int = 20, status: str | None = None, user_id=None) -> DataFrame:
-    """One page, newest first, with the number of all rows that fit the filters."""
+def list_documents(docs: DataFrame, page: int = 1, page_size: int = 20, status: str | None = None, user_id=None, after: tuple | None = None) -> DataFrame:
+    """One page, newest first, with the number of all rows that fit the filters. `after`, the (created_at, document_id) of the last row seen, gives the page that
+    follows it: a filter that reaches the scan and the first rows of the rest, where an offset sorts all that it skips."""
     if status is not None:
         docs = docs.filter(F.col("status") == status)
     if user_id is not None:
         docs = docs.filter(F.col("user_id") == user_id)
     total = docs.agg(F.count("*").alias("total"))
-    rows = docs.orderBy(F.col("created_at").desc(), "document_id").offset((page - 1) * page_size).limit(page_size)
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        docs = docs.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("document_id") > last)))
+    rows = docs.orderBy(F.col("created_at").desc(), "document_id")
+    rows = rows.limit(page_size) if after is not None else rows.offset((page - 1) * page_size).limit(page_size)
     return rows.crossJoin(F.broadcast(total))
 
 
