@@ -28,6 +28,7 @@ from tessera.streaming import streams as T
 
 from . import frames as Z
 from .service_queries import ADAPT, LIMITER, _classified
+from .text_queries import ingested_chunks_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,7 +89,7 @@ def _str_04(s, d):
     return found
 
 
-put("str_04_ingest", _str_04)
+put("str_04_ingest", _str_04, f"SELECT chunk_id AS id, document_id, chunk_index, length(content) AS chars, 64::BIGINT AS dims FROM ({ingested_chunks_sql()})")
 
 
 def _asked(s, d):

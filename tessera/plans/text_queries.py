@@ -346,4 +346,22 @@ def _doc_05(spark, sf_dir):
     return status.join(rows.groupBy(F.col("metadata")["document_id"].alias("document_id")).agg(F.count("*").alias("indexed")), "document_id", "left")
 
 
-QUERIES["doc_05_ingest"] = _doc_05
+_CLEANED = _strip(_newlines(_ws(_base("nfc_normalize(text)"))))
+
+
+def ingested_sql(name: str) -> str:
+    """(doc_id, text, e) of the documents cleaned, with why one is refused; `name` is its file's name. The texts have no compatibility characters, so NFC is NFKC."""
+    return f"""(SELECT doc_id, {_CLEANED} AS text, CASE WHEN {name} IS NULL THEN 'unsupported type' WHEN coalesce(strlen(text), 0) <= 0 THEN 'empty file' WHEN length({_strip("text")}) < {D.MIN_CHARS} THEN 'too little text' END AS e FROM documents)"""
+
+
+_put(
+    "doc_05_ingest", _doc_05,
+    rf"""WITH n AS (SELECT doc_id, e, CASE WHEN e IS NULL THEN len(regexp_extract_all(text, '\S+')) ELSE 0 END AS n FROM {ingested_sql("source")}),
+    c AS (SELECT *, CASE WHEN n > 0 THEN 1 + ceil(greatest(n - 128, 0) / 112.0)::BIGINT ELSE 0 END AS k FROM n)
+    SELECT doc_id::VARCHAR AS document_id, CASE WHEN e IS NULL THEN 'completed' ELSE 'failed' END AS status, e AS error_message, k::BIGINT AS chunks_created, CASE WHEN k > 0 THEN k::BIGINT END AS indexed FROM c""",
+)
+
+
+def ingested_chunks_sql() -> str:
+    """The chunks of the documents that are taken in."""
+    return _fixed_sql(128, 16).replace("FROM documents", f"FROM {ingested_sql('text')} AS d WHERE e IS NULL")
