@@ -170,11 +170,11 @@ put("cls_06_classify", lambda s, d: _classified(s, d).groupBy("category", "inten
 
 def _cls_07(s, d):
     own = Z.embeddings(s, d)
-    return L.by_example(Z.vector_queries(s, d), own.filter("id % 20 = 1").select(F.col("label").cast("string").alias("category"), "embedding")).select("query_id", "category", r6("confidence"))
+    return L.by_example(Z.vector_queries(s, d), own.filter("id % 20 <> 0").select(F.col("label").cast("string").alias("category"), "embedding")).select("query_id", "category", r6("confidence"))
 
 
 put("cls_07_by_example", _cls_07, Z.sql("vq", """SELECT query_id, CASE WHEN s > 0 THEN category ELSE 'simple' END AS category, round(greatest(s, 0), 6) AS confidence FROM (
-SELECT query_id, e.label::VARCHAR AS category, round(list_dot_product(q, e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, category DESC) AS r FROM vq, embeddings e WHERE e.vec_id % 20 = 1 QUALIFY r = 1)"""))
+SELECT query_id, e.label::VARCHAR AS category, round(list_dot_product(q, e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, category DESC) AS r FROM vq, embeddings e WHERE e.vec_id % 20 <> 0 QUALIFY r = 1)"""))
 
 # --- routing
 _RT = f"""{_CL}, rt AS (SELECT *, CASE WHEN category IN ('out_of_scope', 'faq') THEN 'tier_1' WHEN confidence < 0.6::DOUBLE THEN CASE WHEN complexity <= 0.4::DOUBLE THEN 'tier_2' ELSE 'tier_3' END WHEN complexity <= 0.4::DOUBLE THEN 'tier_1' WHEN complexity <= 0.75::DOUBLE THEN 'tier_2' ELSE 'tier_3' END AS tier,
