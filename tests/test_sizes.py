@@ -1,7 +1,11 @@
 """What only shows on larger or odder tables than the smallest ones."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+
+from tessera.operators import bm25, bm25index, vectors
 from tessera.plans import registry
 
 
@@ -11,3 +15,38 @@ def test_upload_sizes_beyond_an_int(spark, tmp_path):
     got = {r.doc_id: r.reject_reason for r in registry.queries()["doc_01_validate"](spark, str(tmp_path)).collect()}
     assert got == {0: "too large", 11: "chunk size", 100: None}
     assert registry.queries()["src_06_ingest_status"](spark, str(tmp_path)).agg(F.sum("n")).first()[0] == 3
+
+
+def test_many_text_queries_by_blocks(spark, tmp_path, monkeypatch):
+    """Few queries by blocks of postings, many by a broadcast of their weights, and more in pairs of blocks: all give what joined postings give."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    odds = 1 / np.arange(1, 401)
+    text = lambda n: " ".join(rng.choice(words, n, p=odds / odds.sum()))
+    chunks = spark.createDataFrame([(i, text(rng.integers(1, 40))) for i in range(700)] + [(700, ""), (701, None)], "chunk_id long, content string").repartition(3)
+    asked = spark.createDataFrame([(q, text(5)) for q in range(60)] + [(99, "unknown"), (98, None)], "query_id long, text string")
+    pairs = lambda df: {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in df.collect()}
+    want = {k: pairs(bm25.top_k(bm25.scores(asked, bm25.postings(chunks), bm25.doc_stats(chunks)), k)) for k in (4, 60)}
+    index = bm25index.add(spark, f"file://{tmp_path}/index", chunks)
+    for few, weights, members, probes in ((1000, 0, 0, 0), (1, 500_000, 0, 0), (1, 20, 97, 13)):
+        monkeypatch.setattr(bm25index, "FEW", few)
+        for name, value in (("WEIGHTS", weights), ("MEMBERS", members), ("PROBES", probes)):
+            monkeypatch.setattr(bm25, name, value)
+        for k in want:
+            found = bm25index.top_k(index, asked, k)
+            assert pairs(found) == want[k]
+            if few == 1:
+                assert pairs(bm25.search(asked, chunks, k)) == want[k]
+                assert ("FlatMapCoGroupsInArrow" if weights == 20 else "MapInArrow") in found._jdf.queryExecution().toString()
+
+
+def test_scores_of_vectors_in_tiles(monkeypatch):
+    """What a task holds at once doesn't change what it finds."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).round(1)
+    table = pa.table({"id": pa.array(range(300)), "embedding": pa.array(x.tolist())})
+    asked = table.slice(0, 50).rename_columns(["query_id", "embedding"])
+    whole = vectors._nearest(asked, table, 7)
+    monkeypatch.setattr(vectors, "SCORES", 1000)
+    assert vectors._nearest(asked, table, 7).sort_by([("query_id", "ascending"), ("id", "ascending")]).to_pydict() == whole.to_pydict()
+    assert vectors._nearest(asked, table, 7, 0.8).num_rows < whole.num_rows
