@@ -5,7 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
-from tessera.operators import bm25, bm25index, vectors
+from tessera.functions import text
+from tessera.operators import bm25, bm25index, cells, vectors
 from tessera.plans import registry
 
 
@@ -50,3 +51,33 @@ def test_scores_of_vectors_in_tiles(monkeypatch):
     monkeypatch.setattr(vectors, "SCORES", 1000)
     assert vectors._nearest(asked, table, 7).sort_by([("query_id", "ascending"), ("id", "ascending")]).to_pydict() == whole.to_pydict()
     assert vectors._nearest(asked, table, 7, 0.8).num_rows < whole.num_rows
+
+
+def test_short_list_is_fitted(spark, tmp_path, monkeypatch):
+    """Codes that tell few vectors apart get a longer short list, so the recall holds."""
+    monkeypatch.setattr(cells, "VALUES", 4)
+    x = np.random.default_rng(2).normal(size=(1500, 32))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    asked = table.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    index = cells.build(table, f"file://{tmp_path}/index")
+    exact = vectors.top_k(asked, table, 10).cache()
+    assert index.short > cells.SHORT and cells.opened(spark, index.path).short == index.short
+    assert vectors.recall(cells.search(index, asked, short=cells.SHORT), exact, 10).first().recall < 0.9 < 0.94 < vectors.recall(cells.search(index, asked), exact, 10).first().recall
+
+
+def test_cache_lookups_at_a_low_threshold(spark):
+    """sca_02, sca_03 and sca_07 look up every vector as it is and take what reaches 0.25, by comparing all pairs."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    held = (ids % 2 == 0) & (ids % 10 != 0)
+    want = set(ids[~held & ((x @ x[held].T).max(1) >= 0.25)].tolist())
+    for name in ("sca_02_semantic", "sca_03_validated"):
+        assert {r.query_id for r in registry.queries()[name](spark, sf).collect()} == want
+    assert {r.query_id for r in registry.queries()["sca_07_lookup"](spark, sf).filter("layer = 'semantic'").collect()} == want
+
+
+def test_normalizing_takes_rows_one_by_one(spark):
+    plan = spark.range(3).select(text.normalize_unicode(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
