@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import bm25, bm25index, cells, vectors
-from tessera.plans import registry
+from tessera.plans import frames, registry
 
 
 def test_upload_sizes_beyond_an_int(spark, tmp_path):
@@ -81,3 +81,16 @@ def test_cache_lookups_at_a_low_threshold(spark):
 def test_normalizing_takes_rows_one_by_one(spark):
     plan = spark.range(3).select(text.normalize_unicode(F.col("id").cast("string")))._jdf.queryExecution().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_judgements_leave_texts_in_place(spark, tmp_path, monkeypatch):
+    """Few passages go to the texts; more are joined, with the same rows."""
+    docs = [(1, "so the quick brown fox runs home"), (2, "quick brown fox"), (3, "a b c d e a b c d"), (4, None), (5, "b c x the quick brown fox runs"), (6, "")]
+    passages = [(10, "the quick brown fox"), (11, "a b c d"), (12, "b c x the"), (13, "no such words here"), (14, "a b")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [(10, 1), (10, 5), (11, 3), (12, 5)]
+    few = frames.qrels(spark, str(tmp_path))
+    assert sorted((r.query_id, r.doc_id) for r in few.collect()) == want and "Join" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 1)
+    assert sorted((r.query_id, r.doc_id) for r in frames.qrels(spark, str(tmp_path)).collect()) == want
