@@ -94,3 +94,21 @@ def test_judgements_leave_texts_in_place(spark, tmp_path, monkeypatch):
     assert sorted((r.query_id, r.doc_id) for r in few.collect()) == want and "Join" not in few._jdf.queryExecution().toString()
     monkeypatch.setattr(frames, "BROADCAST_ROWS", 1)
     assert sorted((r.query_id, r.doc_id) for r in frames.qrels(spark, str(tmp_path)).collect()) == want
+
+
+def test_blocks_wait_for_few_queries(spark, tmp_path):
+    """Many queries need neither blocks nor best postings, few ones get them when they ask; a batch written again brings its blocks up to date. No posting is shuffled."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 60, n))
+    schema = "chunk_id long, content string"
+    first, more, other = (spark.createDataFrame([(i, text(rng.integers(1, 30))) for i in range(a, a + 200)], schema) for a in (0, 200, 400))
+    asked = spark.createDataFrame([(q, text(5)) for q in range(40)], "query_id long, text string")
+    pairs = lambda df: {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in df.collect()}
+    path = f"file://{tmp_path}/index"
+    for chunks, batch in ((first, 0), (more, 1), (other, 1)):
+        index = bm25index.add(spark, path, chunks, batch, late=True)
+        held = first if batch == 0 else first.unionByName(chunks)
+        want = bm25.top_k(bm25.scores(asked, bm25.postings(held), bm25.doc_stats(held)), 5).cache()
+        before = index.posted(batch)
+        assert pairs(bm25index.top_k(index, asked, 5)) == pairs(want) and index.posted(batch) == before == (chunks is other)
+        assert pairs(bm25index.top_k(index, asked.filter("query_id < 3"), 5)) == pairs(want.filter("query_id < 3")) and index.posted(batch)
