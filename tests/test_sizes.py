@@ -112,3 +112,16 @@ def test_blocks_wait_for_few_queries(spark, tmp_path):
         before = index.posted(batch)
         assert pairs(bm25index.top_k(index, asked, 5)) == pairs(want) and index.posted(batch) == before == (chunks is other)
         assert pairs(bm25index.top_k(index, asked.filter("query_id < 3"), 5)) == pairs(want.filter("query_id < 3")) and index.posted(batch)
+
+
+def test_all_scores_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Every scored pair is made where the chunk's tokens are read; with more weights in pairs of blocks."""
+    chunks = spark.createDataFrame([(0, "a b b c"), (1, "c d"), (2, ""), (3, None), (4, "e e a")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(0, "a c c"), (1, "e x"), (2, "x"), (3, None)], "query_id long, text string")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = rows(bm25.scores(asked, bm25.postings(chunks), bm25.doc_stats(chunks)))
+    index = bm25index.add(spark, f"file://{tmp_path}/index", chunks, late=True)
+    found = bm25index.scores(index, asked)
+    assert rows(found) == want and len(want) > 3 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(bm25, "WEIGHTS", 2)
+    assert rows(bm25index.scores(index, asked)) == want
