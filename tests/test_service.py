@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import cache, classify, context, embed, memory, metrics, route
+from tessera.plans import pipelines, registry
 from tessera.sources import documents as D
 
 
@@ -118,3 +119,12 @@ def test_files(spark, tmp_path):
     D.write_benchmark(q, q, q, str(tmp_path / "out"))
     D.write_results(q, q.limit(1), str(tmp_path / "res"))
     assert spark.read.json(str(tmp_path / "out/qrels")).first().judgements.d == 1
+
+
+def test_answers_rerank_by_token_sets(spark, monkeypatch):
+    """The rerank of pip_01 gets token sets, which are made once a text, and no texts; what several steps use is written, so no plan holds the steps before."""
+    seen, plain = [], pipelines.rerank.rerank
+    monkeypatch.setattr(pipelines.rerank, "rerank", lambda hits, *a, **o: seen.append(set(hits.columns)) or plain(hits, *a, **o))
+    out = registry.queries()["pip_01_answers"](spark, "/root/testdata/sf0.001")
+    assert [x & {"content", "query", "content_tokens", "query_tokens"} for x in seen] == [{"content_tokens", "query_tokens"}]
+    assert "InMemoryRelation" not in out._jdf.queryExecution().toString()
