@@ -32,13 +32,13 @@ def remainder(key: Column, m: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends there, a lost executor costs no rerun, and the shuffle files are freed."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write to the shared folder, in a folder for each value of `by`, and read back: the lineage ends there, a lost executor costs no rerun, and the shuffle files are freed."""
     spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path, before = f"{shared_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)

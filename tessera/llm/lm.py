@@ -5,8 +5,8 @@ a probe fails. Three kinds of keys are held: words, word pairs, and the number o
 words are known. The pair's probability is interpolated with the word's by absolute discounting.
 
 Counting: each task makes its own keys distinct first and ships sorted runs by shard of the key; a shard's runs are merged in one group, whose
-size is kept even by adding shards as the corpus grows. Scoring: filter and word counts are broadcast when their measured size is at most `broadcast_bytes`;
-otherwise each block of documents sends its distinct keys to the shards and gets the counts back. A worker reads the broadcast piece by piece.
+size is kept even by adding shards as the corpus grows. Scoring: every worker reads filter and word counts, piece by piece from the shared folder, when their measured size is at most
+`broadcast_bytes`; otherwise, and where that folder is on a file system that workers can't open, each block of documents sends its distinct keys to the shards and gets the counts back.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import parquet
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, mixed, remainder, segment_sums, text_steps, words_of
+from tessera.operators.common import shared_dir
+
+from .common import buffers, cut, documents, mixed, remainder, segment_sums, text_steps, words_of
 
 WORD, PAIR, FOLLOW = 0, 1, 2
 #: Look-ups of a word's exact count, told apart from those of its level.
@@ -32,7 +36,7 @@ END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 BROADCAST_BYTES = 256 << 20
 PIECE_BYTES = 8 << 20
-#: Bytes of text that are scored at once by the broadcast filter, whose pieces are read anew for each.
+#: Bytes of text that are scored at once by the whole filter, whose pieces are read anew for each.
 SCORED = 2 << 20
 DOCS_A_SHARD = 4000
 HELD = 1_000_000
@@ -208,41 +212,65 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
 
 @dataclass
 class Piece:
-    """Shards first..last of a kind in a row: the number of words of each filter, and a broadcast of (filters, a word's keys, their counts)."""
+    """Shards first..last of a kind in a row: where each one's filter starts and how many words it has, and the files that hold them, in order."""
 
     kind: int
     first: int
+    starts: np.ndarray
     sizes: np.ndarray
-    sent: object
-
-    def load(self) -> tuple[np.ndarray, ...]:
-        """What the broadcast holds. The worker reads it from the executor's file and keeps no copy, so it has one piece at a time."""
-        value = self.sent.value
-        vars(self.sent).pop("_value", None)
-        return tuple(np.frombuffer(x, kind) for x, kind in zip(value, (np.uint64, np.uint64, np.uint32), strict=True))
-
-
-def pieces(table: DataFrame, shards: int, size: int = PIECE_BYTES):
-    """The table in broadcast pieces of about `size` bytes; the driver holds one at a time."""
-    table = cut(table.repartitionByRange("kind", "shard").sortWithinPartitions("kind", "shard"))  # so that a piece is read from few files
-    send = table.sparkSession.sparkContext.broadcast
-    own = F.length("filter") + F.length("keys") + F.length("counts")
-    sizes = {(r[0], r[1]): r[2] for r in table.select("kind", "shard", own).collect()}
+    files: list[str]
+
+    def load(self, *columns: str) -> list[np.ndarray]:
+        """The columns' bytes of all shards as one array each, keys and filters in 64 bits, counts in 32. Nothing is kept, so a worker has one piece at a time."""
+        parts = []
+        for uri in self.files:
+            system, path = FileSystem.from_uri(uri)
+            with system.open_input_file(path) as f:
+                parts.append(parquet.ParquetFile(f).read(list(columns), use_threads=False))
+        held = pa.concat_tables(parts) if parts else None
+        out = []
+        for c in columns:
+            raw = buffers(held[c].combine_chunks())[1] if held else np.zeros(0, np.uint8)
+            out.append(raw.view(np.uint32 if c == "counts" else np.uint64))
+        # a shard without keys has the word of zeros at the end
+        return [np.append(x, np.uint64(0)) if c == "filter" else x for c, x in zip(columns, out, strict=True)]
+
+
+def opens(uri: str) -> bool:
+    """Whether a worker can read files there."""
+    try:
+        FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def pieces(table: DataFrame, shards: int, size: int) -> list[Piece]:
+    """The table in pieces of about `size` bytes, each a folder of the shared folder, which workers read as they need it: the driver learns sizes and names alone."""
+    sizes = {(r[0], r[1]): (r[2], r[3]) for r in table.select("kind", "shard", F.length("filter") + F.length("keys") + F.length("counts"), F.length("filter")).collect()}
+    runs = []
     for kind in (WORD, PAIR, FOLLOW):
         first = 0
         while first < shards:
-            last, total = first, sizes.get((kind, first), 0)
-            while last + 1 < shards and total + sizes.get((kind, last + 1), 0) <= size:
+            last, total = first, sizes.get((kind, first), (0,))[0]
+            while last + 1 < shards and total + sizes.get((kind, last + 1), (0,))[0] <= size:
                 last += 1
-                total += sizes.get((kind, last), 0)
-            rows = table.filter((F.col("kind") == kind) & F.col("shard").between(first, last)).select("shard", "filter", "keys", "counts").toArrow().sort_by("shard")
-            at = {x: i for i, x in enumerate(rows["shard"].to_pylist())}
-            # a shard without keys has one word of zeros
-            filters = [rows["filter"][at[s]].as_buffer() if s in at else bytes(8) for s in range(first, last + 1)]
-            value = tuple(b"".join(x) for x in (filters, *([x.as_buffer() for x in rows[c]] for c in ("keys", "counts"))))
-            yield Piece(kind, first, np.array([len(x) // 8 for x in filters]), send(value))
-            del rows, filters, value
+                total += sizes.get((kind, last), (0,))[0]
+            runs.append((kind, first, last))
             first = last + 1
+    firsts = {k: F.array(*(F.lit(first) for kind, first, _ in runs if kind == k)) for k in (WORD, PAIR, FOLLOW)}
+    own = F.when(F.col("kind") == WORD, firsts[WORD]).when(F.col("kind") == PAIR, firsts[PAIR]).otherwise(firsts[FOLLOW])
+    dealt = table.withColumn("first", F.array_max(F.filter(own, lambda x: x <= F.col("shard"))))
+    dealt = cut(dealt.repartition("kind", "first").sortWithinPartitions("kind", "first", "shard"), "kind", "first")
+    names: dict = {}
+    for kind, first, name in sorted(tuple(r) for r in dealt.select("kind", "first", "_metadata.file_path").distinct().collect()):
+        names.setdefault((kind, first), []).append(name)
+    out = []
+    for kind, first, last in runs:
+        words = np.array([sizes.get((kind, s), (0, 0))[1] // 8 for s in range(first, last + 1)])
+        starts = np.where(words > 0, np.cumsum(words) - words, words.sum())
+        out.append(Piece(kind, first, starts, np.maximum(words, 1), names.get((kind, first), [])))
+    return out
 
 
 class Tables:
@@ -263,14 +291,13 @@ class Tables:
     def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for piece, rows, s in self._each(keys, kind):
-            starts = np.cumsum(piece.sizes) - piece.sizes
-            out[rows] = probe(keys[rows], starts[s], piece.sizes[s].astype(np.uint64), piece.load()[0], kind)
+            out[rows] = probe(keys[rows], piece.starts[s], piece.sizes[s].astype(np.uint64), *piece.load("filter"), kind)
         return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for piece, rows, _ in self._each(keys, WORD):
-            out[rows] = find(*piece.load()[1:], keys[rows])
+            out[rows] = find(*piece.load("keys", "counts"), keys[rows])
         return out
 
 
@@ -322,10 +349,10 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES)
     """(doc_id, n_tokens, n_known, base_score, score) for every row of (doc_id, text)."""
     stats = (model.tokens, model.vocabulary, model.discount)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if model.size > broadcast_bytes:
+    if model.size > broadcast_bytes or not opens(shared_dir(docs.sparkSession)):
         return _score_by_shards(docs, model, stats)
     shards = model.shards
-    sent = list(pieces(model.table, shards))
+    sent = pieces(model.table, shards, PIECE_BYTES)
 
     def run(batches):
         tables = Tables(sent, shards)

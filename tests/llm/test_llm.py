@@ -108,6 +108,24 @@ def test_lm(spark, docs, corpus, empty):
     assert len(nothing) == len(corpus) and np.isfinite(nothing["score"]).all()
 
 
+def test_lm_leaves_the_model_in_the_shared_folder(spark, docs, monkeypatch):
+    """No piece of filter or counts passes the driver; with pieces of one shard, and where workers can't open the folder, the scores are the same."""
+    held = common.remainder(F.col("doc_id"), 10) == 0
+    model = lm.train(docs.filter(~held), shards=40)
+    want = lm.score(docs, model, broadcast_bytes=0).toPandas().sort_values(["doc_id", "score"])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a broadcast"))
+    own = lm.pieces(model.table, 40, 1)
+    assert [(p.kind, p.first, len(p.sizes)) for p in own] == [(k, s, 1) for k in (lm.WORD, lm.PAIR, lm.FOLLOW) for s in range(40)]
+    assert np.concatenate([p.load("keys")[0] for p in own if p.kind == lm.WORD]).size == model.vocabulary
+    assert sum(p.load("counts")[0].sum() for p in own if p.kind == lm.WORD) == model.tokens
+    monkeypatch.setattr(lm, "PIECE_BYTES", 300)
+    for opens in (lm.opens, lambda _: False):
+        monkeypatch.setattr(lm, "opens", opens)
+        assert np.allclose(lm.score(docs, model).toPandas().sort_values(["doc_id", "score"]).drop(columns="doc_id"), want.drop(columns="doc_id"))
+    monkeypatch.undo()
+    assert lm.opens("file:///tmp") and not lm.opens("viewfs://store/in")
+
+
 def test_log_frequency_filter():
     r = np.random.default_rng(2)
     keys, counts = np.unique(r.integers(0, 1 << 62, 5000).astype(np.uint64)), None
