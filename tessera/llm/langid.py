@@ -6,6 +6,7 @@ linear function of them is a mean over positions: each task gathers weights by p
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -74,20 +75,43 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return found
 
 
-def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25) -> np.ndarray:
+@dataclass
+class Rows:
+    """Sparse feature rows: row i has `values` in the buckets `places` at starts[i]:starts[i + 1]."""
+
+    starts: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.starts[i], self.starts[i + 1])
+        return self.places[own], self.values[own]
+
+    def sums(self) -> np.ndarray:
+        return np.bincount(self.places, self.values, DIM)
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        """A row for each of these rows, a column for each of the weights."""
+        return np.stack([segment_sums(w[self.places].astype(np.float64) * self.values, self.starts) for w in weights], 1) if len(weights) else np.zeros((len(self), 0))
+
+
+def svm(x: Rows, rows: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25) -> np.ndarray:
     """Weights of a linear SVM (squared hinge) over x[rows], the last one the bias, by dual coordinate descent; classes are balanced."""
     upper = np.where(y > 0, c / max(1, (y > 0).sum()), c / max(1, (y < 0).sum())) * len(y) / 2
     diag = 1 / (2 * upper)
-    norm = np.array([x[r] @ x[r] for r in rows]) + 1 + diag
-    a, w, bias, order = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0, np.random.default_rng(7)
+    norm = segment_sums(x.values.astype(np.float64) ** 2, x.starts)[rows] + 1 + diag
+    a, w, bias, order = np.zeros(len(y)), np.zeros(DIM, np.float32), 0.0, np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            own = x[rows[i]]
-            g = y[i] * (own @ w + bias) - 1 + a[i] * diag[i]
+            at, own = x.row(rows[i])
+            g = y[i] * (own @ w[at] + bias) - 1 + a[i] * diag[i]
             new = max(a[i] - g / norm[i], 0)
             if new != a[i]:
                 step = (new - a[i]) * y[i]
-                w += np.float32(step) * own
+                w[at] += np.float32(step) * own
                 bias += step
                 a[i] = new
     return np.append(w.astype(np.float64), bias)
@@ -96,15 +120,15 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, epochs:
 class Model:
     """Linear functions over the features: one a family (when there are two or more), one for each pair within a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: Rows, langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(k) for k in self.langs})
         own = np.array(langs)
         fam = np.array([family_of(k) for k in langs])
-        scale = 1 / np.sqrt(x.mean(0) + 1e-4) if len(x) else np.ones(DIM)
-        x *= scale.astype(np.float32)
-        norm = np.float32(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else np.float32(1)
-        x /= norm
+        scale = 1 / np.sqrt(x.sums() / len(x) + 1e-4) if len(x) else np.ones(DIM)
+        x.values *= scale.astype(np.float32)[x.places]
+        norm = np.float32(np.sqrt((x.values.astype(np.float64) ** 2).sum() / len(x))) if len(x) else np.float32(1)
+        x.values /= norm
         scale = scale / norm
         self.pairs = [p for f in self.families for p in combinations([k for k in self.langs if family_of(k) == f], 2)]
         fits = [svm(x, np.arange(len(x)), np.where(fam == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
@@ -115,7 +139,7 @@ class Model:
         self.bias = np.array([w[-1] for w in fits])
         # x is scaled, and so are the weights: the margins of the training rows
         raw = np.array([w[:-1] for w in fits], np.float32).reshape(len(fits), DIM)
-        scores = self._decide(x @ raw.T + self.bias)[1] if len(x) else np.ones(1)
+        scores = self._decide(x.dot(raw) + self.bias)[1] if len(x) else np.ones(1)
         #: Half the lowest score of a labelled text: a text below it is like none of the languages learned.
         self.bar = float(scores.min()) / 2
 
@@ -177,20 +201,19 @@ def fit(labelled: DataFrame, max_rows: int = 1600, lines: int = 3) -> Model:
                 keep = has_letter(pa.array(more, pa.string()))
                 more, whose = [x for x, k in zip(more, keep, strict=True) if k], [x for x, k in zip(whose, keep, strict=True) if k]
                 x = features(pa.array(more, pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(whose, pa.string()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                filled = [(at := np.flatnonzero(r).astype(np.uint16), r[at]) for r in x.astype(np.float16)]
+                yield pa.RecordBatch.from_arrays([pa.array(whose, pa.string()), *(pa.array([r[i].tobytes() for r in filled], pa.binary()) for i in (0, 1))], names=["lang", "places", "x"])
 
     sample = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL").join(chosen, "doc_id", "left_semi")
-    found = sample.select("text", "lang").mapInArrow(rows, "lang string, x binary").toArrow().combine_chunks()
-    langs, x = found["lang"].to_pylist(), _matrix(found["x"])
-    del found
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
-    return Model(x[order].astype(np.float32), [langs[i] for i in order])
+    found = sample.select("text", "lang").mapInArrow(rows, "lang string, places binary, x binary").toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("lang", "places", "x")])
+    return Model(_rows(found), found["lang"].to_pylist())
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A row of DIM half floats for each value, without a copy where the column is in one piece."""
-    parts = [np.frombuffer(buffers(c)[1], np.float16).reshape(-1, DIM) for c in column.chunks if len(c)]
-    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, DIM), np.float16), *parts])
+def _rows(found: pa.Table) -> Rows:
+    """The filled buckets of each row and their half floats."""
+    (ends, places), (_, values) = (buffers(pa.concat_arrays([pa.array([], pa.binary()), *found[c].chunks])) for c in ("places", "x"))
+    return Rows(ends // 2, places.view(np.uint16), values.view(np.float16).astype(np.float32))
 
 
 def identify(df: DataFrame, model: Model) -> DataFrame:

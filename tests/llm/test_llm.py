@@ -177,6 +177,28 @@ def test_langid(spark):
     assert np.allclose(x @ w.T, langid.linear(pa.array(["der und keit", "the and"]), w), atol=1e-5)
 
 
+def test_langid_gathers_filled_buckets_alone(spark, monkeypatch):
+    """What the driver gets to learn from are the buckets that a text fills, not all of each row, and it learns what rows of all buckets would teach."""
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice(["der", "und", "keit"] if i % 2 else ["the", "and", "house"]) for _ in range(9)), "de" if i % 2 else "en") for i in range(60)]
+    met, own = [], langid._rows
+    monkeypatch.setattr(langid, "_rows", lambda found: met.append(found) or own(found))
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert met[0].num_rows >= 60 and met[0].nbytes < met[0].num_rows * 2 * langid.DIM / 20
+    rows = own(met[0])
+    x = np.zeros((len(rows), langid.DIM))
+    for i in range(len(rows)):
+        x[i, rows.row(i)[0]] = rows.row(i)[1]
+    want = langid.features(pa.array([t for _, t, _ in docs]))
+    assert max(np.abs(x - v).max(1).min() for v in want) < 0.03  # a text's last 3-gram has the first letter of the text after it
+    w = np.random.default_rng(0).normal(size=(3, langid.DIM))
+    assert np.allclose(rows.sums(), x.sum(0)) and np.allclose(rows.dot(w), x @ w.T)
+    y = np.where(np.arange(len(x)) % 3 > 0, 1.0, -1.0)
+    fit = langid.svm(rows, np.arange(len(x)), y)
+    assert np.isfinite(fit).all() and not fit[:-1][x.sum(0) == 0].any()
+    assert langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string")).langs == [] and len(model.families) == 1
+
+
 # --- 3
 
 
