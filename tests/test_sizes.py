@@ -1,5 +1,6 @@
 """What only shows on larger or odder tables than the smallest ones."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -125,3 +126,23 @@ def test_all_scores_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert rows(found) == want and len(want) > 3 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(bm25, "WEIGHTS", 2)
     assert rows(bm25index.scores(index, asked)) == want
+
+
+def test_judgements_of_short_passages(spark, tmp_path, monkeypatch):
+    """evl_01 and evl_02 judge by every passage that a text contains, of however few words and without an id too, as their SQL does."""
+    docs = [(1, "so the quick brown fox runs home"), (2, "quick brown fox"), (3, "a b c d e a b c d"), (4, None), (5, "b c x the quick brown fox runs"), (6, ""), (None, "an unbrown foxglove")]
+    passages = [(10, "the quick brown fox"), (11, "brown fox"), (12, "ox"), (13, "nbrown foxglove of some length"), (14, "a b"), (15, None), (16, "quick brown fox"), (17, "unbrown foxglove"), (18, "  "), (19, "c d e a b"), (None, "runs")]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted(((q, d) for q, p in passages for d, t in docs if p and t and p in t), key=str)
+    pairs = lambda: sorted(((r.query_id, r.doc_id) for r in frames.qrels(spark, str(tmp_path), 0).collect()), key=str)
+    assert pairs() == want and len(want) > 15
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 3)
+    assert pairs() == want
+    monkeypatch.undo()
+    sql = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        sql.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("evl_01_hits", "evl_02_mrr"):
+        got, twin = registry.queries()[name](spark, str(tmp_path)), sql.sql(registry.oracle_sql()[name])
+        assert sorted((tuple(r) for r in got.select(*twin.columns).collect()), key=str) == sorted(twin.fetchall(), key=str) and got.count() == 8
