@@ -146,3 +146,27 @@ def test_judgements_of_short_passages(spark, tmp_path, monkeypatch):
     for name in ("evl_01_hits", "evl_02_mrr"):
         got, twin = registry.queries()[name](spark, str(tmp_path)), sql.sql(registry.oracle_sql()[name])
         assert sorted((tuple(r) for r in got.select(*twin.columns).collect()), key=str) == sorted(twin.fetchall(), key=str) and got.count() == 8
+
+
+def test_short_lists_by_blocks(spark, tmp_path, monkeypatch):
+    """A block of codes gives a query its short list and no row for each cell; however the blocks are cut the list is that of all probed codes, equal ones by id."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[300:500] = x[7]
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    asked = table.filter("id % 9 = 7").withColumnRenamed("id", "query_id")
+    index = cells.build(table, f"file://{tmp_path}/index")
+    assert index.vectors(spark).schema["embedding"].dataType == table.schema["embedding"].dataType
+    lists = lambda: {(r.query_id, r.id) for r in cells.short_list(index, asked, 5, short=6, probes=9).collect()}
+    want = lists()
+    assert {i for q, i in want if q == 7} == {7, *range(300, 329)}
+    monkeypatch.setattr(cells, "MEMBERS", 150)
+    monkeypatch.setattr(cells, "PROBES", 11)
+    monkeypatch.setattr(cells, "SCORES", 400)
+    assert lists() == want
+    left, right = (t.toArrow() for t in (index.codes(spark), asked))
+    rows = cells._best(left, right, index.centres, index.books, len(index.centres), 30).group_by("query_id").aggregate([("id", "count")])
+    assert rows.num_rows == 100 and set(rows["id_count"].to_pylist()) == {30}
+    for size in (vectors.MEMBERS, 100):
+        monkeypatch.setattr(vectors, "MEMBERS", size)
+        assert vectors.recall(cells.search(index, asked, 5, short=40, probes=len(index.centres)), vectors.top_k(asked, table, 5, block=10), 5).first().recall > 0.97
