@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import delta, embed, memory
+from tessera.plans import pipelines
 from tessera.streaming import streams as S
 
 
@@ -139,3 +140,20 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run(S.live_metrics(stream), "late_rows")
     got = {r.start.timestamp(): r.requests for r in spark.sql("SELECT * FROM late_rows").collect()}
     assert got == {300.0 * k: 3 for k in range(10)} | {3000.0: 1}
+
+
+def test_first_batch_is_written_once(spark, tmp_path):
+    """Folding the first batch enters it as the base, without its deleted rows; a batch is shuffled once, and chunks carry their document's columns along."""
+    t = delta.Table(spark, f"{tmp_path}/t", "id", 4)
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "t").rglob("*.parquet") if "log" not in p.parts)
+    delta.put(t, spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("value")), 0, deleted=F.col("id") % 3 == 0)
+    before = size()
+    assert delta.fold(t) and not delta.fold(t) and size() == before
+    assert delta.read(t).count() == 2000 and "Window" not in delta.read(t)._jdf.queryExecution().toString()
+    delta.put(t, spark.range(1000).select("id", F.lit("new").alias("value")), 1)
+    assert delta.fold(t) and delta.read(t).count() == 2334 and delta.read(t).filter("value = 'new'").count() == 1000
+    last = delta._last(t, spark.range(100).withColumn("value", F.lit("x")), F.lit(0))._jdf.queryExecution().executedPlan().toString()
+    assert last.count("Exchange") == 1
+    docs = spark.createDataFrame([(1, "some text that is long enough", "a.txt"), (None, "a text that has no id at all", "b.txt")], "document_id long, text string, source_file string")
+    _, rows = pipelines.ingest(docs, embed.hashing_embedder(8))
+    assert sorted(r[0] for r in rows.select(F.col("metadata")["source_file"]).collect()) == ["a.txt", "b.txt"]
