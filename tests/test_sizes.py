@@ -170,3 +170,14 @@ def test_short_lists_by_blocks(spark, tmp_path, monkeypatch):
     for size in (vectors.MEMBERS, 100):
         monkeypatch.setattr(vectors, "MEMBERS", size)
         assert vectors.recall(cells.search(index, asked, 5, short=40, probes=len(index.centres)), vectors.top_k(asked, table, 5, block=10), 5).first().recall > 0.97
+
+
+def test_a_block_gives_a_query_its_best_alone():
+    """What the slices of a block of chunks gave is cut to the k best and their ties before it leaves the task."""
+    rng = np.random.default_rng(9)
+    score = rng.integers(0, 40, 3000) / 8
+    table = pa.table({"query_id": pa.array(rng.integers(0, 30, 3000) * 7), "chunk_id": pa.array(range(3000)), "score": pa.array(score)})
+    got = bm25._kept(table, 5).to_pandas()
+    want = table.to_pandas().groupby("query_id")["score"].transform(lambda s: s >= s.nlargest(5).min() - bm25.SLACK)
+    assert sorted(got["chunk_id"]) == np.flatnonzero(want).tolist() and len(got) < 1000
+    assert bm25._kept(table, None).num_rows == bm25._kept(table, 3000).num_rows == 3000
